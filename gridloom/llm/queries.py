@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import lang_id
+from . import lang_id, simhash
 from .common import read
 
 
+def op3_simhash_bit_sliced(spark, sf_dir):
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op8_cross_parse_language(spark, sf_dir):
     return lang_id.identify(read(spark, sf_dir, "documents"))
 
 
 def queries():
-    return {f.__name__: f for f in (op8_cross_parse_language,)}
+    return {f.__name__: f for f in (op3_simhash_bit_sliced, op8_cross_parse_language,)}
 
 
 def oracle_sql():
