@@ -75,22 +75,25 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def ranked(df: DataFrame, by: list[str], key: list[str], name: str, parts: int = 64) -> DataFrame:
-    """Number the rows of each group ``by`` from 0, in an order fixed by ``key``.
+def ranked(df: DataFrame, by: list[str], key: list[str], name: str) -> DataFrame:
+    """Number the rows of each group ``by`` from 0, by the MD5 of ``key``, then ``key``.
 
-    A group is dealt by a hash of ``key`` over ``parts`` buckets; buckets are
-    numbered side by side and shifted by the rows of the buckets before them,
-    so that no task gets more than a share of a large group.
+    A group is dealt by the first digits of the MD5 over buckets, twice as many
+    as shuffle partitions; buckets are numbered side by side and shifted by the
+    rows of the buckets before them, so that no task gets more than a share of
+    a large group. Nulls are values like any other.
     """
-    bucketed = df.withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(parts)).cast("int"))
+    parts = min(1 << 14, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    text = F.concat_ws(":", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in key])
+    hashed = df.withColumn("_md5", F.md5(text.cast("binary")))
+    bucketed = hashed.withColumn("_bucket", F.shiftright(F.conv(F.substring("_md5", 1, 6), 16, 10).cast("long") * parts, 24).cast("int"))
     keys = [*by, "_bucket"]
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     shifts = bucketed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    own = Window.partitionBy(*keys).orderBy(*key)
+    own = Window.partitionBy(*keys).orderBy("_md5", *key)
     numbered = bucketed.withColumn("_own", F.row_number().over(own) - 1)
     shifts = shifts.select(*[F.col(k).alias(f"_s{k}") for k in keys], "_shift")
-    same = [numbered[k].eqNullSafe(shifts[f"_s{k}"]) for k in keys]
-    on = same[0]
-    for x in same[1:]:
-        on = on & x
-    return numbered.join(shifts, on).withColumn(name, (F.col("_own") + F.col("_shift")).cast("long")).drop("_bucket", "_own", "_shift", *[f"_s{k}" for k in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & numbered[k].eqNullSafe(shifts[f"_s{k}"])
+    return numbered.join(shifts, same).withColumn(name, (F.col("_own") + F.col("_shift")).cast("long")).drop("_md5", "_bucket", "_own", "_shift", *[f"_s{k}" for k in keys])

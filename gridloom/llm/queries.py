@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from . import lang_id, simhash
+import public_tokenizers
+
+from . import lang_id, mixing, packing, simhash
 from .common import read
 
 
+def op2_vector_best_fit(spark, sf_dir):
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op3_simhash_bit_sliced(spark, sf_dir):
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -14,8 +20,12 @@ def op8_cross_parse_language(spark, sf_dir):
     return lang_id.identify(read(spark, sf_dir, "documents"))
 
 
+def op10_pfair_mix(spark, sf_dir):
+    return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "source", "block", "release", "deadline", "slot", "position")
+
+
 def queries():
-    return {f.__name__: f for f in (op3_simhash_bit_sliced, op8_cross_parse_language,)}
+    return {f.__name__: f for f in (op2_vector_best_fit, op3_simhash_bit_sliced, op8_cross_parse_language, op10_pfair_mix)}
 
 
 def oracle_sql():
