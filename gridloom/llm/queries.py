@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import lang_id, mixing, packing, simhash
+from . import lang_id, mixing, packing, pii, simhash
 from .common import read
 
 
@@ -16,6 +16,10 @@ def op3_simhash_bit_sliced(spark, sf_dir):
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op4_weak_supervision_pii(spark, sf_dir):
+    return pii.detect(read(spark, sf_dir, "documents"))
+
+
 def op8_cross_parse_language(spark, sf_dir):
     return lang_id.identify(read(spark, sf_dir, "documents"))
 
@@ -25,7 +29,7 @@ def op10_pfair_mix(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op2_vector_best_fit, op3_simhash_bit_sliced, op8_cross_parse_language, op10_pfair_mix)}
+    return {f.__name__: f for f in (op2_vector_best_fit, op3_simhash_bit_sliced, op4_weak_supervision_pii, op8_cross_parse_language, op10_pfair_mix)}
 
 
 def oracle_sql():
