@@ -20,8 +20,10 @@ repeated row is packed as often as it occurs. A null doc_id is kept.
 from __future__ import annotations
 
 import zlib
+from itertools import chain, repeat
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,56 +32,95 @@ from .common import as_documents, column, cut, mapped, ranked
 #: Above this many runs the plan is joined by a shuffle instead of a broadcast.
 BROADCAST_RUNS = 200_000
 #: Words that a worker keeps with their ids, at most.
-CACHED = 400_000
+CACHED = 600_000
+#: The mark of a token that ends a run of letters, digits or other characters.
+WORD_END = "</w>"
+_PLAIN = regex.compile(r"\p{L}+([.,;:!?#$%&*|]+)?")
 
 
 class Words:
     """Token ids of whole texts, by way of their distinct words.
 
     White space always ends a token of the tokenizer, so that a text's ids are
-    those of its words one after another.
+    those of its words one after another. Words already met are looked up.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
         self.number: dict[bytes, int] = {}
-        self.ids = np.zeros(0, np.uint32)
-        self.starts = np.zeros(0, np.int64)
-        self.sizes = np.zeros(0, np.int64)
+        self.ids, self.held = np.zeros(1 << 16, np.uint32), 0
+        self.starts = np.zeros(0, np.int32)
+        self.sizes = np.zeros(0, np.int32)
+
+    def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, and each word's number of ids.
+
+        Words of letters, or of letters and marks after them, are encoded as
+        one text and told apart by the tokens that end a run; should their
+        number not be as expected, and for all other words, each is a text.
+        """
+        texts = [w.decode("utf-8", "replace") for w in words]
+        runs = np.array([0 if not (m := _PLAIN.fullmatch(t)) else 2 if m[1] else 1 for t in texts], np.int64)
+        plain = np.flatnonzero(runs)
+        joined = np.array(self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in plain.tolist()])], add_special_tokens=False)[0].ids, np.int64)
+        ends = np.flatnonzero(self.last[joined]) + 1
+        if len(ends) != runs.sum():
+            plain, joined, ends = plain[:0], joined[:0], ends[:0]
+        single = np.setdiff1d(np.arange(len(words)), plain)
+        made = [e.ids for e in self.tokenizer.encode_batch_fast([texts[i] for i in single.tolist()], add_special_tokens=False)]
+        sizes = np.zeros(len(words), np.int64)
+        sizes[plain] = np.diff(ends[np.cumsum(runs[plain]) - 1], prepend=0)
+        sizes[single] = [len(x) for x in made]
+        order = np.concatenate([plain, single])
+        flat = np.concatenate([joined, *made]).astype(np.uint32)
+        held = np.cumsum(sizes[order]) - sizes[order]
+        back = np.argsort(order)
+        return flat[_ragged(held[back], sizes)], sizes
 
     def _learn(self, words: list[bytes]) -> None:
-        new = list({w for w in words if w not in self.number})
-        if not new:
-            return
-        if len(self.number) + len(new) > CACHED:
-            self.number.clear()
-            self.ids, self.starts, self.sizes = self.ids[:0], self.starts[:0], self.sizes[:0]
-            new = list(set(words))
-        made = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, made), np.int64, len(made))
-        flat = np.fromiter((i for x in made for i in x), np.uint32, int(sizes.sum()))
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.ids = np.concatenate([self.ids, flat])
-        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+        for i in range(0, len(words), 16_384):
+            some = words[i : i + 16_384]
+            flat, sizes = self._encoded(some)
+            while self.held + len(flat) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            self.ids[self.held : self.held + len(flat)] = flat
+            self.starts = np.concatenate([self.starts, (self.held + np.cumsum(sizes) - sizes).astype(np.int32)])
+            self.held += len(flat)
+            self.number.update(zip(some, range(len(self.sizes), len(self.sizes) + len(some)), strict=True))
+            self.sizes = np.concatenate([self.sizes, sizes.astype(np.int32)])
 
     def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and each text's number of ids, its end id included."""
         words = [t.split() for t in texts]
-        flat = [w for x in words for w in x]
-        self._learn(flat)
-        at = np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat))
-        sizes = self.sizes[at]
-        total = int(sizes.sum())
-        before = np.cumsum(sizes) - sizes
-        ids = self.ids[np.arange(total) + np.repeat(self.starts[at] - before, sizes)]
+        flat = list(chain.from_iterable(words))
+        at = np.fromiter(map(self.number.get, flat, repeat(-1)), np.int64, len(flat))
+        unknown = np.flatnonzero(at < 0).tolist()
+        known, held = len(self.sizes), self.held
+        new = list({flat[i] for i in unknown})
+        self._learn(new)
+        at[unknown] = [self.number[flat[i]] for i in unknown]
+        sizes = self.sizes[at].astype(np.int64)
+        ids = self.ids[_ragged(self.starts[at], sizes)]
+        if len(self.number) > CACHED:  # full: what came last is not kept
+            for w in new:
+                del self.number[w]
+            self.starts, self.sizes, self.held = self.starts[:known], self.sizes[:known], held
         counts = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.append(0, np.cumsum(sizes))[np.cumsum(counts)] if len(words) else counts
+        ends = np.append(0, np.cumsum(sizes))[np.cumsum(counts)]
         return np.insert(ids, ends, np.uint32(end)), np.diff(ends, prepend=0) + 1
 
 
+def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, ``sizes`` many, one run after another."""
+    before = np.cumsum(sizes) - sizes
+    return np.arange(int(sizes.sum())) + np.repeat(starts - before, sizes)
+
+
 _words: dict[str, Words] = {}
 
 
@@ -100,7 +141,7 @@ def pieces(docs: DataFrame, path: str, size: int = 4096, end: int = 1) -> DataFr
         crc = [zlib.crc32(raw[b : b + 4 * n]) for b, n in zip(begin.tolist(), length.tolist(), strict=True)]
         return {"doc_id": column(batch, "doc_id").take(owner), "piece": piece.astype(np.int32), "start": piece * size, "length": length, "ids_crc32": crc}
 
-    return mapped(as_documents(docs), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return mapped(as_documents(docs), run, "doc_id long, piece int, start long, length long, ids_crc32 long", limit=2 << 20)
 
 
 def plan(counts: dict[int, int], size: int, most_docs: int | None = None, most_cost: int | None = None, rule: str = "norm", weights: tuple[float, float, float] | None = None) -> list[tuple[int, int, int, int, int, int]]:
