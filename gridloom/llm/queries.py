@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import lang_id, mixing, packing, pii, simhash
+from . import ann, lang_id, mixing, packing, pii, quality, simhash
 from .common import read
 
 
+def op1_ivf_pq_neighbours(spark, sf_dir):
+    return ann.search(read(spark, sf_dir, "embeddings"))
+
+
 def op2_vector_best_fit(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -20,6 +24,10 @@ def op4_weak_supervision_pii(spark, sf_dir):
     return pii.detect(read(spark, sf_dir, "documents"))
 
 
+def op6_suffix_array_rules(spark, sf_dir):
+    return quality.rules(read(spark, sf_dir, "documents"))
+
+
 def op8_cross_parse_language(spark, sf_dir):
     return lang_id.identify(read(spark, sf_dir, "documents"))
 
@@ -29,7 +37,7 @@ def op10_pfair_mix(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op2_vector_best_fit, op3_simhash_bit_sliced, op4_weak_supervision_pii, op8_cross_parse_language, op10_pfair_mix)}
+    return {f.__name__: f for f in (op1_ivf_pq_neighbours, op2_vector_best_fit, op3_simhash_bit_sliced, op4_weak_supervision_pii, op6_suffix_array_rules, op8_cross_parse_language, op10_pfair_mix)}
 
 
 def oracle_sql():
