@@ -19,10 +19,13 @@ repeated row is packed as often as it occurs. A null doc_id is kept.
 
 from __future__ import annotations
 
+import re
 import zlib
-from itertools import chain, repeat
+from itertools import chain, islice, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +38,8 @@ BROADCAST_RUNS = 200_000
 CACHED = 600_000
 #: The mark of a token that ends a run of letters, digits or other characters.
 WORD_END = "</w>"
-_PLAIN = regex.compile(r"\p{L}+([.,;:!?#$%&*|]+)?")
+_PLAIN = re.compile(rb"([A-Za-z]+)([.,;:!?#$%&*|]*)")
+_LETTERS = regex.compile(r"(\p{L}+)([.,;:!?#$%&*|]*)")
 
 
 class Words:
@@ -57,60 +61,83 @@ class Words:
         self.starts = np.zeros(0, np.int32)
         self.sizes = np.zeros(0, np.int32)
 
-    def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words, and each word's number of ids.
+    def _add(self, words: list[bytes], flat: np.ndarray, sizes: np.ndarray) -> None:
+        while self.held + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.held : self.held + len(flat)] = flat
+        self.starts = np.concatenate([self.starts, (self.held + np.cumsum(sizes) - sizes).astype(np.int32)])
+        self.held += len(flat)
+        self.number.update(zip(words, range(len(self.sizes), len(self.sizes) + len(words)), strict=True))
+        self.sizes = np.concatenate([self.sizes, sizes.astype(np.int32)])
+
+    def _gathered(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words by number, and how many each has."""
+        sizes = self.sizes[at].astype(np.int64)
+        return self.ids[_ragged(self.starts[at], sizes)], sizes
+
+    def _encode_runs(self, runs: list[bytes]) -> None:
+        """Learn runs of letters, which are one run for the tokenizer.
 
-        Words of letters, or of letters and marks after them, are encoded as
-        one text and told apart by the tokens that end a run; should their
-        number not be as expected, and for all other words, each is a text.
+        They are encoded as one text and told apart by the tokens that end a
+        run; should their number not be as expected, each is a text.
         """
-        texts = [w.decode("utf-8", "replace") for w in words]
-        runs = np.array([0 if not (m := _PLAIN.fullmatch(t)) else 2 if m[1] else 1 for t in texts], np.int64)
-        plain = np.flatnonzero(runs)
-        joined = np.array(self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in plain.tolist()])], add_special_tokens=False)[0].ids, np.int64)
-        ends = np.flatnonzero(self.last[joined]) + 1
-        if len(ends) != runs.sum():
-            plain, joined, ends = plain[:0], joined[:0], ends[:0]
-        single = np.setdiff1d(np.arange(len(words)), plain)
-        made = [e.ids for e in self.tokenizer.encode_batch_fast([texts[i] for i in single.tolist()], add_special_tokens=False)]
-        sizes = np.zeros(len(words), np.int64)
-        sizes[plain] = np.diff(ends[np.cumsum(runs[plain]) - 1], prepend=0)
-        sizes[single] = [len(x) for x in made]
-        order = np.concatenate([plain, single])
-        flat = np.concatenate([joined, *made]).astype(np.uint32)
-        held = np.cumsum(sizes[order]) - sizes[order]
-        back = np.argsort(order)
-        return flat[_ragged(held[back], sizes)], sizes
+        for i in range(0, len(runs), 16_384):
+            some = runs[i : i + 16_384]
+            texts = [w.decode("utf-8", "replace") for w in some]
+            flat = np.array(self.tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.last[flat]) + 1
+            if len(ends) == len(some):
+                self._add(some, flat, np.diff(ends, prepend=0))
+            else:
+                self._encode_each(some)
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _encode_each(self, words: list[bytes]) -> None:
         for i in range(0, len(words), 16_384):
             some = words[i : i + 16_384]
-            flat, sizes = self._encoded(some)
-            while self.held + len(flat) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[self.held : self.held + len(flat)] = flat
-            self.starts = np.concatenate([self.starts, (self.held + np.cumsum(sizes) - sizes).astype(np.int32)])
-            self.held += len(flat)
-            self.number.update(zip(some, range(len(self.sizes), len(self.sizes) + len(some)), strict=True))
-            self.sizes = np.concatenate([self.sizes, sizes.astype(np.int32)])
-
-    def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
+            made = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)]
+            self._add(some, np.array(list(chain.from_iterable(made)), np.uint32), np.fromiter(map(len, made), np.int64, len(made)))
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Take in new words: those of letters and marks after them by way of the two runs."""
+        plain, pairs, others = [], [], []
+        for w in words:
+            m = _PLAIN.fullmatch(w)
+            if m:
+                plain.append(w)
+                pairs += (m[1].lower(), m[2])
+            elif not w.isascii() and (m := _LETTERS.fullmatch(w.decode("utf-8", "replace"))):
+                plain.append(w)
+                pairs += (m[1].encode(), m[2].encode())
+            else:
+                others.append(w)
+        self._encode_each(others)
+        unknown = {x for x in pairs if x not in self.number}
+        marks = [x for x in unknown if x and x[0] < 65]
+        self._encode_each(marks)
+        self._encode_runs(list(unknown.difference(marks, [b""])))
+        if b"" in unknown:
+            self._add([b""], np.zeros(0, np.uint32), np.zeros(1, np.int64))
+        flat, sizes = self._gathered(np.array([self.number[x] for x in pairs], np.int64))
+        self._add(plain, flat, sizes[0::2] + sizes[1::2])
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and each text's number of ids, its end id included."""
-        words = [t.split() for t in texts]
-        flat = list(chain.from_iterable(words))
-        at = np.fromiter(map(self.number.get, flat, repeat(-1)), np.int64, len(flat))
-        unknown = np.flatnonzero(at < 0).tolist()
-        known, held = len(self.sizes), self.held
-        new = list({flat[i] for i in unknown})
-        self._learn(new)
-        at[unknown] = [self.number[flat[i]] for i in unknown]
-        sizes = self.sizes[at].astype(np.int64)
-        ids = self.ids[_ragged(self.starts[at], sizes)]
+        as_text = pa.Array.from_buffers(pa.string(), len(texts), texts.buffers(), offset=texts.offset)
+        words = pc.ascii_split_whitespace(as_text)
+        counts = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = words.flatten().dictionary_encode()
+        held = pa.Array.from_buffers(pa.binary(), len(coded.dictionary), coded.dictionary.buffers(), offset=coded.dictionary.offset).to_pylist()
+        numbers = np.fromiter(map(self.number.get, held, repeat(-1)), np.int64, len(held))
+        unknown = np.flatnonzero(numbers < 0).tolist()
+        before = (len(self.number), len(self.sizes), self.held)
+        if unknown:
+            self._learn([held[i] for i in unknown])
+            numbers[unknown] = [self.number[held[i]] for i in unknown]
+        ids, sizes = self._gathered(numbers[coded.indices.to_numpy(zero_copy_only=False)])
         if len(self.number) > CACHED:  # full: what came last is not kept
-            for w in new:
+            for w in list(islice(reversed(self.number), len(self.number) - before[0])):
                 del self.number[w]
-            self.starts, self.sizes, self.held = self.starts[:known], self.sizes[:known], held
-        counts = np.fromiter(map(len, words), np.int64, len(words))
+            self.starts, self.sizes, self.held = self.starts[: before[1]], self.sizes[: before[1]], before[2]
         ends = np.append(0, np.cumsum(sizes))[np.cumsum(counts)]
         return np.insert(ids, ends, np.uint32(end)), np.diff(ends, prepend=0) + 1
 
@@ -131,7 +158,7 @@ def pieces(docs: DataFrame, path: str, size: int = 4096, end: int = 1) -> DataFr
         if path not in _words:
             _words.clear()
             _words[path] = Words(path)
-        ids, sizes = _words[path].encode(column(batch, "text").to_pylist(), end)
+        ids, sizes = _words[path].encode(column(batch, "text"), end)
         parts = -(-sizes // size)
         owner = np.repeat(np.arange(len(sizes)), parts)
         piece = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
@@ -141,7 +168,7 @@ def pieces(docs: DataFrame, path: str, size: int = 4096, end: int = 1) -> DataFr
         crc = [zlib.crc32(raw[b : b + 4 * n]) for b, n in zip(begin.tolist(), length.tolist(), strict=True)]
         return {"doc_id": column(batch, "doc_id").take(owner), "piece": piece.astype(np.int32), "start": piece * size, "length": length, "ids_crc32": crc}
 
-    return mapped(as_documents(docs), run, "doc_id long, piece int, start long, length long, ids_crc32 long", limit=2 << 20)
+    return mapped(as_documents(docs), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(counts: dict[int, int], size: int, most_docs: int | None = None, most_cost: int | None = None, rule: str = "norm", weights: tuple[float, float, float] | None = None) -> list[tuple[int, int, int, int, int, int]]:
