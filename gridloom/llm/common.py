@@ -9,6 +9,7 @@ group in one task.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -28,11 +29,25 @@ def cut(df: DataFrame) -> DataFrame:
 
     Only where that setting is empty (tests, one machine) is a folder made here.
     """
-    context = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> None:
+    """See that there is a checkpoint folder: the cluster's, or one of our own where none is set."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         own = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-")
         context.setCheckpointDir(own)
-    return df.checkpoint(eager=True)
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet to the shared checkpoint folder and read it again."""
+    spark = df.sparkSession
+    shared_folder(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def as_documents(docs: DataFrame, *more: str) -> DataFrame:
@@ -48,6 +63,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         sizes = batch.column(batch.schema.get_field_index(column)).to_pylist()
         start = held = 0
         for i, value in enumerate(sizes):
+            value = value or b""
             if held and held + len(value) > limit:
                 yield batch.slice(start, i - start)
                 start, held = i, 0
@@ -71,6 +87,27 @@ def mapped(df: DataFrame, function: Callable[[pa.RecordBatch], dict | None], sch
     return df.mapInArrow(run, schema)
 
 
+def passed(df: DataFrame, function: Callable[[list[bytes | None]], dict], more: str = "") -> DataFrame:
+    """All columns of ``df``, with what ``function`` makes of its texts.
+
+    It returns columns by name, as in ``more``; one called ``_keep`` selects rows.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    added = _parse_datatype_string(more) if more else StructType()
+    types = to_arrow_schema(added)
+
+    def run(batches):
+        for batch in slices(batches):
+            texts = [None if t is None else t.encode() for t in column(batch, "text").to_pylist()]
+            made = function(texts)
+            out = pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(made[f.name], f.type) for f in types]], names=[*batch.schema.names, *types.names])
+            yield out.filter(pa.array(made["_keep"])) if "_keep" in made else out
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, *added.fields]))
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

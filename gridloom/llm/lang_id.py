@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_documents, column, mapped
+from .common import as_documents, column, mapped, passed
 
 #: Bounds of the sample that the automata are made from: documents a language,
 #: bytes of each, bytes a language, bytes of all languages together.
@@ -179,3 +179,9 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     found = mapped(as_documents(docs), predict, "doc_id long, lang_pred string, score double")
     return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """The documents, without those of which no language can be told."""
+    sent = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
+    return passed(docs, lambda texts: {"_keep": [x != UNKNOWN for x in sent.value.predict(texts)[0]]})

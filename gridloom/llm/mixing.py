@@ -94,3 +94,10 @@ def mix(docs: DataFrame, targets: dict[str, float] | None = None, block: int = B
         F.expr("_block div k * q + at").alias("slot"),
         F.expr(f"(_block div k * q + at) * {int(block)} + _rank % {int(block)}").alias("position"),
     )
+
+
+def in_order(docs: DataFrame, targets: dict[str, float] | None = None, block: int = BLOCK) -> DataFrame:
+    """The documents' columns, sorted into the mixed order."""
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    inner = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)], F.col("doc_id"), F.col("source"))
+    return mix(inner, targets, block).orderBy("position").select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import as_documents, column, cut, mapped
+from .common import as_documents, column, cut, mapped, passed
 from .components import components
 
 BUCKET = 256
@@ -216,12 +216,36 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
         rows, level = cut(_dealt(large, level + 1, "mask").distinct()), level + 1
 
 
+def _rooted(made: DataFrame, radius: int) -> DataFrame:
+    """(fp, root, first): each fingerprint's component and the first document that has it.
+
+    ``first`` orders documents by id, those without one last.
+    """
+    first = cut(made.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "fp")).alias("first")))
+    roots = components(links(first, radius))
+    return first.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
+
+
 def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3) -> DataFrame:
     """doc_id, fingerprint, component_id: one row a document."""
     made = cut(fingerprints(docs, words))
-    first = cut(made.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(first, radius)).select(F.col("node"), "root")
-    by_root = first.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    of_root = by_root.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r")
-    of_print = cut(by_root.join(of_root, F.col("root") == F.col("r")).select(F.col("fp").alias("print"), "component_id"))
+    by_root = _rooted(made, radius)
+    of_root = by_root.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("least"))
+    of_print = cut(by_root.join(of_root, F.col("root") == F.col("r")).select(F.col("fp").alias("print"), F.col("least.doc_id").alias("component_id")))
     return made.join(of_print, F.col("fp") == F.col("print")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = 2, words: int = 3) -> DataFrame:
+    """The documents' columns, for the first document of each component.
+
+    Of rows that share that document's id and fingerprint one stays.
+    """
+    made = cut(fingerprints(docs, words))
+    kept = cut(_rooted(made, radius).groupBy("root").agg(F.min("first").alias("least")).select(F.col("least.doc_id").alias("_first"), F.col("least.fp").alias("_print")))
+
+    def run(texts):
+        return {"_fp": np.array([majority(shingle_hashes(t or b"", words)) for t in texts], np.uint64).view(np.int64)}
+
+    printed = passed(docs, run, "_fp long")
+    one = printed.join(kept, F.col("doc_id").eqNullSafe(F.col("_first")) & (F.col("_fp") == F.col("_print")), "left_semi")
+    return one.dropDuplicates(["doc_id", "_fp"]).drop("_fp")
