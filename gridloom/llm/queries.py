@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import ann, lang_id, mixing, packing, pii, quality, simhash, substrings
+from . import ann, lang_id, lm_scoring, mixing, packing, pii, quality, simhash, substrings
 from .common import read
 
 
@@ -36,12 +36,16 @@ def op8_cross_parse_language(spark, sf_dir):
     return lang_id.identify(read(spark, sf_dir, "documents"))
 
 
+def op9_context_mixing(spark, sf_dir):
+    return lm_scoring.score(read(spark, sf_dir, "documents"))
+
+
 def op10_pfair_mix(spark, sf_dir):
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "source", "block", "release", "deadline", "slot", "position")
 
 
 def queries():
-    return {f.__name__: f for f in (op1_ivf_pq_neighbours, op2_vector_best_fit, op3_simhash_bit_sliced, op4_weak_supervision_pii, op6_suffix_array_rules, op7_two_stage_dedup, op8_cross_parse_language, op10_pfair_mix)}
+    return {f.__name__: f for f in (op1_ivf_pq_neighbours, op2_vector_best_fit, op3_simhash_bit_sliced, op4_weak_supervision_pii, op6_suffix_array_rules, op7_two_stage_dedup, op8_cross_parse_language, op9_context_mixing, op10_pfair_mix)}
 
 
 def oracle_sql():
