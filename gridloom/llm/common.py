@@ -108,6 +108,14 @@ def passed(df: DataFrame, function: Callable[[list[bytes | None]], dict], more:
     return df.mapInArrow(run, StructType([*df.schema.fields, *added.fields]))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or one like it that ``df`` has no column of."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

@@ -34,8 +34,8 @@ TEMPLATES = {
     "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License", "Licensed under CC BY 4.0"],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0", "Licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0"],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2"],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3", "either version 3 of the License, or (at your option) any later version"],
+    "GPL-2.0": ["Licensed under the GNU General Public License, version 2", "This work is licensed under the GNU General Public License, version 2"],
+    "GPL-3.0": ["Licensed under the GNU General Public License, version 3", "This work is licensed under the GNU General Public License, version 3", "either version 3 of the License, or (at your option) any later version"],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
     "LGPL-3.0": ["Licensed under the GNU Lesser General Public License, version 3"],
     "MIT": ["Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],

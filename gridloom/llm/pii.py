@@ -211,7 +211,9 @@ def redact(docs: DataFrame, model: dict[tuple[int, str], float] | None = None) -
     """
     model = fit(docs) if model is None else model
     columns = docs.columns
-    marked = docs.select(*[F.col(f"`{c}`") for c in columns], accepted(spans(), model).alias("_spans"))
+    # inside, the input's columns have numbers, so that none clashes with ours
+    inner = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(columns)], F.col("text"))
+    marked = inner.withColumn("_spans", accepted(spans(), model))
     names = "array(" + ", ".join(f"'[{k.upper()}]'" for k in KINDS) + ")"
     pieces = f"""aggregate(_spans, named_struct('at', 0L, 'out', cast(array() as array<string>)),
         (a, s) -> if(s.start < a.at,
@@ -219,5 +221,12 @@ def redact(docs: DataFrame, model: dict[tuple[int, str], float] | None = None) -
             named_struct('at', s.stop, 'out', concat(a.out, array(substring(text, cast(a.at as int) + 1, cast(s.start - a.at as int)), {names}[s.kind])))),
         a -> concat(array_join(a.out, ''), substring(text, cast(a.at as int) + 1)))"""
     made = marked.withColumn("_new", F.when(F.size("_spans") > 0, F.expr(pieces)).otherwise(F.col("text")))
-    changed = {"text": F.col("_new"), "n_chars": F.when((F.size("_spans") > 0) & F.col("n_chars").isNotNull(), F.length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")) if "n_chars" in columns else None}
-    return made.select(*[(changed[c] if c in changed else F.col(f"`{c}`")).alias(c) for c in columns])
+    out = []
+    for i, c in enumerate(columns):
+        value = F.col(f"_c{i}")
+        if c == "text":
+            value = F.col("_new")
+        elif c == "n_chars":
+            value = F.when((F.size("_spans") > 0) & value.isNotNull(), F.length("_new").cast(docs.schema[c].dataType)).otherwise(value)
+        out.append(value.alias(c))
+    return made.select(*out)

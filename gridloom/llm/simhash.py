@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import as_documents, column, cut, mapped, passed
+from .common import as_documents, column, cut, fresh, mapped, passed
 from .components import components
 
 BUCKET = 256
@@ -241,11 +241,12 @@ def one_of_each(docs: DataFrame, radius: int = 2, words: int = 3) -> DataFrame:
     Of rows that share that document's id and fingerprint one stays.
     """
     made = cut(fingerprints(docs, words))
-    kept = cut(_rooted(made, radius).groupBy("root").agg(F.min("first").alias("least")).select(F.col("least.doc_id").alias("_first"), F.col("least.fp").alias("_print")))
+    own, first, mark = (fresh(docs, x) for x in ("_fp", "_first", "_print"))
+    kept = cut(_rooted(made, radius).groupBy("root").agg(F.min("first").alias("least")).select(F.col("least.doc_id").alias(first), F.col("least.fp").alias(mark)))
 
     def run(texts):
-        return {"_fp": np.array([majority(shingle_hashes(t or b"", words)) for t in texts], np.uint64).view(np.int64)}
+        return {own: np.array([majority(shingle_hashes(t or b"", words)) for t in texts], np.uint64).view(np.int64)}
 
-    printed = passed(docs, run, "_fp long")
-    one = printed.join(kept, F.col("doc_id").eqNullSafe(F.col("_first")) & (F.col("_fp") == F.col("_print")), "left_semi")
-    return one.dropDuplicates(["doc_id", "_fp"]).drop("_fp")
+    printed = passed(docs, run, f"{own} long")
+    one = printed.join(kept, F.col("doc_id").eqNullSafe(F.col(first)) & (F.col(own) == F.col(mark)), "left_semi")
+    return one.dropDuplicates(["doc_id", own]).drop(own)

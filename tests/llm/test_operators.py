@@ -1,0 +1,397 @@
+"""Operators against brute force, exact round trips and planted cases."""
+
+import hashlib
+import itertools
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+from xxhash import xxh64_intdigest
+
+from gridloom.llm import ann, lang_id, licenses, lm_scoring, mixing, packing, pii, quality, simhash, substrings
+from gridloom.llm.components import components
+from tests.conftest import SF
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+
+
+def words(t):
+    return re.findall("[^\x20\x09-\x0d]+", t)
+
+
+# 1 ----------------------------------------------------------------------------------------------
+
+
+def test_neighbours_recall_order_and_ties(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 24)).astype(np.float32)
+    x[100:140] = x[100]  # ties
+    rows = [(i, [float(v) for v in r], 0) for i, r in enumerate(x)]
+    rows += [(9000, None, 0), (9001, [0.0] * 24, 0), (9002, [float("nan")] * 24, 0), (9003, [None] * 24, 0), (9004, [1.0], 0), (None, [1.0] * 24, 0)]
+    found = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).toPandas()
+    unit = ann.unit(x)
+    hits = 0
+    for q in range(0, 3000, 50):
+        s = (unit * unit[q]).sum(axis=1)
+        s[q] = -9
+        want = np.lexsort((np.arange(3000), -s))[:5]
+        got = found[found.query_id == q].sort_values("rank")
+        assert got["rank"].tolist() == [1, 2, 3, 4, 5]
+        assert all(abs(a - s[b]) < 1e-12 for a, b in zip(got.score, got.vec_id, strict=True))
+        assert list(zip(-got.score, got.vec_id, strict=True)) == sorted(zip(-got.score, got.vec_id, strict=True))
+        hits += len(set(got.vec_id) & set(want))
+    assert hits / 300 >= 0.9
+    assert found[found.query_id == 100].sort_values("rank").vec_id.tolist() == [101, 102, 103, 104, 105]
+    assert not found.vec_id.isin([9000, 9001, 9002, 9003, 9004]).any()
+
+
+def test_few_vectors_and_none(spark):
+    schema = "vec_id long, embedding array<double>, label int"
+    assert [(r["query_id"], r["vec_id"]) for r in ann.search(spark.createDataFrame([(0, [1.0, 0.0], 1), (1, [0.0, 2.0], 1)], schema)).collect()] == [(0, 1)]
+    assert ann.search(spark.createDataFrame([(0, [1.0, 0.0], 1)], schema)).collect() == []
+    assert ann.search(spark.createDataFrame([], schema)).collect() == []
+
+
+# 2 ----------------------------------------------------------------------------------------------
+
+
+def test_packing_round_trip(docs, texts):
+    made = packing.pack(docs, PATH, size=512).toPandas()
+    t = Tokenizer.from_file(PATH)
+    for i, text in texts.items():
+        ids = t.encode(text, add_special_tokens=False).ids + [1]
+        own = made[made.doc_id == i].sort_values("piece")
+        assert own.start.tolist() == list(range(0, len(ids), 512)) and own.length.sum() == len(ids)
+        assert own.ids_crc32.tolist() == [zlib.crc32(np.array(ids[a : a + 512], "<u4").tobytes()) for a in range(0, len(ids), 512)]
+    for _, bin_ in made.sort_values("offset").groupby("sequence_id"):
+        assert (bin_.offset == bin_.length.cumsum() - bin_.length).all() and bin_.length.sum() <= 512
+
+
+@pytest.mark.parametrize(("most_docs", "most_cost", "rule"), [(None, None, "norm"), (4, None, "norm"), (6, 4200, "dot"), (None, 4500, "norm")])
+def test_every_constraint_holds(most_docs, most_cost, rule):
+    rng = np.random.default_rng(4)
+    v, c = np.unique(rng.integers(1, 65, 2000), return_counts=True)
+    counts = dict(zip(v.tolist(), c.tolist(), strict=True))
+    bins, seen = {}, Counter()
+    for n, r0, r1, b0, k, off in packing.plan(counts, 100, most_docs, most_cost, rule):
+        for r in range(r0, r1):
+            bins.setdefault(b0 + (r - r0) // k, []).append((off + (r - r0) % k * n, n))
+            seen[n] += 1
+    assert seen == counts
+    for held in bins.values():
+        held.sort()
+        assert [a for a, _ in held] == list(itertools.accumulate([n for _, n in held], initial=0))[:-1]
+        assert sum(n for _, n in held) <= 100 and len(held) <= (most_docs or 100) and sum(n * n for _, n in held) <= (most_cost or 10**4)
+    if most_docs is None and most_cost is None:
+        assert len(bins) <= 1.01 * sum(a * b for a, b in counts.items()) / 100 + 1
+
+
+def test_special_words_are_tokenized_as_in_whole_texts():
+    import pyarrow as pa
+
+    w, t = packing.Words(PATH), Tokenizer.from_file(PATH)
+    for text in ["a<|endoftext|>b <|startoftext|>  x", "é x y\x1cz   İstanbul ΑΣ", "", "  ", "\x00 don't 123's we'll,, ...", "café. CAFÉ! naïve"]:
+        assert w.encode(pa.array([text.encode()]), 1)[0].tolist() == t.encode(text, add_special_tokens=False).ids + [1]
+
+
+# 3 ----------------------------------------------------------------------------------------------
+
+
+def fingerprint(t):
+    w = words(re.sub("[A-Z]", lambda c: c[0].lower(), t))
+    h = [xxh64_intdigest(" ".join(w[i : i + 3]).encode(), 42) for i in range(max(1, len(w) - 2))] if w else []
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(prints):
+    root = {p: p for p in prints}
+
+    def of(p):
+        while root[p] != p:
+            p = root[p]
+        return p
+
+    for a, b in itertools.combinations(prints, 2):
+        if (a ^ b).bit_count() <= 2:
+            x, y = of(a), of(b)
+            root[max(x, y)] = min(x, y)
+    return {p: of(p) for p in prints}
+
+
+def test_simhash(docs, texts):
+    made = simhash.near_duplicates(docs).collect()
+    prints = {i: fingerprint(t) for i, t in texts.items()}
+    root = brute_components(sorted(set(prints.values())))
+    least = {}
+    for i, p in prints.items():
+        least[root[p]] = min(i, least.get(root[p], i))
+    assert {(r["doc_id"], r["fingerprint"], r["component_id"]) for r in made} == {(i, f"{p:016x}", least[root[p]]) for i, p in prints.items()}
+
+
+def test_large_buckets_are_split_and_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET", 4)
+    rng = random.Random(5)
+    base = [rng.getrandbits(64) for _ in range(12)]
+    prints = sorted({b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(4))) for b in base for _ in range(40)})
+    df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long")
+    got = {(r["node"] % 2**64, r["root"] % 2**64) for r in components(simhash.links(df)).collect()}
+    groups = {}
+    for n, r in got:
+        groups.setdefault(r, set()).add(n)
+    want = {}
+    for p, r in brute_components(prints).items():
+        want.setdefault(r, set()).add(p)
+    assert sorted(map(sorted, groups.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1)
+
+
+def test_components_of_a_long_path_and_a_star(spark):
+    edges = [(i, i + 1) for i in range(60)] + [(1000, i) for i in range(1001, 1200)] + [(5, 5)]
+    made = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {(r["node"], r["root"]) for r in made} == {(i, 0) for i in range(61)} | {(i, 1000) for i in range(1000, 1200)}
+
+
+# 4 ----------------------------------------------------------------------------------------------
+
+
+def base_spans(t):
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub("[^0-9]", "", m[0])
+        if 12 <= len(d) <= 19 and sum([int(x), sum(divmod(2 * int(x), 10))][i % 2] for i, x in enumerate(reversed(d))) % 10 == 0:
+            out.append((m.start(), 2, m.end()))
+    out += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return sorted(out)
+
+
+def test_pii_against_plain_patterns(spark, docs, texts):
+    rng = random.Random(3)
+    odd = ["".join(rng.choice("aZ0195.@-+_%() é\U0001f389,4") for _ in range(rng.randrange(60))) for _ in range(1500)]
+    odd += ["a@b.c_d@e.f", "1" * 50000, "1.2.3.4.5.6.7.8", "@".join(["a.b"] * 700), "a" * 60000 + "@", "4111 1111 1111 1111 4111111111111111", "+1 (826) 555-4081 190.137.223.204"]
+    all_texts = texts | {10**6 + i: t for i, t in enumerate(odd)}
+    df = spark.createDataFrame(list(all_texts.items()), "doc_id long, text string")
+    added = 0
+    for r in pii.detect(df).collect():
+        want = base_spans(all_texts[r["doc_id"]])
+        listed = [f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in want]
+        assert r["base_sha256"] == hashlib.sha256(",".join(listed).encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(x[1] == i for x in want) for i in range(4)]
+        got = r["spans"].split(",") if r["spans"] else []
+        assert set(listed) <= set(got)
+        added += len(got) - len(listed)
+    assert added >= 3
+
+
+def test_redaction(spark):
+    df = spark.createDataFrame([(1, "mail me@x.org or +1 (509) 555-6973 now", 5), (2, "clean", None)], "doc_id long, text string, n_chars long")
+    assert [(r["text"], r["n_chars"]) for r in pii.redact(df).orderBy("doc_id").collect()] == [("mail [EMAIL] or [PHONE] now", 27), ("clean", None)]
+
+
+# 5 ----------------------------------------------------------------------------------------------
+
+
+def test_licenses():
+    s = licenses.Scanner()
+    text = b"x Released under the MIT License. Released under the MIT License. licensed under the gnu general public license version 3 y"
+    assert [(n, a, b) for n, a, b, _ in licenses.best_at_each_place(s.find(text))] == [("MIT", 1, 5), ("MIT", 6, 10), ("GPL-3.0", 11, 19)]
+    noisy = b"Permission is granted hereby free of any charge to any person obtaining one copy of this software and associated documentation files now"
+    assert [n for n, *_ in licenses.best_at_each_place(s.find(noisy))] == ["MIT"]
+    assert s.find(b"the license of the work is under the general public eye, version by version") == []
+
+
+def test_patience_alignment_matches_common_order():
+    rng = random.Random(6)
+    for _ in range(200):
+        a, b = ([rng.choice("abcdefgh") for _ in range(rng.randrange(12))] for _ in range(2))
+        pairs = licenses.align(a, b)
+        assert all(a[i] == b[j] for i, j in pairs)
+        assert all(x[0] < y[0] and x[1] < y[1] for x, y in itertools.pairwise(pairs))
+        if a == b:
+            assert len(pairs) == len(a)
+
+
+# 6 ----------------------------------------------------------------------------------------------
+
+
+def test_rules(docs, texts):
+    for r in quality.rules(docs).collect():
+        t = texts[r["doc_id"]]
+        w = words(t)
+        grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        n = Counter(grams)
+        inside = {j for i, g in enumerate(grams) if n[g] > 1 for j in range(i, i + 3)}
+        lines = [x for x in t.split("\n") if words(x)]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(re.findall("[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(inside))
+        assert r["base_failed"] == (len(w) < 50 or 100 * len(inside) > 50 * len(w)) and not (r["base_failed"] and r["kept"])
+
+
+def test_longest_repeats_at_each_word():
+    rng = random.Random(1)
+    for k in range(60):
+        docs = [[rng.choice([b"a", b"b", b"cc"]) for _ in range(rng.choice([0, 1, 3, 20, 40]))] for _ in range(3)] + [[b"x"] * (k % 20)]
+        got, at = quality.repeats(docs)[0], 0
+        for d in docs:
+            for i in range(len(d)):
+                best = 0
+                for j in range(len(d)):
+                    n = 0
+                    while i != j and max(i, j) + n < len(d) and d[i + n] == d[j + n]:
+                        n += 1
+                    best = max(best, n)
+                assert got[at + i] == best
+            at += len(d)
+
+
+# 7 ----------------------------------------------------------------------------------------------
+
+
+def brute_removed(texts, length):
+    n = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    out = []
+    for t in texts:
+        gone = bytearray(len(t))
+        for i in range(len(t) - length + 1):
+            if n[t[i : i + length]] > 1:
+                gone[i : i + length] = b"\1" * length
+        kept = bytes(b for b, g in zip(t, gone, strict=True) if not g)
+        out.append((len(t), sum(gone), sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1])), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("together", [256, 3])
+def test_repeats_are_removed_exactly(spark, docs, texts, monkeypatch, together):
+    monkeypatch.setattr(substrings, "TOGETHER", together)
+    rng = random.Random(8)
+    shared = "".join(rng.choice("abc dé") for _ in range(900))
+    more = {10**6 + i: "".join(rng.choice("xyz ") for _ in range(rng.randrange(300))) + shared[rng.randrange(300) :] + "q" * rng.randrange(5) for i in range(40)} | {2 * 10**6: "ab" * 700, 2 * 10**6 + 1: None}
+    both = dict(list(texts.items())[:60]) | more
+    made = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substrings.remove_repeats(spark.createDataFrame(list(both.items()), "doc_id long, text string")).collect()}
+    want = dict(zip(both, brute_removed([(t or "").encode() for t in both.values()], 400), strict=True))
+    assert made == want
+
+
+def test_two_stage_order():
+    rng = random.Random(2)
+    for k in range(150):
+        parts = [bytes(rng.choice(b"ab\x00\xff") for _ in range(rng.choice([1, 2, 7, 30]))) for _ in range(rng.randint(1, 5))] + [b"a" * (1 + k % 30)]
+        text, owner = np.frombuffer(b"".join(parts), np.uint8), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        starts = np.cumsum([0] + [len(p) for p in parts])
+        order = substrings.two_stage(text, owner)
+        tails = [parts[owner[i]][i - starts[owner[i]] :] for i in order]
+        assert sorted(order.tolist()) == list(range(len(text))) and tails == sorted(tails)
+
+
+# 8 ----------------------------------------------------------------------------------------------
+
+
+def test_language_accuracy_and_folds(docs):
+    made = lang_id.identify(docs).join(docs.select("doc_id", "lang", "text"), "doc_id").collect()
+    held = [r for r in made if r["held_out"] and len(r["text"]) > 40]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in made)
+    assert sum(r["lang"] == r["lang_pred"] for r in held) >= 0.97 * len(held)
+    assert all(0 <= r["score"] <= 1 for r in made)
+
+
+def test_phrases_are_longest_matches():
+    model = lang_id.Model({"x": b"abracadabra", "y": b"hocus pocus"})
+    for text in (b"abra", b"cadabrazz", b"hocuspocus", b"q"):
+        for k, sample in enumerate((b"abracadabra", b"hocus pocus")):
+            n, at = 0, 0
+            while at < len(text):
+                end = at + 1
+                while end < len(text) and text[at : end + 1] in sample:
+                    end += 1
+                n, at = n + 1, end
+            assert model.phrases([text])[k][0] == n
+
+
+# 9 ----------------------------------------------------------------------------------------------
+
+
+def test_lm_base_and_probabilities(docs, texts):
+    made = {r["doc_id"]: r for r in lm_scoring.score(docs).collect()}
+    tokens = {i: t.encode().lower().split() + [None] for i, t in texts.items()}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
+    c = Counter(w for i, t in tokens.items() if not held[i] for w in t)
+    n, v = sum(c.values()), len(c)
+    for i, r in made.items():
+        t = tokens[i]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(t), sum(c[w] > 0 for w in t), n)
+        assert math.isclose(r["base_score"], sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), rel_tol=1e-9)
+        assert r["score"] < 0
+    bits = [r["bits_per_byte"] for i, r in made.items() if held[i] and len(texts[i]) > 200]
+    assert sum(bits) / len(bits) < 3.2
+
+
+def test_lm_distribution_adds_up_to_one():
+    counts = np.zeros(lm_scoring.SYMBOLS, np.int64)
+    counts[[97, 98, 32, 256]] = 5, 3, 4, 2
+    code = lm_scoring.Code(counts)
+    assert math.isclose(sum(2.0 ** -int(n) for n in code.length), 1.0)
+    size = 1 << lm_scoring.SLOT_BITS
+    rng = np.random.default_rng(0)
+    ones = rng.integers(0, 5, (lm_scoring.PREDICTORS, size)).astype(float)
+    mixer = lm_scoring.Mixer(code, ones, ones + rng.integers(0, 5, ones.shape))
+    # all one-byte units that a space ends, and the empty one: the first symbol's probabilities
+    first = {s: 0.0 for s in range(257)}
+    for s in range(256):
+        d = lm_scoring.Decisions(code, [bytes([s])], np.array([0]))
+        place = d.gate // 8 == 0
+        total = 0.0
+        for count, _, way, slots, gate in d.depths():
+            t = mixer._mixed([mixer.inputs[k].take(x) for k, x in enumerate(slots)], gate)
+            total += float(-np.log1p(np.exp(np.where(way, -t, t)))[place[:count]].sum())
+        first[s] = math.exp(total)
+    d = lm_scoring.Decisions(code, [b""], np.array([1]))
+    first[256] = 10 ** float(mixer.cost(d, 1)[0])
+    assert math.isclose(sum(first.values()), 1.0, rel_tol=1e-4)
+
+
+# 10 ---------------------------------------------------------------------------------------------
+
+
+def edf(ks):
+    q, done, out = sum(ks), [0] * len(ks), []
+    for t in range(q):
+        ready = [(-(-(done[i] + 1) * q // k), i) for i, k in enumerate(ks) if done[i] < k and done[i] * q // k <= t]
+        _, i = min(ready)
+        done[i] += 1
+        out.append(i)
+    return out
+
+
+def test_pfair_schedule_and_deviation(spark):
+    rows = [(i, s) for i, s in enumerate(["a"] * 700 + ["b"] * 90 + ["c"] * 10 + [None] * 40)]
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    w = mixing.weights(df, slots_ := None, 50).first()
+    assert slots_ is None and sum(w["ks"]) == w["q"] == 50 and min(w["ks"]) >= 1
+    slots = {r["slot"]: r["source"] for r in mixing.period(mixing.weights(df, None, 50)).collect()}
+    assert [slots[t] for t in range(50)] == [w["sources"][i] for i in edf(w["ks"])]
+    served = Counter()
+    for t in range(50):
+        served[slots[t]] += 1
+        assert all(abs(served[s] - k * (t + 1) / 50) < 1 for s, k in zip(w["sources"], w["ks"], strict=True))
+    made = mixing.mix(df, None, 4, 50).collect()
+    assert len(made) == 840 and len({r["position"] for r in made}) == 840
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in made)
+
+
+def test_targets(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(100)], "doc_id long, source string")
+    assert dict(zip(*[mixing.weights(df, {"a": 0.75, "b": 0.25}, 100).first()[c] for c in ("sources", "ks")], strict=True)) == {"a": 75, "b": 25}
