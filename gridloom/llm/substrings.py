@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from .common import as_documents, column, cut, mapped
+from .common import as_documents, column, cut, mapped, staged
 
 LENGTH, GRAM, PIECE, TOGETHER = 400, 32, 32, 256
 
@@ -94,8 +94,12 @@ def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
     return first, np.append(first[1:], windows) - 1, place[first], h[place[first]]
 
 
-def two_stage(text: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """The order of all suffixes of several texts laid end to end; a text's end closes its suffixes.
+def two_stage(text: np.ndarray, owner: np.ndarray, windows: np.ndarray | None = None) -> np.ndarray:
+    """The order of suffixes of several texts laid end to end; a text's end closes its suffixes.
+
+    With ``windows``, only that many suffixes from each text's start on are
+    wanted, and those after them up to the next of type B, from which the
+    wanted ones can be induced.
 
     A suffix is of type B if it is smaller than its successor, the suffix one
     byte on in the same text, and of type A otherwise. B suffixes are sorted
@@ -116,16 +120,27 @@ def two_stage(text: np.ndarray, owner: np.ndarray) -> np.ndarray:
     last = np.where(~equal, np.arange(n), n)
     last = np.minimum.accumulate(last[::-1])[::-1]
     is_b = (text.astype(np.int16) < following)[last]
+    member = np.ones(n, bool)
+    if windows is not None:
+        starts = np.append(0, ends[:-1] + 1)
+        following_b = np.where(is_b | closes, np.arange(n), n)
+        following_b = np.minimum.accumulate(following_b[::-1])[::-1]
+        wanted = windows > 0
+        steps = np.zeros(n + 1, np.int64)
+        np.add.at(steps, starts[wanted], 1)
+        np.add.at(steps, following_b[starts[wanted] + windows[wanted] - 1] + 1, -1)
+        member = np.cumsum(steps[:-1]) > 0
     raw = text.tobytes()
     stop = (ends + 1)[owner - owner[0]] if len(ends) == owner[-1] - owner[0] + 1 else np.repeat(ends + 1, np.diff(np.append(-1, ends)))
-    direct = np.flatnonzero(is_b)
+    direct = np.flatnonzero(is_b & member)
     tails = {int(i): raw[i:e] for i, e in zip(direct.tolist(), stop[direct].tolist(), strict=True)}
     b_order = np.array(sorted(direct.tolist(), key=tails.__getitem__), np.int64)
     b_bucket = np.split(b_order, np.searchsorted(text[b_order], np.arange(1, 256)))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
     # suffixes of one byte precede all others of their bucket
-    for c in np.unique(text[ends]).tolist():
-        waiting[c].append(ends[text[ends] == c])
+    closing = ends[member[ends]]
+    for c in np.unique(text[closing]).tolist():
+        waiting[c].append(closing[text[closing] == c])
     out = []
     first = np.append(True, closes[:-1])  # a text's first suffix has no predecessor
 
@@ -174,7 +189,7 @@ def repeated_windows(pieces: list[bytes], length: int = LENGTH) -> list[np.ndarr
     owner = np.repeat(np.arange(len(pieces)), sizes)
     text = np.frombuffer(b"".join(pieces), np.uint8)
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(text))
-    order = two_stage(text, owner)
+    order = two_stage(text, owner, np.maximum(0, sizes - length + 1))
     shared = common_prefixes(text, order, left, length) >= length
     hit = np.zeros(len(text), bool)
     hit[order[shared]] = True
@@ -339,8 +354,8 @@ def repeated(docs: DataFrame, packed: DataFrame, length: int = LENGTH) -> DataFr
     digest) and packed (bytes, compressed).
     """
     runs = _runs(docs, length)
-    by_run = runs.groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("text_id", "doc_id", "at", "low", "high")).alias("one"))
-    by_anchor = by_run.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select(F.col("anchor").alias("of"), "kinds")
+    by_run = staged(runs.groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("text_id", "doc_id", "at", "low", "high")).alias("one")))
+    by_anchor = cut(by_run.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select(F.col("anchor").alias("of"), "kinds"))
     kept = cut(by_run.join(by_anchor, F.col("anchor") == F.col("of"), "left").filter("n > 1 or kinds > 1").select("anchor", "run", "n", "kinds", "one.*"))
     whole = kept.filter("n > 1").select("run", "low", "high")
     wanted = kept.filter("kinds > 1").groupBy(F.col("text_id").alias("want"), F.col("doc_id").alias("whose")).agg(F.collect_list(F.struct("at", "low", "high", "anchor", "kinds", "run")).alias("wanted"))
