@@ -42,8 +42,8 @@ def regional_monthly(cells: DataFrame, weight: str, value: str = "value", scale:
 
     ``cells`` has region_id and ``weight``, a cell's area times its share in the mask.
     """
-    wet = F.sum(F.col(value) * F.col(weight))
-    valid = F.sum(F.when(F.col(value).isNotNull(), F.col(weight)))
+    wet = F.coalesce(F.sum(F.col(value) * F.col(weight)), F.lit(0))
+    valid = F.coalesce(F.sum(F.when(F.col(value).isNotNull(), F.col(weight))), F.lit(0))
     grouped = cells.groupBy("dataset_id", "region_id", month(F.col("ts")).alias("month"))
     return grouped.agg(wet.alias("_wet"), valid.alias("_valid")).select("dataset_id", "region_id", "month", (F.col("_wet").cast("double") / scale).alias("wetland_area"), F.col("_valid").cast("double").alias("valid_area"), (100 * ratio(F.col("_wet"), F.col("_valid")) / scale).alias("wetland_percentage"))
 

@@ -22,7 +22,7 @@ def _ordered(series: DataFrame, time: str, value: str) -> DataFrame:
 
 
 def sen_kendall(series: DataFrame, time: str = "year", value: str = "value") -> DataFrame:
-    """Per key: observations, Kendall's S and the Theil-Sen slope over the index of the values that are there.
+    """Per key: observations, Kendall's S, tied pairs and the Theil-Sen slope over the index of the values that are there.
 
     Pairs are made inside a key's own short array, so that nothing is joined.
     """
@@ -33,7 +33,7 @@ def sen_kendall(series: DataFrame, time: str = "year", value: str = "value") ->
     })
     half = "size(slopes) div 2"
     median = F.expr(f"case when size(slopes) = 0 then null when size(slopes) % 2 = 1 then slopes[{half}] else (slopes[{half} - 1] + slopes[{half}]) / 2 end")
-    return made.select(*KEYS, F.size("y").cast("long").alias("n_obs"), F.aggregate("signs", F.lit(0).cast("long"), lambda a, x: a + x).alias("kendall_s"), median.alias("sens_slope"))
+    return made.select(*KEYS, F.size("y").cast("long").alias("n_obs"), F.aggregate("signs", F.lit(0).cast("long"), lambda a, x: a + x).alias("kendall_s"), F.size(F.filter("signs", lambda x: x == 0)).cast("long").alias("n_ties"), median.alias("sens_slope"))
 
 
 def inversion_counts(n: int) -> list[int]:

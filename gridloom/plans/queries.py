@@ -34,7 +34,7 @@ CTES = {
     "monthly": "select dataset_id, region_id, cast(date_trunc('month', ts) as date) as month, sum(value) as s, count(value) as c from placed p join regions r on p.lat between r.south and r.north and p.lon between r.west and r.east group by all",
     "pairs": "select a.dataset_id, a.lat_idx, a.lon_idx, a.r as i, b.r as j, a.v as x, b.v as y from ranked a join ranked b on a.dataset_id = b.dataset_id and a.lat_idx = b.lat_idx and a.lon_idx = b.lon_idx and a.r < b.r",
     "ranked": "select *, row_number() over (partition by dataset_id, lat_idx, lon_idx order by year) as r from annual where v is not null",
-    "sen": "select dataset_id, lat_idx, lon_idx, count(distinct i) + 1 as n_obs, cast(sum(sign(y - x)) as bigint) as kendall_s, median((y - x) / (j - i)) as sens_slope from pairs group by all",
+    "sen": "select dataset_id, lat_idx, lon_idx, count(distinct i) + 1 as n_obs, cast(sum(sign(y - x)) as bigint) as kendall_s, count(*) filter (x = y) as n_ties, median((y - x) / (j - i)) as sens_slope from pairs group by all",
 }
 _NEEDS = {"surf": ["obs"], "annual": ["obs"], "votes": ["obs"], "fracs": ["obs"], "placed": ["obs"], "monthly": ["placed", "regions"], "ranked": ["annual"], "pairs": ["ranked"], "sen": ["pairs"]}
 
@@ -267,7 +267,7 @@ def _regional(spark, sf):
     return series.regional_monthly(cells, "weight", scale=100.0)
 
 
-@query("select dataset_id, region_id, month, round(cast(s as double) / 100, 9) as wetland_area, cast(c as double) as valid_area, round(100 * (cast(s as double) / nullif(c, 0)) / 100, 9) as wetland_percentage from monthly", "monthly")
+@query("select dataset_id, region_id, month, round(cast(coalesce(s, 0) as double) / 100, 9) as wetland_area, cast(c as double) as valid_area, round(100 * (cast(s as double) / nullif(c, 0)) / 100, 9) as wetland_percentage from monthly", "monthly")
 def regional_monthly(spark, sf):
     return _regional(spark, sf)
 
@@ -280,7 +280,7 @@ def regional_annual_complete(spark, sf):
     return series.complete_years(_regional(spark, sf), "wetland_percentage")
 
 
-_CLIMATE = "select dataset_id, region_id, make_date(2000, cast(month(month) as int), 1) as month, round(avg(cast(s as double) / nullif(c, 0)), 9) as value, count(c) as observation_count from monthly group by dataset_id, region_id, month(month)"
+_CLIMATE = "select dataset_id, region_id, make_date(2000, cast(month(month) as int), 1) as month, round(avg(cast(s as double) / nullif(c, 0)), 9) as value, count(s) as observation_count from monthly group by dataset_id, region_id, month(month)"
 
 
 @query(_CLIMATE, "monthly")
@@ -331,7 +331,7 @@ def best_month(spark, sf):
 # --- trends --------------------------------------------------------------------------------------
 
 
-@query("select dataset_id, lat_idx, lon_idx, n_obs, kendall_s, round(sens_slope, 9) as sens_slope from sen", "sen")
+@query("select dataset_id, lat_idx, lon_idx, n_obs, kendall_s, n_ties, round(sens_slope, 9) as sens_slope from sen", "sen")
 def sen_slope(spark, sf):
     return trends.sen_kendall(annual(spark, sf))
 
@@ -351,13 +351,12 @@ def trend_direction(spark, sf):
 _P = [(s, min(1.0, 2 * sum(trends.inversion_counts(7)[: (21 - s) // 2 + 1]) / 5040)) for s in range(1, 22, 2)]
 
 
-@query(f"select s.dataset_id, s.lat_idx, s.lon_idx, round(p.p, 9) as p_value from sen s join (values {', '.join(f'({s}, {p!r}::double)' for s, p in _P)}) as p(k, p) on abs(s.kendall_s) = p.k where s.n_obs = 7", "sen")
+@query(f"select s.dataset_id, s.lat_idx, s.lon_idx, round(p.p, 9) as p_value from sen s join (values {', '.join(f'({s}, {p!r}::double)' for s, p in _P)}) as p(k, p) on abs(s.kendall_s) = p.k where s.n_obs = 7 and s.n_ties = 0", "sen")
 def mann_kendall_p(spark, sf):
     t = trends.pixel_trends(annual(spark, sf))
-    k = trends.sen_kendall(annual(spark, sf)).select(F.col("dataset_id").alias("d"), F.col("lat_idx").alias("a"), F.col("lon_idx").alias("b"), "n_obs", "kendall_s")
+    k = trends.sen_kendall(annual(spark, sf)).select(F.col("dataset_id").alias("d"), F.col("lat_idx").alias("a"), F.col("lon_idx").alias("b"), "n_obs", "n_ties")
     met = t.join(k, (F.col("dataset_id") == F.col("d")) & (F.col("lat_idx") == F.col("a")) & (F.col("lon_idx") == F.col("b")))
-    # an odd sum of signs of 21 pairs means that there are no ties
-    return met.filter((F.col("n_obs") == 7) & (F.abs("kendall_s") % 2 == 1)).select("dataset_id", *CELL, "p_value")
+    return met.filter("n_obs = 7 and n_ties = 0").select("dataset_id", *CELL, "p_value")
 
 
 @query()

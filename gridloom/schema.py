@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 
 
 def _struct(text: str) -> T.StructType:
-    return T._parse_datatype_string(text)
+    types = {"string": T.StringType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp_ntz": T.TimestampNTZType()}
+    return T.StructType([T.StructField(name, types[kind]) for name, kind in (c.split() for c in text.split(","))])
 
 
 CELL = _struct("dataset_id string, ts timestamp_ntz, lat_idx int, lon_idx int, value double")
