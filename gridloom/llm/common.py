@@ -8,6 +8,7 @@ group in one task.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,6 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library
+    _libc = None
+
 #: Bytes of text that one step of a Python operator works on.
 SLICE_BYTES = 4 << 20
 
@@ -108,6 +114,13 @@ def passed(df: DataFrame, function: Callable[[list[bytes | None]], dict], more:
     return df.mapInArrow(run, StructType([*df.schema.fields, *added.fields]))
 
 
+def trimmed() -> None:
+    """Give memory that is free back to the machine; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or one like it that ``df`` has no column of."""
     taken = {c.lower() for c in df.columns}
