@@ -52,5 +52,26 @@ def queries():
     return {f.__name__: f for f in (op1_ivf_pq_neighbours, op2_vector_best_fit, op3_simhash_bit_sliced, op4_weak_supervision_pii, op5_patience_licenses, op6_suffix_array_rules, op7_two_stage_dedup, op8_cross_parse_language, op9_context_mixing, op10_pfair_mix)}
 
 
+#: The schedule is a recursion over slots whose state is the list of blocks served.
+OP10_SQL = """
+with recursive counted as (select source, count(*) as n from documents group by source),
+sized as (select source, cast(floor(sqrt(n) * 1000) as bigint) as size, row_number() over (order by source is not null, source) as i, count(*) over () as sources, greatest(1000, 4 * count(*) over ()) as q from counted),
+shared as (select *, 1 + (q - sources) * size // cast(sum(size) over () as bigint) as base, (q - sources) * size % cast(sum(size) over () as bigint) as rest from sized),
+weighed as (select source, i, q, base + case when row_number() over (order by rest desc, i) <= q - sum(base) over () then 1 else 0 end as k from shared),
+listed as (select list(cast(k as bigint) order by i) as ks, cast(max(q) as bigint) as q, count(*) as n from weighed),
+slots as (
+    select cast(-1 as bigint) as t, [cast(0 as bigint) for i in range(n)] as done, cast(0 as bigint) as chosen, ks, q, n from listed where n > 0
+    union all
+    select t + 1, [done[i] + case when i = pick then 1 else 0 end for i in range(1, n + 1)], pick, ks, q, n
+    from (select *, list_min([case when done[i] < ks[i] and done[i] * q // ks[i] <= t + 1 then ((done[i] + 1) * q + ks[i] - 1) // ks[i] * 1000000 + i end for i in range(1, n + 1)]) % 1000000 as pick from slots where t + 1 < q)
+),
+period as (select chosen as i, t, row_number() over (partition by chosen order by t) - 1 as nth from slots where t >= 0),
+ranked as (select doc_id, source, row_number() over (partition by source order by md5(coalesce(cast(doc_id as varchar), 'null')), doc_id) - 1 as r from documents)
+select r.doc_id, r.source, r // 16 as block, r // 16 * q // k as release, ((r // 16 + 1) * q + k - 1) // k as deadline,
+       r // 16 // k * q + t as slot, (r // 16 // k * q + t) * 16 + r % 16 as position
+from ranked r join weighed w on r.source is not distinct from w.source join period p on p.i = w.i and p.nth = r // 16 % k
+"""
+
+
 def oracle_sql():
-    return {}
+    return {"op10_pfair_mix": OP10_SQL}

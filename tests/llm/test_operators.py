@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -103,8 +104,6 @@ def test_every_constraint_holds(most_docs, most_cost, rule):
 
 
 def test_special_words_are_tokenized_as_in_whole_texts():
-    import pyarrow as pa
-
     w, t = packing.Words(PATH), Tokenizer.from_file(PATH)
     for text in ["a<|endoftext|>b <|startoftext|>  x", "é x y\x1cz   İstanbul ΑΣ", "", "  ", "\x00 don't 123's we'll,, ...", "café. CAFÉ! naïve"]:
         assert w.encode(pa.array([text.encode()]), 1)[0].tolist() == t.encode(text, add_special_tokens=False).ids + [1]
@@ -351,14 +350,14 @@ def test_lm_distribution_adds_up_to_one():
     # all one-byte units that a space ends, and the empty one: the first symbol's probabilities
     first = {s: 0.0 for s in range(257)}
     for s in range(256):
-        d = lm_scoring.Decisions(code, [bytes([s])], np.array([0]))
+        d = lm_scoring.Decisions(code, pa.array([bytes([s])]), np.array([0]))
         place = d.gate // 8 == 0
         total = 0.0
         for count, _, way, slots, gate in d.depths():
             t = mixer._mixed([mixer.inputs[k].take(x) for k, x in enumerate(slots)], gate)
             total += float(-np.log1p(np.exp(np.where(way, -t, t)))[place[:count]].sum())
         first[s] = math.exp(total)
-    d = lm_scoring.Decisions(code, [b""], np.array([1]))
+    d = lm_scoring.Decisions(code, pa.array([b""]), np.array([1]))
     first[256] = 10 ** float(mixer.cost(d, 1)[0])
     assert math.isclose(sum(first.values()), 1.0, rel_tol=1e-4)
 
