@@ -100,3 +100,32 @@ def grid_hash_join(points: DataFrame, boxes: DataFrame, size: float) -> DataFram
     a, b = listed(points, "a_"), listed(boxes, "b_")
     touch = boxes_touch({k: F.col(f"a_{k}") for k in ("west", "south", "east", "north")}, {k: F.col(f"b_{k}") for k in ("west", "south", "east", "north")})
     return a.join(b, ["gx", "gy"]).filter(touch).select(F.col("a_id").alias("left_id"), F.col("b_id").alias("right_id")).distinct()
+
+
+def cos_weighted_bins(cells: DataFrame, west: float, south: float, step: float, keys: tuple[str, ...] = (), value: str = "value") -> DataFrame:
+    """Means by square of ``step`` degrees, each cell weighing as the cosine of its latitude; missing cells have no weight.
+
+    A cell on the far edge of the grid belongs to the last square.
+    """
+    w = F.cos(F.radians("lat"))
+    bins = [F.floor((F.col("lat") - south) / step).cast("int").alias("lat_idx"), F.floor((F.col("lon") - west) / step).cast("int").alias("lon_idx")]
+    grouped = cells.withColumn("_w", F.when(F.col(value).isNotNull(), w)).drop("lat_idx", "lon_idx").groupBy(*keys, *bins)
+    return grouped.agg(F.try_divide(F.sum(F.col(value) * F.col("_w")), F.sum("_w")).alias("value"), F.count(value).alias("n_source"))
+
+
+def mask_fraction(cells: DataFrame, mask: DataFrame) -> DataFrame:
+    """Cells with mask_fraction, zero where the mask has no cell."""
+    m = mask.select(F.col("lat_idx").alias("_a"), F.col("lon_idx").alias("_b"), F.col("mask_fraction").alias("_m"))
+    return cells.join(m, (F.col("lat_idx") == F.col("_a")) & (F.col("lon_idx") == F.col("_b")), "left").withColumn("mask_fraction", F.coalesce("_m", F.lit(0.0))).drop("_a", "_b", "_m")
+
+
+def region_subset(regions: DataFrame, wanted: list[str] | None, named: dict[str, list[str]], subset: str | None = None) -> DataFrame:
+    """Regions of a named subset or those asked for, in the catalogue's order; unknown ids are an error."""
+    ids = wanted if wanted is not None else named[subset] if subset else None
+    if ids is None:
+        return regions.orderBy("ord")
+    known = {r["region_id"] for r in regions.select("region_id").collect()}  # a catalogue
+    unknown = sorted(set(ids) - known)
+    if unknown:
+        raise ValueError(f"unknown regions {unknown}")
+    return regions.filter(F.col("region_id").isin(*ids)).orderBy("ord")

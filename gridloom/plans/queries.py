@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import classes, grid, scalars
-from ..operators import agreement, contract, hotspots, neighbours, regrid, series, trends
-from ..sources import store
+from ..functions import classes, grid, imagery, scalars, tiling
+from ..operators import agreement, contract, hotspots, neighbours, regrid, series, summaries, tiles, trends
+from ..sources import files, store
 from ..sources.driver_tables import OBS_SQL, REGIONS, observations, regions, table
 from ..streaming import running
 
@@ -668,6 +668,123 @@ def vector_profile(spark, sf):
     return table(spark, sf, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min(F.size("embedding")).alias("dims"))
 
 
+# --- summaries, files, imagery, tiles -------------------------------------------------------------
+
+
+@query("select dataset_id, count(*) as n_cells, count(value) as n_values, round(cast(sum(value) as double) / count(value), 9) as mean_value, round(sqrt(cast(count(value) * sum(value * value) - sum(value) * sum(value) as double) / cast(count(value) * count(value) as double)), 9) as std_value, min(value) as min_value, max(value) as max_value, cast(sum(value) as bigint) as total from obs group by all")
+def surface_statistics(spark, sf):
+    return summaries.surface_statistics(observations(spark, sf), ["dataset_id"])
+
+
+@query(f"select region_id, count(*) as n_cells, round(avg(entropy), 9) as mean_entropy, round(max(entropy), 9) as max_entropy, round(cast(sum(agreement_count) as double) / count(*), 9) as mean_agreement, count(*) filter (agreement_count = 1) as n_agree_1, count(*) filter (agreement_count = 2) as n_agree_2, count(*) filter (agreement_count = 3) as n_agree_3 from (select lat_idx, lon_idx, case max(n) when 3 then 0 when 2 then (-(2.0::double/3) * log2(2.0::double/3) - (1.0::double/3) * log2(1.0::double/3)) / log2(3) else 1 end as entropy, max(n) as agreement_count from (select lat_idx, lon_idx, class_id, count(*) as n from votes group by all) group by lat_idx, lon_idx having sum(n) = 3) e join regions r on 17.5 - 5 * e.lat_idx between r.south and r.north and 102.5 + 5 * e.lon_idx between r.west and r.east group by all", "votes regions")
+def classification_summary(spark, sf):
+    e = grid.all_regions(placed(agreement.vote_entropy3(votes(spark, sf))), regions(spark))
+    return summaries.classification_summary(e, ["region_id"])
+
+
+@query(f"select region_id, count(*) as n_cells, round(avg(ar), 9) as mean_agreement, round(cast(count(*) filter (up) as double) / count(*), 9) as share_robust_increase, round(cast(count(*) filter (down) as double) / count(*), 9) as share_robust_decrease, round(cast(count(*) filter (ar < 1) as double) / count(*), 9) as share_disputed from (select lat_idx, lon_idx, count(*) filter (trend_direction > 0) = 3 as up, count(*) filter (trend_direction < 0) = 3 as down, cast(greatest(count(*) filter (trend_direction > 0), count(*) filter (trend_direction < 0), count(*) filter (trend_direction = 0)) as double) / 3 as ar from ({_DIR}) group by all) a join regions r on 17.5 - 5 * a.lat_idx between r.south and r.north and 102.5 + 5 * a.lon_idx between r.west and r.east group by all", "sen regions")
+def agreement_summary(spark, sf):
+    a = grid.all_regions(placed(trends.trend_agreement(_direction(spark, sf), 3)), regions(spark))
+    return summaries.agreement_summary(a, ["region_id"])
+
+
+@query("select class_id, round(cast(sum(n) as double) / count(n), 9) as mean_fraction, max(n) as max_fraction, count(*) filter (n > 0) as n_positive, round(cast(count(*) filter (n > 0) as double) / count(n), 9) as positive_share from fracs group by all", "fracs")
+def class_profile(spark, sf):
+    return summaries.class_profile(fractions(spark, sf).drop("fraction"), "n")
+
+
+@query("select lat_idx, lon_idx, cast(arg_max(class_id, s * 100 - class_id) as int) as class_id from (select lat_idx, lon_idx, class_id, sum(n) as s from fracs group by all) group by all", "fracs")
+def vote_classification(spark, sf):
+    return summaries.vote_classification(fractions(spark, sf).drop("fraction"), "n")
+
+
+@query("select dataset_id, '{' || string_agg('\"' || class_id || '\":' || cast(share as varchar), ',' order by class_id) || '}' as shares from (select dataset_id, class_id, round(cast(count(*) as double) / sum(count(*)) over (partition by dataset_id), 4) as share from obs group by dataset_id, class_id) group by all")
+def vote_shares(spark, sf):
+    return summaries.vote_shares(observations(spark, sf), ["dataset_id"]).select("dataset_id", F.to_json("shares").alias("shares"))
+
+
+@query("select dataset_id, lat_idx, lon_idx, round(greatest(0::double, least(1::double, sum(fraction))), 9) as value from fracs where class_id in (2, 3, 4, 5, 6, 7) group by all", "fracs")
+def wetland_fraction(spark, sf):
+    return summaries.wetland_fraction(fractions(spark, sf), [2, 3, 4, 5, 6, 7])
+
+
+@query("select lat_idx, lon_idx, class_id, round(cast(n as double) / sum(n) over (partition by lat_idx, lon_idx), 9) as fraction from fracs where dataset_id = 'a'", "fracs")
+def area_to_fractions(spark, sf):
+    f = fractions(spark, sf).filter("dataset_id = 'a'").select(*CELL, "class_id", F.col("n").alias("ha"))
+    return summaries.dominant_shares(f).drop("ha")
+
+
+@query("select role as dataset_id, case when turn % 2 = 0 then 'even' else 'odd' end as status, count(*) as n, count(*) filter (conv_id % 10 = 0) as n_priority from conversations group by all", "")
+def nested_failures_explode(spark, sf):
+    c = table(spark, sf, "conversations")
+    runs = c.groupBy(F.col("conv_id").alias("run_id")).agg(F.collect_list(F.struct(F.col("role").alias("dataset_id"), F.when(F.col("turn") % 2 == 0, "even").otherwise("odd").alias("status"))).alias("results"))
+    return summaries.failure_counts(runs, c.filter("conv_id % 10 = 0").select(F.col("conv_id").alias("run_id")))
+
+
+_CAND = "select s_suppkey as candidate_id, cast(s_suppkey % 40 as double) - 20 as lat, 100 + cast(s_suppkey % 41 as double) as lon from supplier"
+
+
+@query(f"select candidate_id, round(cast(sum(value) as double) / count(value), 9) as score, count(value) as n_cells from ({_CAND}) c join (select 17.5::double - 5 * lat_idx as lat, 102.5::double + 5 * lon_idx as lon, value from ({_CELLSUM})) g on abs(g.lat - c.lat) <= 4 and abs(g.lon - c.lon) <= 4 group by all")
+def refined_candidates(spark, sf):
+    k = F.col("s_suppkey")
+    cand = table(spark, sf, "supplier").select(k.alias("candidate_id"), ((k % 40).cast("double") - 20).alias("lat"), (100 + (k % 41).cast("double")).alias("lon"))
+    return summaries.refined_scores(cand, placed(cell_sums(spark, sf)), 4.0)
+
+
+@query("select cast(floor((lat + 20) / 10) as int) as lat_idx, cast(floor((lon - 100) / 10) as int) as lon_idx, round(sum(value * cos(radians(lat))) / sum(case when value is not null then cos(radians(lat)) end), 9) as value, count(value) as n_source from placed group by all", "placed")
+def cos_weighted_bins(spark, sf):
+    return grid.cos_weighted_bins(placed(observations(spark, sf)), 100.0, -20.0, 10.0)
+
+
+@query("select o.dataset_id, round(sum(coalesce(m.f, 0)), 6) as mask_total, count(*) as n from surf o left join (select distinct lat_idx, lon_idx, 0.5::double as f from surf where dataset_id = 'a' and v > 0.5) m on o.lat_idx = m.lat_idx and o.lon_idx = m.lon_idx group by all", "surf")
+def mask_fraction(spark, sf):
+    s = surfaces(spark, sf)
+    mask = s.filter("dataset_id = 'a' and value > 0.5").select(*CELL, F.lit(0.5).alias("mask_fraction"))
+    return grid.mask_fraction(s, mask).groupBy("dataset_id").agg(F.round(F.sum("mask_fraction"), 6).alias("mask_total"), F.count(F.lit(1)).alias("n"))
+
+
+@query("select o_orderpriority as \"group\", cast(o_orderkey as varchar) as name, priority, valid_count from (select *, row_number() over (partition by o_orderpriority order by priority, valid_count desc, cast(o_orderkey as varchar)) as r from (select o_orderpriority, o_orderkey, case o_orderstatus when 'F' then 0 else 1 end as priority, o_custkey % 97 as valid_count from orders)) where r = 1", "")
+def best_raster(spark, sf):
+    r = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("group"), F.col("o_orderkey").cast("string").alias("name"), F.when(F.col("o_orderstatus") == "F", 0).otherwise(1).alias("priority"), (F.col("o_custkey") % 97).alias("valid_count"))
+    return files.best_raster(r)
+
+
+@query("select l_orderkey % 100 as k, l_linenumber as line, max(l_suppkey) as supplier from (select *, row_number() over (partition by l_orderkey % 100, l_linenumber order by l_suppkey desc, l_orderkey) as r from lineitem) where r = 1 group by all", "")
+def deduplicated(spark, sf):
+    li = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 100).alias("k"), F.col("l_linenumber").alias("line"), F.col("l_suppkey").alias("supplier"), (-F.col("l_suppkey")).alias("o"), "l_orderkey")
+    return files.deduplicated(li, ["k", "line"], ["o", "l_orderkey"]).select("k", "line", "supplier")
+
+
+@query("select event_type, quantile_cont(cast(event_id % 1000 as double), 0.5) filter (user_id & 5 = 0) as value, count(*) filter (user_id & 5 = 0) as n_clear from events group by all", "")
+def clear_median(spark, sf):
+    e = table(spark, sf, "events").select("event_type", (F.col("event_id") % 1000).alias("value"), F.col("user_id").alias("qa"))
+    return imagery.clear_median(e, ["event_type"], "value", "qa", 0, 2)
+
+
+@query("select cast(b as int) as batch, count(*) as n from (select floor(coalesce(sum(c_custkey % 100) over (partition by c_mktsegment order by c_custkey rows between unbounded preceding and 1 preceding), 0) / 5000) as b from customer) group by all", "")
+def size_batches(spark, sf):
+    c = table(spark, sf, "customer").select("c_mktsegment", "c_custkey", (F.col("c_custkey") % 100).alias("size"))
+    return imagery.size_batches(c, "c_mktsegment", "c_custkey", "size", 5000).groupBy("batch").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select case when strpos(lower(p_name), 'a') > 0 then 'has_a' else 'other' end as kind, count(*) as n from part group by all", "")
+def status_by_text(spark, sf):
+    p = table(spark, sf, "part")
+    return p.groupBy(F.when(F.lower("p_name").contains("a"), "has_a").otherwise("other").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select lat_idx, lon_idx, class_id, count(*) as weighted, cast(sum(count(*)) over (partition by lat_idx, lon_idx) as bigint) as coverage from obs group by lat_idx, lon_idx, class_id")
+def band_partials(spark, sf):
+    o = observations(spark, sf).withColumnsRenamed({"lat_idx": "y", "lon_idx": "x"}).withColumn("band", F.lit(0))
+    return tiles.band_partials(o, ["band"], [F.col("y"), F.col("x")]).drop("band")
+
+
+@query()
+def utm_tile_codes(spark, sf):
+    cells = placed(observations(spark, sf)).select(*CELL, "lat", "lon").distinct()
+    return cells.withColumn("tile_code", tiling.tile_code(F.col("lat"), F.col("lon")))
+
+
 # --- streaming -----------------------------------------------------------------------------------
 
 
