@@ -47,6 +47,8 @@ def automaton(text: bytes, classes: np.ndarray, width: int) -> np.ndarray:
 
     An entry is the next state times ``width``. Where the phrase cannot go on,
     it is the state after starting anew with that byte, with the sign bit set.
+    The last state is where nothing has begun: before the first byte, and after
+    a byte that the sample does not have, which is a phrase of its own.
     """
     following: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
@@ -73,11 +75,12 @@ def automaton(text: bytes, classes: np.ndarray, width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[state] = clone
         last = state
-    table = np.zeros((len(following), width), np.int64)
+    nothing = len(following) * width
+    table = np.zeros((len(following) + 1, width), np.int64)
     for state, ways in enumerate(following):
         for c, to in ways.items():
             table[state, c] = to * width
-    again = table[0] | (1 << 31)
+    again = np.where(table[0] == 0, nothing, table[0]) | (1 << 31)
     flat = np.where(table == 0, again[None, :], table)
     return flat.astype(np.uint32).view(np.int32).ravel()
 
@@ -109,8 +112,8 @@ class Model:
         steps = int(sizes[0]) if len(sizes) else 0
         active = np.searchsorted(-sizes, -np.arange(steps), side="left")
         out = np.zeros((len(self.langs), len(texts)))
-        states = np.zeros((len(self.langs), len(owner)), np.int32)
-        counts = np.ones((len(self.langs), len(owner)), np.int32)
+        counts = np.zeros((len(self.langs), len(owner)), np.int32)
+        states = np.repeat(np.array([[len(t) - self.width] for t in self.tables], np.int32), len(owner), axis=1).reshape(len(self.langs), len(owner))
         for t in range(steps):
             n = active[t]
             at = flat[starts[:n] + t]
@@ -119,7 +122,6 @@ class Model:
                 counts[k, :n] -= to >> 31
                 states[k, :n] = to & 0x7FFFFFFF
         for k in range(len(self.langs)):
-            # the first byte of a segment starts a phrase without ending one
             out[k] = np.bincount(owner, counts[k], len(texts))
         return out
 
