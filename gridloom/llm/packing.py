@@ -13,6 +13,8 @@ The plan is a list of runs: pieces number r0 to r1 of a length go, k to a bin,
 to bins b0, b0 + 1, ... Pieces are numbered within their length in parallel and
 find their run by a join.
 
+``pack_mixed`` does so for documents of consecutive positions of a mix at a time.
+
 Defined results: a null or empty text is one piece of the end id alone. A
 repeated row is packed as often as it occurs. A null doc_id is kept.
 """
@@ -27,13 +29,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import mixing
 from .common import as_documents, column, cut, mapped, ranked
 
 #: Above this many runs the plan is joined by a shuffle instead of a broadcast.
 BROADCAST_RUNS = 200_000
+#: Sequences' worth of tokens that are packed together along a mixed order.
+WINDOW = 64
 #: Words that a worker keeps with their ids, at most.
 CACHED = 600_000
 #: The mark of a token that ends a run of letters, digits or other characters.
@@ -243,3 +248,72 @@ def pack(docs: DataFrame, path: str, size: int = 4096, end: int = 1, most_docs:
     placed = ranked(made, ["length"], ["doc_id", "piece"], "rank").join(table, (F.col("length") == F.col("n")) & (F.col("rank") >= F.col("r0")) & (F.col("rank") < F.col("r1")))
     nth = F.col("rank") - F.col("r0")
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("b0") + F.expr("(rank - r0) div k")).alias("sequence_id"), (F.col("filled") + nth % F.col("k") * F.col("length")).alias("offset"))
+
+
+def _ahead(df: DataFrame, key: str, n: str) -> DataFrame:
+    """``df``, a row a ``key``, with the sum of ``n`` over lesser keys as ``ahead``; far keys are summed by ranges first."""
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    ranged = df.withColumn("_range", F.expr(f"{key} div 4096"))
+    totals = ranged.groupBy("_range").agg(F.sum(n).alias("_n"))
+    totals = totals.select(F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(before(Window.orderBy("_range"))), F.lit(0)).alias("_shift"))
+    own = F.coalesce(F.sum(n).over(before(Window.partitionBy("_range").orderBy(key))), F.lit(0))
+    return ranged.withColumn("_own", own).join(totals, F.col("_range") == F.col("_r")).select(*df.columns, (F.col("_own") + F.col("_shift")).cast("long").alias("ahead"))
+
+
+def pack_mixed(docs: DataFrame, path: str, size: int = 4096, end: int = 1, targets: dict[str, float] | None = None, window: int = WINDOW) -> DataFrame:
+    """pack() along the mixed order: with each piece's source and its document's position in the mix.
+
+    Documents with consecutive positions, about ``window`` sequences of tokens,
+    are packed together; sequences are numbered by window and within it by the
+    least position in them, so that over sequence_id sources have their shares.
+    """
+
+    def encoded(batch):
+        if path not in _words:
+            _words.clear()
+            _words[path] = Words(path)
+        ids, sizes = _words[path].encode(column(batch, "text"), end)
+        raw = memoryview(ids.astype("<u4").tobytes())
+        ends = np.cumsum(sizes).tolist()
+        crcs = [[zlib.crc32(raw[4 * b : 4 * min(b + size, e)]) for b in range(e - n, e, size)] for e, n in zip(ends, sizes.tolist(), strict=True)]
+        return {"doc_id": column(batch, "doc_id"), "source": column(batch, "source"), "tokens": sizes.astype(np.int64), "crcs": pa.array(crcs, pa.list_(pa.int64()))}
+
+    made = cut(mapped(as_documents(docs, F.col("source").cast("string").alias("source")), encoded, "doc_id long, source string, tokens long, crcs array<long>"))
+    # texts stay behind: a document's place depends on its id and source
+    placed = cut(mixing.mix(made, targets).select("doc_id", "source", "tokens", "crcs", "position", F.expr(f"position div {4 * mixing.BLOCK}").alias("part")))
+    parts = _ahead(placed.groupBy("part").agg(F.sum("tokens").alias("n")), "part", "n").select(F.col("part").alias("of"), F.expr(f"ahead div {window * size}").alias("window"))
+
+    def packed(table: pa.Table) -> pa.Table:
+        table = table.sort_by("position")
+        tokens = table.column("tokens").to_numpy()
+        pieces_of = -(-tokens // size)
+        owner = np.repeat(np.arange(len(tokens)), pieces_of)
+        piece = np.arange(len(owner)) - np.repeat(np.cumsum(pieces_of) - pieces_of, pieces_of)
+        length = np.minimum(size, tokens[owner] - piece * size)
+        by = np.argsort(length, kind="stable")  # pieces of a length by position
+        lengths, first, counts = np.unique(length[by], return_index=True, return_counts=True)
+        at = dict(zip(lengths.tolist(), first.tolist(), strict=True))
+        bins, offset = np.zeros(len(owner), np.int64), np.zeros(len(owner), np.int64)
+        for n, r0, r1, b0, k, filled in plan(dict(zip(lengths.tolist(), counts.tolist(), strict=True)), size):
+            rows, nth = by[at[n] + r0 : at[n] + r1], np.arange(r1 - r0)
+            bins[rows], offset[rows] = b0 + nth // k, filled + nth % k * n
+        _, least, bins = np.unique(bins, return_index=True, return_inverse=True)
+        order = np.empty(len(least), np.int64)
+        order[np.argsort(least, kind="stable")] = np.arange(len(least))
+        return pa.table({
+            "window": pa.array(np.full(len(owner), table.column("window")[0].as_py(), np.int64)),
+            "doc_id": table.column("doc_id").take(owner),
+            "piece": piece.astype(np.int32),
+            "start": piece * size,
+            "length": length,
+            "ids_crc32": pa.array([x for c in table.column("crcs").to_pylist() for x in c], pa.int64()),
+            "own": order[bins],
+            "offset": offset,
+            "source": table.column("source").take(owner),
+            "position": table.column("position").take(owner),
+        })
+
+    windowed = placed.join(parts, F.col("part") == F.col("of")).select("doc_id", "source", "tokens", "crcs", "position", "window")
+    done = cut(windowed.groupBy("window").applyInArrow(packed, "window long, doc_id long, piece int, start long, length long, ids_crc32 long, own long, offset long, source string, position long"))
+    shifts = _ahead(done.groupBy("window").agg((F.max("own") + 1).alias("n")), "window", "n").select(F.col("window").alias("of"), "ahead")
+    return done.join(shifts, F.col("window") == F.col("of")).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("own") + F.col("ahead")).alias("sequence_id"), "offset", "source", "position")
