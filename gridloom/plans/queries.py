@@ -570,11 +570,21 @@ _BOX = "select s_suppkey as id, cast(s_suppkey % 37 as double) * 0.5 as west, ca
 
 @query(f"select a.id as left_id, b.id as right_id from ({_BOX}) a join ({_BOX}) b on a.west <= b.east and a.east >= b.west and a.south <= b.north and a.north >= b.south where a.id % 10 = 0", "")
 def grid_hash_join(spark, sf):
-    k = F.col("s_suppkey")
-    b = table(spark, sf, "supplier").select(k.alias("id"), ((k % 37).cast("double") * 0.5).alias("west"), ((k % 23).cast("double") * 0.5).alias("south"), ((k % 37).cast("double") * 0.5 + 0.75).alias("east"), ((k % 23).cast("double") * 0.5 + 0.75).alias("north"))
+    b = _boxes(spark, sf)
     return grid.grid_hash_join(b.filter("id % 10 = 0"), b, 1.0)
 
 
+@query(f"select a.id as left_id, b.id as right_id from ({_BOX}) a join ({_BOX}) b on a.west <= b.east and a.east >= b.west and a.south <= b.north and a.north >= b.south", "")
+def grid_hash_join_all(spark, sf):
+    b = _boxes(spark, sf)
+    return grid.grid_hash_join(b, b, 1.0)
+
+
+def _boxes(spark, sf):
+    k = F.col("s_suppkey")
+    return table(spark, sf, "supplier").select(k.alias("id"), ((k % 37).cast("double") * 0.5).alias("west"), ((k % 23).cast("double") * 0.5).alias("south"), ((k % 37).cast("double") * 0.5 + 0.75).alias("east"), ((k % 23).cast("double") * 0.5 + 0.75).alias("north"))
+
+
 @query(f"select cast(lat_idx // 2 as int) as lat_idx, cast(lon_idx // 2 as int) as lon_idx, round(cast(sum(value) as double) / count(value), 9) as value, count(value) as n_source from ({_CELLSUM}) group by all")
 def regrid_coarsen(spark, sf):
     return regrid.coarsen(cell_sums(spark, sf), 2)
