@@ -14,6 +14,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -66,14 +67,13 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = batch.column(batch.schema.get_field_index(column)).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_pylist()
         start = held = 0
-        for i, value in enumerate(sizes):
-            value = value or b""
-            if held and held + len(value) > limit:
+        for i, size in enumerate(sizes):
+            if held and held + size > limit:
                 yield batch.slice(start, i - start)
                 start, held = i, 0
-            held += len(value) + 16
+            held += size + 16
         yield batch.slice(start)
 
 

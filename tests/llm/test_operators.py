@@ -343,25 +343,137 @@ def test_lm_distribution_adds_up_to_one():
     counts[[97, 98, 32, 256]] = 5, 3, 4, 2
     code = lm_scoring.Code(counts)
     assert math.isclose(sum(2.0 ** -int(n) for n in code.length), 1.0)
-    size = 1 << lm_scoring.SLOT_BITS
     rng = np.random.default_rng(0)
-    ones = rng.integers(0, 5, (lm_scoring.PREDICTORS, size)).astype(float)
-    mixer = lm_scoring.Mixer(code, ones, ones + rng.integers(0, 5, ones.shape))
+    mixer = lm_scoring.Mixer(code, rng.integers(0, 1 << 16, (len(lm_scoring.ORDERS), 1 << lm_scoring.LEAST_BITS)).astype(np.uint16))
     # all one-byte units that a space ends, and the empty one: the first symbol's probabilities
     first = {s: 0.0 for s in range(257)}
     for s in range(256):
         d = lm_scoring.Decisions(code, pa.array([bytes([s])]), np.array([0]))
         place = d.gate // 8 == 0
         total = 0.0
-        for count, _, way, slots, gate in d.depths():
-            t = mixer._mixed([mixer.inputs[k].take(x) for k, x in enumerate(slots)], gate)
+        for count, _, way, slots, gate in d.depths(mixer.bits):
+            t = mixer._mixed([mixer.inputs.take(mixer.table[k].take(x)) for k, x in enumerate(slots)], gate)
             total += float(-np.log1p(np.exp(np.where(way, -t, t)))[place[:count]].sum())
         first[s] = math.exp(total)
-    d = lm_scoring.Decisions(code, pa.array([b""]), np.array([1]))
-    first[256] = 10 ** float(mixer.cost(d, 1)[0])
+    first[256] = 10 ** float(mixer.cost(pa.array([b""]), np.array([lm_scoring.TEXT]))[0])
     assert math.isclose(sum(first.values()), 1.0, rel_tol=1e-4)
 
 
+def test_lm_words_are_a_share_of_one():
+    """Over all words of training and all forms, the words' probabilities add up to their weight."""
+    rng = np.random.default_rng(1)
+    worth = lm_scoring.Words(50, 10, rng.integers(0, 9, (5, lm_scoring.FORMS)))
+    for before in range(5):
+        own = sum(10 ** float(worth.mixed(np.array([-np.inf]), np.array([n]), np.array([f]), np.array([before]))[0]) for n in (10, 15, 25) for f in range(lm_scoring.OTHER))
+        assert math.isclose(own, worth.weight[before], rel_tol=1e-9)
+    assert len({(int(f), w.as_py()) for f, w in zip(*lm_scoring.forms(pa.array([b"ab", b"Ab", b"AB", b"ab\n", b"A", b"a"]), np.zeros(6, np.int64)), strict=True)}) == 6
+
+
+def lm_units(text):
+    """(unit, flags) of a text, one by one."""
+    out, before = [], lm_scoring.NOTHING
+    parts = text.replace(b"\n", b"\n ").split(b" ")
+    for i, u in enumerate(parts):
+        out.append((u, before * 3 + (lm_scoring.TEXT if i + 1 == len(parts) else lm_scoring.SPACE)))
+        before = lm_scoring.BLANK if not u else lm_scoring.STOP if u[-1:] in b".!?:;,\n" else lm_scoring.WORD
+    return out
+
+
+def lm_decisions(code, unit, flags, bits):
+    """(node, way, slot of each predictor, gate) of a unit's decisions, one by one."""
+    lead = max(lm_scoring.ORDERS)
+    row = [0] * (lead - 1) + [lm_scoring.STARTS + flags // 3, *unit]
+    if not (unit.endswith(b"\n") and flags % 3 == lm_scoring.SPACE):
+        row.append(lm_scoring.END if flags % 3 == lm_scoring.TEXT else 32)
+    for at in range(lead, len(row)):
+        for d in range(int(code.length[row[at]])):
+            node, slots = int(code.node[d][row[at]]), []
+            for k in lm_scoring.ORDERS:
+                c = 0
+                for x in row[at - 1 : at - k - 1 if at > k else None : -1]:
+                    c = (c * 521 + x) % 2**64
+                c = (c + (k << 50)) % 2**64
+                c = (c ^ c >> 31) * 0xBF58476D1CE4E5B9 % 2**64 >> 32
+                slots.append(((c ^ node * 0x9E3779B1 % 2**32) * 0x85EBCA6B % 2**32) >> (32 - bits))
+            yield node, int(code.way[d][row[at]]), slots, min(at - lead, 7) * 8 + min(d, 7)
+
+
+def test_lm_score_against_brute_force(spark):
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcé") for _ in range(rng.randint(1, 6))) for _ in range(40)]
+    texts = {i: "".join(rng.choice([w, w.title(), w.upper()]) + rng.choice([" ", " ", "  ", ", ", ".\n", "\t"]) for w in rng.choices(vocabulary, k=rng.randrange(30))) for i in range(60)} | {100: None, 101: ""}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    plain = {i: (t or "").encode() for i, t in texts.items()}
+    training = [t for i, t in plain.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    mixer, _ = lm_scoring.fit(lm_scoring.unit_counts(docs))
+    # the tables
+    ways = Counter()
+    for t in training:
+        for u, f in lm_units(t):
+            for _, way, slots, _ in lm_decisions(mixer.code, u, f, mixer.bits):
+                ways.update((k, s, way) for k, s in enumerate(slots))
+    value = lambda n: int(lm_scoring.scaled(np.array([n]))[0])
+    want = np.zeros_like(mixer.table)
+    for k, s in {(k, s) for k, s, _ in ways}:
+        want[k, s] = value(ways[k, s, 0]) + 256 * value(ways[k, s, 1])
+    assert (want == mixer.table).all()
+    # the scores
+    words = Counter(w for t in training for w in t.lower().split())
+    seen = np.zeros((5, lm_scoring.FORMS))
+
+    def form(u, f):
+        core, end = (u[:-1], 1) if u.endswith(b"\n") else (u, 0)
+        end = 2 if f % 3 == lm_scoring.TEXT else end
+        case = [core.lower(), core.capitalize(), core.upper()].index(core) if core in (core.lower(), core.capitalize(), core.upper()) else None
+        return lm_scoring.OTHER if case is None or core.split() != [core] else case * 3 + end
+
+    for t in training:
+        for u, f in lm_units(t):
+            seen[f // 3, form(u, f)] += 1
+    n = words.total()
+    worth = lm_scoring.Words(n, sum(c == 1 for c in words.values()), seen)
+    for r in lm_scoring.score(docs).collect():
+        total = 0.0
+        for u, f in lm_units(plain[r["doc_id"]]):
+            spelt = 1.0
+            for node, way, slots, gate in lm_decisions(mixer.code, u, f, mixer.bits):
+                x = sum(float(mixer.weights[k, gate]) * float(mixer.inputs[want[k, s]]) for k, s in enumerate(slots))
+                x = max(-11.9, min(11.9, x))
+                x += float(mixer.map[node * lm_scoring.BUCKETS + int((x + 12) * lm_scoring.BUCKETS / 24)])
+                spelt *= 1 / (1 + math.exp(-x if way else x))
+            before, fo = f // 3, form(u, f)
+            c = words[u.strip().lower()] if fo != lm_scoring.OTHER else 0
+            share = (seen[before, fo] + 0.5) / (seen[before, : lm_scoring.OTHER].sum() + 0.5 * lm_scoring.OTHER) if c else 0
+            weight = worth.weight[before]
+            total += math.log10(weight * c / n * share + (1 - weight) * spelt)
+        assert math.isclose(r["score"], total, rel_tol=2e-4)
+
+
+def test_lm_scores_do_not_depend_on_partitions(spark, docs):
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    made = []
+    for n, shuffled in ((3, "2"), (17, "9")):
+        spark.conf.set("spark.sql.shuffle.partitions", shuffled)
+        made.append({r["doc_id"]: (r["score"], r["base_score"]) for r in lm_scoring.score(docs.repartition(n)).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert made[0].keys() == made[1].keys()
+    for i, (a, b) in made[0].items():
+        assert math.isclose(a, made[1][i][0], rel_tol=1e-9) and math.isclose(b, made[1][i][1], rel_tol=1e-9)
+
+
+def test_lm_long_units_and_large_counts(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "LONG", 7)
+    docs = spark.createDataFrame([(i, "abc" * 40 + " x" * 9) for i in range(8)], "doc_id long, text string")
+    made = lm_scoring.score(docs).collect()
+    assert len(made) == 8 and all(r["score"] < 0 and math.isfinite(r["score"]) for r in made)
+    # counts beyond what a slot of a task holds: two rows of half the size are the same as one
+    unit = lambda n: [(b"ab", 0, n), (b"b", 1, 5)]
+    one, two = (spark.createDataFrame(rows, "unit binary, flags int, n long").coalesce(1) for rows in (unit(1 << 36), unit(1 << 35) + unit(1 << 35)[:1]))
+    code = lm_scoring.Code(np.arange(lm_scoring.SYMBOLS))
+    a, b = (lm_scoring._tables(df, code, 14) for df in (one, two))
+    assert (a == b).all() and a.max() > 255
+
+
 # 10 ---------------------------------------------------------------------------------------------
 
 
