@@ -1,15 +1,20 @@
 """Nearest neighbours by an inverted file with product-quantised residuals.
 
-Coarse centroids and the residuals' codebooks are fitted on a bounded sample
-(``SAMPLE`` vectors); every valid vector is in the index. A vector belongs to
+Coarse centroids and the residuals' codebooks are fitted on a sample that is a
+bounded multiple of the lists: ``FIT`` vectors a list for the centroids, level
+by level, and ``HELD`` more that these have not seen, for the codebooks and to
+tell how many lists have to be probed. There are as many lists as the square
+root of the vectors, up to ``MOST_LISTS`` and what ``SAMPLE_BYTES`` of sample
+allow. Every valid vector is in the index. A vector belongs to
 its nearest centroid's list and keeps the codes of its residual, a byte for
 every four dimensions. A query probes the lists of its nearest centroids, and
 in each it estimates cosines from its asymmetric table, takes the best
 ``RERANK`` (and all that tie with the last of them) and computes their exact
 cosines in double precision.
 
-The number of probed lists is the least that found ``TARGET`` of the sample's
-own true neighbours, so that it follows the data and not their number. Long
+The number of probed lists is the least that found ``TARGET`` of the true
+neighbours of held-out vectors among held-out vectors, so that it follows the
+data and not their number. Long
 lists are dealt over shards and many queries of one list over blocks, which
 keeps every task small whatever the sizes. Queries that found fewer neighbours
 than there are search all lists.
@@ -31,8 +36,10 @@ from pyspark.sql import functions as F
 
 from .common import column, cut
 
-SAMPLE, RERANK, TARGET = 16_384, 128, 0.985
-MOST_LISTS, SUB, CODES = 1 << 15, 4, 256
+FIT, HELD, SAMPLE_BYTES, RERANK, TARGET = 40, 20, 128 << 20, 128, 0.985
+MOST_LISTS, SUB, CODES, CODED = 1 << 12, 4, 256, 1 << 13
+#: Centroids that are fitted at once; more are fitted in two levels.
+AT_ONCE = 256
 #: Rows of a shard: at least so many, else twice a list's mean. Queries of a block.
 SHARD, QUERIES = 128, 1024
 
@@ -56,6 +63,17 @@ def k_means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.
     return centres
 
 
+def levels(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
+    """k centres: at once, or of parts that a first level of centres makes, each as many as its share of ``x``."""
+    if k <= AT_ONCE:
+        return k_means(x, k, rounds, rng)
+    first = k_means(x, math.isqrt(k), rounds, rng)
+    own = nearest(x, first)
+    counts = np.bincount(own, minlength=len(first))
+    share = np.maximum(counts > 0, counts * k // len(x))
+    return np.concatenate([levels(x[own == i], int(n), rounds, rng) for i, n in enumerate(share) if n])
+
+
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     half = (centres * centres).sum(axis=1) / 2
     step = max(1, (1 << 22) // max(1, len(centres)))
@@ -65,33 +83,40 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 class Index:
     """Centroids, codebooks and the number of lists to probe."""
 
-    def __init__(self, sample: np.ndarray, total: int, top: int, seed: int = 7):
+    def __init__(self, sample: np.ndarray, lists: int, top: int, seed: int = 7):
         rng = np.random.default_rng(seed)
-        x = unit(sample).astype(np.float32)
+        x = unit(sample).astype(np.float32)[rng.permutation(len(sample))]
         self.dims = x.shape[1]
         self.parts = -(-self.dims // SUB)
-        self.centres = k_means(x, max(1, min(MOST_LISTS, math.isqrt(total))), 8, rng)
-        own = nearest(x, self.centres)
-        rest = self._split(x - self.centres[own])[: SAMPLE // 2]
+        # a sample too small to be parted is fitted, coded and asked as a whole
+        parted = len(x) >= 4 * (FIT + HELD)
+        seen = x[: len(x) * FIT // (FIT + HELD)] if parted else x
+        held = x[len(seen) :] if parted else x
+        self.centres = levels(seen, max(1, min(lists, len(seen))), 8, rng)
+        some = held[:CODED]
+        rest = self._split(some - self.centres[nearest(some, self.centres)])
         self.books = np.stack([k_means(rest[:, m], CODES, 6, rng) for m in range(self.parts)])
-        self.probes = self._calibrated(x, own, top, rng)
+        self.probes = self._calibrated(held, top)
 
     def _split(self, x: np.ndarray) -> np.ndarray:
         return np.pad(x, ((0, 0), (0, self.parts * SUB - self.dims))).reshape(len(x), self.parts, SUB)
 
-    def _calibrated(self, x: np.ndarray, own: np.ndarray, top: int, rng: np.random.Generator) -> int:
-        """Lists to probe so that TARGET of the sample's neighbours are in them."""
+    def _calibrated(self, x: np.ndarray, top: int) -> int:
+        """Lists to probe so that TARGET of the neighbours of some of ``x`` in ``x`` are in them."""
         lists = len(self.centres)
-        asked = rng.choice(len(x), min(512, len(x)), replace=False)
         if len(x) <= top + 1:
             return lists
-        near = x[asked] @ x.T
-        near[np.arange(len(asked)), asked] = -2
-        best = np.argpartition(-near, top, axis=1)[:, :top]
-        order = np.argsort(-(x[asked] @ self.centres.T), axis=1)
-        place = np.empty_like(order)
-        np.put_along_axis(place, order, np.arange(lists)[None, :], axis=1)
-        needed = np.sort(np.take_along_axis(place, own[best], axis=1).ravel())
+        own, needed = nearest(x, self.centres), []
+        for i in range(0, min(512, len(x)), 64):
+            asked = x[i : min(i + 64, 512)]
+            near = asked @ x.T
+            near[np.arange(len(asked)), np.arange(i, i + len(asked))] = -2
+            best = np.argpartition(-near, top, axis=1)[:, :top]
+            order = np.argsort(-(asked @ self.centres.T), axis=1)
+            place = np.empty_like(order)
+            np.put_along_axis(place, order, np.arange(lists)[None, :], axis=1)
+            needed.append(np.take_along_axis(place, own[best], axis=1).ravel())
+        needed = np.sort(np.concatenate(needed))
         return int(min(lists, needed[min(len(needed) - 1, int(TARGET * len(needed)))] + 1))
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,19 +202,17 @@ def _search(x: DataFrame, queries: DataFrame, sent, form: str, top: int, every:
                 out.append(pd.DataFrame({"query_id": asked[i + j], "vec_id": ids[kept[best]], "score": score[best]}))
         return pd.concat(out)
 
-    index = x.mapInArrow(indexed, "vec_id long, list int, codes binary, raw binary")
-    probes = queries.mapInArrow(probing, "query_id long, list int, query binary")
-    rows = index.groupBy("list").agg(F.count(F.lit(1)).alias("rows"))
-    asked = probes.groupBy("list").agg(F.count(F.lit(1)).alias("asked"))
+    index = cut(x.mapInArrow(indexed, "vec_id long, list int, codes binary, raw binary"))
+    probes = cut(queries.mapInArrow(probing, "query_id long, list int, query binary"))
     mean = max(SHARD, 2 * -(-sent.value.total // len(sent.value.centres)))
-    sizes = {r["list"]: (-(-r["rows"] // mean), -(-(r["asked"] or 0) // QUERIES)) for r in rows.join(asked, "list", "left").collect()}  # a row a list
-    if not sizes:
-        return index.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("score")).filter("false")
-    shards = F.create_map(*[v for k, (a, _) in sizes.items() for v in (F.lit(k), F.lit(a))]) if len(sizes) else None
-    blocks = F.create_map(*[v for k, (_, b) in sizes.items() for v in (F.lit(k), F.lit(b))])
-    several = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = index.filter(blocks[F.col("list")] > 0).withColumn("shard", F.pmod(F.xxhash64("vec_id"), shards[F.col("list")]).cast("int")).withColumn("block", several(blocks[F.col("list")]))
-    right = probes.filter(shards[F.col("list")].isNotNull()).withColumn("block", F.pmod(F.xxhash64("query_id"), blocks[F.col("list")]).cast("int")).withColumn("shard", several(shards[F.col("list")]))
+    rows = index.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / mean).cast("int").alias("shards"))
+    asked = probes.groupBy(F.col("list").alias("of")).agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("blocks"))
+    # a row a list, of which there are MOST_LISTS at most
+    sizes = cut(rows.join(asked, F.col("list") == F.col("of")).select("of", "shards", "blocks"))
+    here = lambda: F.broadcast(sizes.select(*[F.col(c).alias(c) for c in sizes.columns]))
+    several = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = index.join(here(), F.col("list") == F.col("of")).withColumn("shard", F.pmod(F.xxhash64("vec_id", "raw"), "shards").cast("int")).withColumn("block", several("blocks"))
+    right = probes.join(here(), F.col("list") == F.col("of")).withColumn("block", F.pmod(F.xxhash64("query_id", "query"), "blocks").cast("int")).withColumn("shard", several("shards"))
     keys = ["list", "shard", "block"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compared, "query_id long, vec_id long, score double")
 
@@ -207,14 +230,18 @@ def search(table: DataFrame, every: int = 50, top: int = 5) -> DataFrame:
     empty = spark.range(0).select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
     if not total:
         return empty
+    dims = x.select(F.size("embedding")).first()[0]
+    lists = max(1, min(math.isqrt(total), MOST_LISTS, SAMPLE_BYTES // (4 * dims * (FIT + HELD))))
     whole = 1 << 30
-    share = min(whole, whole * SAMPLE // total)
-    rows = x.filter(F.pmod(F.xxhash64("vec_id"), F.lit(whole)) < share).select("vec_id", "embedding").toArrow()
+    share = min(whole, -(-whole * max(1024, (FIT + HELD) * lists) // total))
+    # by id and vector, and each of these once, so that repeated ids or rows do not all come
+    rows = x.filter(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(whole)) < share).select("vec_id", "embedding").distinct().toArrow()
     if not len(rows):
-        rows = x.limit(SAMPLE).toArrow()
-    order = np.argsort(rows.column("vec_id").to_numpy(), kind="stable")
-    values = rows.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(form, copy=False)
-    model = Index(values.reshape(len(rows), -1)[order], total, top)
+        rows = x.select("vec_id", "embedding").limit(1024).toArrow()
+    values = rows.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(form, copy=False).reshape(len(rows), -1)
+    # an order that does not depend on how the rows came
+    order = np.lexsort((*values.T[:2], rows.column("vec_id").to_numpy()))
+    model = Index(values[order], lists, top)
     model.total = total
     sent = spark.sparkContext.broadcast(model)
     queries = x.filter(F.col("vec_id") % every == 0)

@@ -12,6 +12,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -41,11 +42,13 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> None:
-    """See that there is a checkpoint folder: the cluster's, or one of our own where none is set."""
+    """See that there is a checkpoint folder: the cluster's, or one of our own where none is set and the master is local."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        own = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-")
-        context.setCheckpointDir(own)
+        own = context.getConf().get("spark.checkpoint.dir")
+        if not own and context.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        context.setCheckpointDir(own or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
 def staged(df: DataFrame) -> DataFrame:
@@ -139,19 +142,49 @@ def ranked(df: DataFrame, by: list[str], key: list[str], name: str) -> DataFrame
     A group is dealt by the first digits of the MD5 over buckets, twice as many
     as shuffle partitions; buckets are numbered side by side and shifted by the
     rows of the buckets before them, so that no task gets more than a share of
-    a large group. Nulls are values like any other.
+    a large group. Rows that share group and key (null or repeated ids) are one
+    row with a weight there; among themselves they are numbered by the input
+    partition they come from, whose counts are added up, so that no task gets
+    all of them either. Nulls are values like any other.
     """
     parts = min(1 << 14, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     text = F.concat_ws(":", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in key])
     hashed = df.withColumn("_md5", F.md5(text.cast("binary")))
-    bucketed = hashed.withColumn("_bucket", F.shiftright(F.conv(F.substring("_md5", 1, 6), 16, 10).cast("long") * parts, 24).cast("int"))
-    keys = [*by, "_bucket"]
-    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = bucketed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    own = Window.partitionBy(*keys).orderBy("_md5", *key)
-    numbered = bucketed.withColumn("_own", F.row_number().over(own) - 1)
-    shifts = shifts.select(*[F.col(k).alias(f"_s{k}") for k in keys], "_shift")
-    same = F.lit(True)
-    for k in keys:
-        same = same & numbered[k].eqNullSafe(shifts[f"_s{k}"])
-    return numbered.join(shifts, same).withColumn(name, (F.col("_own") + F.col("_shift")).cast("long")).drop("_md5", "_bucket", "_own", "_shift", *[f"_s{k}" for k in keys])
+    full, keys = [*by, *key], [*by, "_bucket"]
+
+    def same(left: DataFrame, right: DataFrame, names: list[str]):
+        return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[f"_s{k}"]) for k in names])
+
+    def aside(right: DataFrame, names: list[str], *more: str) -> DataFrame:
+        return right.select(*[F.col(k).alias(f"_s{k}") for k in names], *more)
+
+    # rows of keys that occur more than once: stored, as their number depends on where they stand
+    repeated = hashed.groupBy(*full, "_md5").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    known = aside(repeated, full)
+    marked = hashed.withColumn("_part", F.spark_partition_id())
+    several = cut(marked.join(known, same(marked, known, full), "left_semi"))
+    none = several.isEmpty()
+    single = hashed if none else hashed.join(known, same(hashed, known, full), "left_anti")
+
+    weighed = single.withColumns({"_n": F.lit(1).cast("long"), "_one": F.lit(True)})
+    if not none:
+        weighed = weighed.unionByName(repeated.withColumn("_one", F.lit(False)), allowMissingColumns=True)
+    bucketed = weighed.withColumn("_bucket", F.shiftright(F.conv(F.substring("_md5", 1, 6), 16, 10).cast("long") * parts, 24).cast("int"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    shifts = bucketed.groupBy(*keys).agg(F.sum("_n").alias("_n"))
+    shifts = aside(shifts.withColumn("_shift", F.coalesce(F.sum("_n").over(before(Window.partitionBy(*by).orderBy("_bucket"))), F.lit(0))), keys, "_shift")
+    own = F.coalesce(F.sum("_n").over(before(Window.partitionBy(*keys).orderBy("_md5", *key))), F.lit(0))
+    numbered = bucketed.withColumn("_own", own)
+    numbered = numbered.join(shifts, same(numbered, shifts, keys)).withColumn(name, (F.col("_own") + F.col("_shift")).cast("long"))
+    columns = [*df.columns, name]
+    if none:
+        return numbered.select(*columns)
+    placed = [*full, "_part"]
+    held = several.groupBy(*placed).agg(F.count(F.lit(1)).alias("_n"))
+    ahead = F.coalesce(F.sum("_n").over(before(Window.partitionBy(*full).orderBy("_part"))), F.lit(0))
+    ahead = aside(held.withColumn("_ahead", ahead), placed, "_ahead")
+    nth = several.withColumn("_nth", F.row_number().over(Window.partitionBy(*placed).orderBy("_md5")) - 1)
+    nth = nth.join(ahead, same(nth, ahead, placed)).select(*hashed.columns, (F.col("_nth") + F.col("_ahead")).alias("_nth"))
+    first = aside(numbered.filter(~F.col("_one")).withColumn("_first", F.col(name)), full, "_first")
+    rest = nth.join(first, same(nth, first, full)).withColumn(name, (F.col("_first") + F.col("_nth")).cast("long"))
+    return numbered.filter("_one").select(*columns).unionByName(rest.select(*columns))

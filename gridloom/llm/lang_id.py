@@ -6,8 +6,14 @@ language's sample; the language that needs the fewest phrases for its length,
 weighted by the logarithm of the sample's length, wins.
 
 The parse runs over all texts of a slice side by side: texts are cut into
-segments of ``SEGMENT`` bytes (every byte is parsed; a phrase ends where a
-segment ends), and one numpy step moves every segment by one byte.
+segments of ``SEGMENT`` bytes, and one numpy step moves every segment by one
+byte. A phrase goes on over a segment's edge: segments are first parsed as if
+one began there, then again from the state that the one before ends in, until
+both parses are in the same state, which is soon.
+
+The sample has ``DOC_BYTES`` characters from a place in each of its documents
+that a hash gives. Languages beyond the ``LANGS`` that most documents have are
+not learnt.
 
 Defined results: a null text or one without letters gives ``und`` and score 0,
 and so does every text if there is nothing to learn from. Equal costs go to
@@ -24,9 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import as_documents, column, mapped, passed
 
-#: Bounds of the sample that the automata are made from: documents a language,
-#: bytes of each, bytes a language, bytes of all languages together.
-SAMPLE_DOCS, DOC_BYTES, LANG_BYTES, ALL_BYTES = 192, 200, 32_000, 320_000
+#: Bounds of the sample that the automata are made from: languages, documents a language,
+#: characters of each, bytes a language, bytes of all languages together.
+LANGS, SAMPLE_DOCS, DOC_BYTES, LANG_BYTES, ALL_BYTES = 64, 192, 200, 32_000, 320_000
 SEGMENT = 512
 UNKNOWN = "und"
 
@@ -121,10 +127,41 @@ class Model:
                 to = table.take(states[k, :n] + at)
                 counts[k, :n] -= to >> 31
                 states[k, :n] = to & 0x7FFFFFFF
+        at = np.empty(len(order), np.int64)
+        at[order] = np.arange(len(order))
+        before, later = np.full(len(order), -1), np.flatnonzero(index > 0)
+        before[later] = at[later - 1]  # a text's segments stood one after another
+        self._joined(flat, starts, sizes, before[order], states, counts)
         for k in range(len(self.langs)):
             out[k] = np.bincount(owner, counts[k], len(texts))
         return out
 
+    def _joined(self, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, before: np.ndarray, states: np.ndarray, counts: np.ndarray) -> None:
+        """Correct the counts of segments for the states that the segments ``before`` them end in."""
+        for k, table in enumerate(self.tables):
+            entered = np.full(len(sizes), len(table) - self.width, np.int32)
+            todo = np.flatnonzero(before >= 0)
+            while True:
+                todo = todo[states[k, before[todo]] != entered[todo]]
+                if not len(todo):
+                    break
+                old, new = entered[todo], states[k, before[todo]]
+                entered[todo] = new
+                run, step = todo, 0
+                while True:
+                    # a segment that has ended in another state than before changes what follows it
+                    over = sizes[run] <= step
+                    states[k, run[over]] = new[over]
+                    go = ~over & (old != new)
+                    run, old, new = run[go], old[go], new[go]
+                    if not len(run):
+                        break
+                    byte = flat[starts[run] + step]
+                    a, b = table.take(old + byte), table.take(new + byte)
+                    counts[k, run] += (a >> 31) - (b >> 31)
+                    old, new = a & 0x7FFFFFFF, b & 0x7FFFFFFF
+                    step += 1
+
     def predict(self, texts: list[bytes | None]) -> tuple[list[str], np.ndarray]:
         lettered = [bool(t) and bool(_LETTER.search(t.decode("utf-8", "replace"))) for t in texts]
         plain = [folded(t) if ok else b"" for t, ok in zip(texts, lettered, strict=True)]
@@ -150,17 +187,19 @@ def held_out():
 def fit(docs: DataFrame) -> Model:
     """Make the automata from a sample bounded by the constants above.
 
-    A document is in the sample by a hash of its id, at a rate set by the
-    number of documents of its language.
+    A document is in the sample by a hash of its id and text, at a rate set by
+    the number of documents of its language; copies of a row count once.
     """
     labelled = docs.filter(F.col("lang").isNotNull() & ~F.coalesce(held_out(), F.lit(False)))
-    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
+    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()}
     if not counts:
         return Model({})
     whole = 1 << 30
     rates = [x for k, n in counts.items() for x in (F.lit(k), F.lit(min(whole, whole * SAMPLE_DOCS // n)))]
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(whole))
-    rows = labelled.filter((place < F.create_map(*rates)[F.col("lang")]) & F.col("text").isNotNull()).select("lang", place.alias("place"), F.substring("text", 1, DOC_BYTES).alias("text")).distinct().collect()
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(whole))
+    begin = F.pmod(F.xxhash64("doc_id", "text", F.lit(1)), F.greatest(F.lit(1), F.length("text") - DOC_BYTES + 1)).cast("int") + 1
+    chosen = labelled.filter((place < F.create_map(*rates)[F.col("lang")]) & F.col("text").isNotNull())
+    rows = chosen.select("lang", place.alias("place"), F.substring("text", begin, F.lit(DOC_BYTES)).alias("text")).distinct().collect()
     most = min(LANG_BYTES, ALL_BYTES // len(counts))
     samples: dict[str, bytes] = {}
     for lang, _, text in sorted(rows, key=lambda r: (r[0], r[1], r[2])):

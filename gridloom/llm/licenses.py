@@ -6,11 +6,15 @@ increasing subsequence of their places is kept, equal words at either end of a
 gap are matched, and each gap between anchors is aligned in the same way. A
 template is found where ``COVERAGE`` of its words are matched.
 
-Windows come from keys. A copy that covers that share of a template's words
-misses few of them, so at least one of the ``missing + 1`` words that are
-rarest in the text must be there: a window is opened where each of their
-occurrences puts the template, and is aligned if its words could reach the
-coverage at all. No window is longer than twice the template and ``SLACK``.
+A copy may have words put in between, up to ``SPREAD`` times the template's
+length in all: windows begin at each of the template's words in the text and
+have the template's length, twice that, and so on up to SPREAD times; the one
+that matches most, the shortest of equal ones, is a find if it reaches the
+coverage. In longer ones copies side by side leave no word unique. Only windows that
+cannot reach the coverage are left out unaligned: by the words that they have
+at all, which are counted as windows slide over the text, and only near the
+template's words that are rarest in it. ``find`` is tested against the same
+search without these.
 
 Defined results: a null or empty text has no notices; overlapping finds of one
 template count once, the best of them; repeated rows each get their row.
@@ -18,27 +22,38 @@ template count once, the best of them; repeated rows each get their row.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import as_documents, column, mapped
 
-COVERAGE, SLACK = 0.8, 8
+COVERAGE, SPREAD = 0.8, 4
 
 # Short notices and the opening parts of public licenses, by SPDX name.
 TEMPLATES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0"],
+    "Apache-2.0": [
+        "Licensed under the Apache License, Version 2.0",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License",
+    ],
     "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Released under the BSD 3-Clause License"],
     "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License", "Licensed under CC BY 4.0"],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0", "Licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0"],
     "GPL-2.0": ["Licensed under the GNU General Public License, version 2", "This work is licensed under the GNU General Public License, version 2"],
     "GPL-3.0": ["Licensed under the GNU General Public License, version 3", "This work is licensed under the GNU General Public License, version 3", "either version 3 of the License, or (at your option) any later version"],
-    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    ],
     "LGPL-3.0": ["Licensed under the GNU Lesser General Public License, version 3"],
-    "MIT": ["Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
+    "MIT": [
+        "Released under the MIT License",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE",
+    ],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
     "Unlicense": ["This is free and unencumbered software released into the public domain"],
 }
@@ -92,67 +107,94 @@ def align(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def disjoint(found: list[tuple], value) -> list[tuple]:
+    """Of finds (..., first, last, ...) that overlap the one of most ``value``, in order of place."""
+    taken: list[tuple[int, int]] = []
+    out = []
+    for x in sorted(found, key=value):
+        first, last = x[1], x[2]
+        i = bisect_left(taken, (first, last))
+        if (i == len(taken) or last < taken[i][0]) and (not i or taken[i - 1][1] < first):
+            insort(taken, (first, last))
+            out.append(x)
+    return sorted(out, key=lambda x: (x[1], x[0]))
+
+
 class Scanner:
-    def __init__(self, templates: dict[str, list[str]] = TEMPLATES, coverage: float = COVERAGE):
-        self.coverage = coverage
+    def __init__(self, templates: dict[str, list[str]] = TEMPLATES, coverage: float = COVERAGE, spread: int = SPREAD):
+        self.coverage, self.spread = coverage, spread
         self.templates = [(name, w, Counter(w)) for name, texts in sorted(templates.items()) for w in (words_of(t.encode()) for t in texts)]
         self.words = {w for _, t, _ in self.templates for w in t}
 
-    def find(self, text: bytes) -> list[tuple[str, int, int, float]]:
-        """(template, first word, last word, coverage) in order."""
+    def at(self, words: list[bytes], template: list[bytes], start: int) -> tuple[float, int, int] | None:
+        """(coverage, first, last) of the window from ``start`` on that matches most, if that is enough."""
+        n, best = len(template), []
+        for k in range(1, self.spread + 1):
+            pairs = align(words[start : start + k * n], template)
+            if len(pairs) > len(best):
+                best = pairs
+            if len(best) == n or start + k * n >= len(words):
+                break
+        return (len(best) / n, start + best[0][0], start + best[-1][0]) if len(best) >= self.coverage * n else None
+
+    def starts(self, words: list[bytes], template: list[bytes], bag: Counter, places: dict[bytes, list[int]]) -> list[int]:
+        """The places of template words from which the longest window has words enough."""
+        n, wide = len(template), self.spread * len(template)
+        if sum(min(k, len(places.get(w, ()))) for w, k in bag.items()) < self.coverage * n:
+            return []
+        # a find misses (1 - coverage) of the words at most, so one of these, the rarest, is in it
+        keys, missing = [], 0
+        for w in sorted(bag, key=lambda w: (len(places.get(w, ())), w)):
+            keys += places.get(w, ())
+            missing += bag[w]
+            if missing > n - self.coverage * n:
+                break
+        keys = np.sort(np.array(keys, np.int64))
+        every = np.sort(np.concatenate([np.array(places.get(w, ()), np.int64) for w in bag]))
+        following = np.searchsorted(keys, every)
+        near = np.zeros(len(every), bool)
+        inside = following < len(keys)
+        near[inside] = keys[following[inside]] < every[inside] + wide
+        out, have, total, end = [], Counter(), 0, 0
+        listed = every.tolist()
+        for i, ok in enumerate(near.tolist()):
+            if not ok:
+                have, total, end = Counter(), 0, max(end, i + 1)
+                continue
+            if not have:
+                end = i
+            while end < len(listed) and listed[end] < listed[i] + wide:
+                w = words[listed[end]]
+                have[w] += 1
+                total += have[w] <= bag[w]
+                end += 1
+            if total >= self.coverage * n:
+                out.append(listed[i])
+            w = words[listed[i]]
+            total -= have[w] <= bag[w]
+            have[w] -= 1
+            if not have[w]:
+                del have[w]
+        return out
+
+    def find(self, text: bytes) -> list[tuple[str, int, int, float, int]]:
+        """(template, first word, last word, coverage, matched words) in order."""
         words = words_of(text)
         places: dict[bytes, list[int]] = {}
         known = self.words
         for i, w in enumerate(words):
             if w in known:
                 places.setdefault(w, []).append(i)
-        out: list[tuple[str, int, int, float]] = []
+        out: list[tuple[str, int, int, float, int]] = []
         for name, template, bag in self.templates:
-            n = len(template)
-            needed = -int(-self.coverage * n // 1)
-            if sum(min(k, len(places.get(w, ()))) for w, k in bag.items()) < needed:
-                continue
-            # the words missing from a copy are at most n - needed, so one of these is there
-            rare = sorted(bag, key=lambda w: (len(places.get(w, ())), w))
-            keys, missing = [], 0
-            for w in rare:
-                keys.append(w)
-                missing += bag[w]
-                if missing > n - needed:
-                    break
-            starts = sorted({p - j for w in keys for j in (x for x, t in enumerate(template) if t == w) for p in places.get(w, ())})
-            found = []
-            done = None
-            for s in starts:
-                if done is not None and s <= done:
-                    continue
-                done = s + min(SLACK // 2, n - 1)  # a window serves all starts near its own
-                # the template's length first: in a longer window copies side by side leave no word unique
-                for slack in (0, SLACK):
-                    low = max(0, s - slack)
-                    window = words[low : s + n + 2 * slack]
-                    have = Counter(window)
-                    if sum(min(k, have[w]) for w, k in bag.items()) < needed:
-                        continue
-                    pairs = align(window, template)
-                    if len(pairs) >= needed:
-                        found.append((len(pairs) / n, low + pairs[0][0], low + pairs[-1][0]))
-                        break
-            taken: list[tuple[int, int]] = []
-            for c, a, b in sorted(found, key=lambda x: (-x[0], x[2] - x[1], x[1])):
-                if all(b < x or y < a for x, y in taken):
-                    taken.append((a, b))
-                    out.append((name, a, b, c))
+            found = {self.at(words, template, s) for s in self.starts(words, template, bag, places)}
+            out += disjoint([(name, a, b, c, round(c * len(template))) for c, a, b in found - {None}], lambda x: (-x[3], x[2] - x[1], x[1]))
         return sorted(out, key=lambda x: (x[1], x[0]))
 
 
-def best_at_each_place(found: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int, float]]:
-    """Of finds that overlap, the one with most matched words."""
-    out: list[tuple[str, int, int, float]] = []
-    for x in sorted(found, key=lambda x: (-x[3] * (x[2] - x[1] + 1), x[0])):
-        if all(x[2] < y[1] or y[2] < x[1] for y in out):
-            out.append(x)
-    return sorted(out, key=lambda x: (x[1], x[0]))
+def best_at_each_place(found: list[tuple[str, int, int, float, int]]) -> list[tuple[str, int, int, float, int]]:
+    """Of finds that overlap, the one with most matched words, then the shortest."""
+    return disjoint(found, lambda x: (-x[4], x[2] - x[1], x[0], x[1]))
 
 
 def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, coverage: float = COVERAGE) -> DataFrame:
@@ -166,7 +208,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, coverage:
             "n_notices": [len(x) for x in made],
             "licenses": [",".join(sorted({y[0] for y in x})) for x in made],
             "best_coverage": [max((y[3] for y in x), default=0.0) for x in made],
-            "spans": [",".join(f"{a}:{b}:{c}" for a, b, c, _ in x) for x in made],
+            "spans": [",".join(f"{a}:{b}:{c}" for a, b, c, *_ in x) for x in made],
         }
 
     return mapped(as_documents(docs), run, "doc_id long, n_notices long, licenses string, best_coverage double, spans string")

@@ -45,6 +45,7 @@ CACHED = 600_000
 WORD_END = "</w>"
 _PLAIN = re.compile(rb"([A-Za-z]+)([.,;:!?#$%&*|]*)")
 _LETTERS = regex.compile(r"(\p{L}+)([.,;:!?#$%&*|]*)")
+_ALL_LETTERS = regex.compile(r"\p{L}+")
 
 
 class Words:
@@ -58,6 +59,7 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.normal = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer else str
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
@@ -110,7 +112,8 @@ class Words:
             if m:
                 plain.append(w)
                 pairs += (m[1].lower(), m[2])
-            elif not w.isascii() and (m := _LETTERS.fullmatch(w.decode("utf-8", "replace"))):
+            # letters of long standing, which the tokenizer makes letters of too: some become a letter and a mark
+            elif not w.isascii() and (m := _LETTERS.fullmatch(w.decode("utf-8", "replace"))) and max(m[1]) < "\u0530" and _ALL_LETTERS.fullmatch(self.normal(m[1])):
                 plain.append(w)
                 pairs += (m[1].encode(), m[2].encode())
             else:
@@ -186,10 +189,9 @@ def plan(counts: dict[int, int], size: int, most_docs: int | None = None, most_c
     if any((d > caps).any() for d in asked.values()):
         raise ValueError("a piece asks for more than a whole bin has")
     if weights is None:
-        # a constraint that can't bind has no say; others weigh as their load
+        # a dimension weighs as its load, the share of its capacity that all pieces together ask for
         load = sum((d * counts[n] for n, d in asked.items()), np.zeros(3)) / caps
-        binds = np.array([True, most_docs < size, most_cost < size * size])
-        weigh = np.where(binds, load / max(load.max(), 1e-300), 0.0)
+        weigh = load / max(load.max(), 1e-300)
     else:
         weigh = np.array(weights, float)
     need_of = {n: np.array([n, 1, n * n], np.int64) for n in counts}

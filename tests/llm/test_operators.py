@@ -15,7 +15,7 @@ import pytest
 from tokenizers import Tokenizer
 from xxhash import xxh64_intdigest
 
-from gridloom.llm import ann, lang_id, licenses, lm_scoring, mixing, packing, pii, quality, simhash, substrings
+from gridloom.llm import ann, common, lang_id, licenses, lm_scoring, mixing, packing, pii, quality, simhash, substrings
 from gridloom.llm.components import components
 from tests.conftest import SF
 
@@ -109,6 +109,41 @@ def test_special_words_are_tokenized_as_in_whole_texts():
         assert w.encode(pa.array([text.encode()]), 1)[0].tolist() == t.encode(text, add_special_tokens=False).ids + [1]
 
 
+def test_ids_of_random_words_are_those_of_the_tokenizer():
+    rng, w, t = random.Random(9), packing.Words(PATH), Tokenizer.from_file(PATH)
+    ranges = [(33, 126), (33, 126), (0xA0, 0x24F), (0x250, 0x52F), (0x530, 0x10FF), (0x1E00, 0x2FFF), (0x3040, 0x30FF), (0xAC00, 0xACFF), (0xF900, 0xFAFF), (0x1F300, 0x1F3FF)]
+    odd = ["\u0130,", "A\u0130.", "\u0130stanbul, \u0130!", "\u2126,", "\u0958.", "e\u0301,", "\u01c5!", "\ufb01.", "\u1e9e;"]
+    made = [" ".join("".join(chr(rng.randint(*rng.choice(ranges))) for _ in range(rng.randint(1, 6))) + rng.choice(["", ".", ",!"]) for _ in range(12)) for _ in range(1500)]
+    letters = [c for c in map(chr, range(0xA0, 0x2000)) if c.isalpha()]
+    made += [" ".join("".join(rng.choices(letters, k=rng.randint(1, 4))) + rng.choice(["", ".", ",!"]) for _ in range(12)) for _ in range(1500)]
+    for text in odd + made:
+        assert w.encode(pa.array([text.encode()]), 1)[0].tolist() == t.encode(text, add_special_tokens=False).ids + [1], ascii(text)
+
+
+def test_every_dimension_has_a_say():
+    """At the query's capacities bins are chosen by all three residuals, and there are no more of them than the tokens need."""
+    rng = np.random.default_rng(6)
+    v, c = np.unique(np.minimum(4096, rng.geometric(1 / 700, 20_000)), return_counts=True)
+    counts = dict(zip(v.tolist(), c.tolist(), strict=True))
+    vector, scalar = packing.plan(counts, 4096), packing.plan(counts, 4096, weights=(1, 0, 0))
+    bins = lambda runs: max(b0 + (r1 - r0 - 1) // k for _, r0, r1, b0, k, _ in runs) + 1
+    assert vector != scalar
+    assert bins(vector) <= 1.002 * sum(a * b for a, b in counts.items()) / 4096 + 1
+
+
+def test_rows_of_one_key_are_no_single_task(spark):
+    rows = [(None, "a", f"t{i}") for i in range(4000)] + [(5, "a", "same")] * 900 + [(i, "a", "x") for i in range(100, 400)] + [(None, None, "y")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(16)
+    made = common.ranked(df, ["source"], ["doc_id"], "n").collect()
+    for source in ("a", None):
+        assert sorted(r["n"] for r in made if r["source"] == source) == list(range(sum(x[1] == source for x in rows)))
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in made) == sorted((x[0] or -1, x[2]) for x in rows)
+    key = lambda i: (hashlib.md5(str("null" if i is None else i).encode()).hexdigest(), i or -1)
+    assert [r["doc_id"] for r in sorted((r for r in made if r["source"] == "a"), key=lambda r: r["n"])] == sorted((x[0] for x in rows if x[1] == "a"), key=key)
+    plan = common.ranked(df, ["source"], ["doc_id"], "n")._jdf.queryExecution().analyzed().toString()
+    assert "_part" in plan  # rows of one key are numbered by the partition they come from
+
+
 # 3 ----------------------------------------------------------------------------------------------
 
 
@@ -208,12 +243,51 @@ def test_redaction(spark):
 def test_licenses():
     s = licenses.Scanner()
     text = b"x Released under the MIT License. Released under the MIT License. licensed under the gnu general public license version 3 y"
-    assert [(n, a, b) for n, a, b, _ in licenses.best_at_each_place(s.find(text))] == [("MIT", 1, 5), ("MIT", 6, 10), ("GPL-3.0", 11, 19)]
+    assert [(n, a, b) for n, a, b, *_ in licenses.best_at_each_place(s.find(text))] == [("MIT", 1, 5), ("MIT", 6, 10), ("GPL-3.0", 11, 19)]
     noisy = b"Permission is granted hereby free of any charge to any person obtaining one copy of this software and associated documentation files now"
     assert [n for n, *_ in licenses.best_at_each_place(s.find(noisy))] == ["MIT"]
     assert s.find(b"the license of the work is under the general public eye, version by version") == []
 
 
+def test_license_search_against_brute_force():
+    """The search that leaves windows out finds what a search from every word finds."""
+    rng = random.Random(12)
+    for k in range(300):
+        vocabulary = "abcdefghij"[: rng.randint(3, 10)]
+        templates = {f"t{i}": [" ".join(rng.choices(vocabulary, k=rng.randint(2, 9)))] for i in range(3)}
+        s = licenses.Scanner(templates, rng.choice([0.5, 0.8, 1.0]), rng.randint(1, 4))
+        text = []
+        for _ in range(rng.randint(0, 6)):
+            text += rng.choices(vocabulary + "xyz", k=rng.randrange(20))
+            copy = rng.choice(list(templates.values()))[0].split()
+            text += [w for c in copy for w in [c, *rng.choices("xyz", k=rng.choice([0, 0, 0, 1, 5]))] if rng.random() > 0.05]
+        words_ = [w.encode() for w in text]
+        want = []
+        for name, template, _ in s.templates:
+            found = {s.at(words_, template, i) for i, w in enumerate(words_) if w in template} - {None}
+            taken = []
+            for c, a, b in sorted(found, key=lambda x: (-x[0], x[2] - x[1], x[1])):
+                if all(b < x or y < a for x, y in taken):
+                    taken.append((a, b))
+                    want.append((name, a, b, c, round(c * len(template))))
+        assert s.find(" ".join(text).encode()) == sorted(want, key=lambda x: (x[1], x[0])), k
+
+
+def test_licenses_with_words_put_in_and_many_of_them(spark):
+    s = licenses.Scanner()
+    opening = licenses.TEMPLATES["MIT"][1].split()
+    for more in (8, 24, 40, 55):
+        text = " ".join([*opening[:10], *["word"] * more, *opening[10:]])
+        assert [(n, c) for n, _, _, c, _ in licenses.best_at_each_place(s.find(text.encode()))] == [("MIT", 1.0)]
+    many = "Released under the MIT License. " * 20_000
+    assert len(licenses.best_at_each_place(s.find(many.encode()))) == 20_000
+    rows = [(1, "x " + licenses.TEMPLATES["MIT"][2] + " y", "s"), (2, "nothing here", "s"), (3, None, "s"), (4, "This work is licensed under a GNU General Public License, version 2 or 3", "s")]
+    made = {r["doc_id"]: (r["n_notices"], r["licenses"], r["spans"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    n = len(licenses.words_of(licenses.TEMPLATES["MIT"][2].encode()))
+    assert made[1] == (1, "MIT", f"MIT:1:{n}") and made[2] == made[3] == (0, "", "")
+    assert made[4][:2] == (1, "GPL-2.0")
+
+
 def test_patience_alignment_matches_common_order():
     rng = random.Random(6)
     for _ in range(200):
