@@ -60,6 +60,15 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def deleted(stage: DataFrame) -> None:
+    """Delete the files of staged(), once what was made of them is written."""
+    spark = stage.sparkSession
+    for file in stage.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        if folder.getName().startswith("stage-"):
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def as_documents(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, the text's UTF-8 bytes (null: empty) and the columns named."""
     return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"), *more)
