@@ -20,9 +20,16 @@ than once have to meet. Neighbouring windows with one anchor form a run.
   pieces are counted by digests, those with one core meet as above, and where
   even a core has more than TOGETHER pieces, its windows are counted.
 
-Texts travel compressed, and only to be joined by their digest. Defined
-results: a null or empty text has no bytes and no spans; repeated rows count
-as copies of each other; matches never cross rows.
+Texts travel compressed, and only to be joined by their digest.
+
+Passages are found in the same way: a text's words, each as one byte of its
+hash, are a string in which a passage of over 50 words that occurs elsewhere is
+a repeated window of ``WORDS`` bytes. They are reported and not removed. Two
+passages are taken for one if all their words' bytes agree, which for other
+than a few words said over and over is out of the question.
+
+Defined results: a null or empty text has no bytes, no spans and no passages;
+repeated rows count as copies of each other; matches never cross rows.
 """
 
 from __future__ import annotations
@@ -36,9 +43,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from .common import as_documents, column, cut, mapped, staged
+from .common import as_documents, column, cut, deleted, mapped, staged
 
 LENGTH, GRAM, PIECE, TOGETHER = 400, 32, 32, 256
+#: Words of a passage, at least, and of the grams among which its anchor is.
+WORDS, WORD_GRAM = 51, 8
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -215,16 +224,20 @@ def _core(data: bytes, base: int, k: int, length: int) -> bytes:
     return data[k * PIECE + PIECE - 1 - base : k * PIECE + length - base]
 
 
-def _runs(docs: DataFrame, length: int) -> DataFrame:
+def _runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """doc_id, text_id, anchor, at (first window), low, high (windows by place from the anchor), run (digest)."""
 
+    given = "packed" in docs.columns
+
     def run(batch):
         owner, ids, rows = [], [], []
-        for i, t in enumerate(column(batch, "text").to_pylist()):
-            first, last, place, h = anchors(t, length)
+        names = column(batch, "text_id").to_pylist() if given else None
+        for i, t in enumerate(column(batch, "packed" if given else "text").to_pylist()):
+            t = zstandard.ZstdDecompressor().decompress(t) if given else t
+            first, last, place, h = anchors(t, length, gram)
             if len(first):
                 owner += [i] * len(first)
-                ids += [text_digest(t)] * len(first)
+                ids += [names[i] if given else text_digest(t)] * len(first)
                 low = first - place
                 runs = [_digest(t[a : b + length] + x.to_bytes(8, "little", signed=True)) for a, b, x in zip(first.tolist(), last.tolist(), low.tolist(), strict=True)]
                 rows.append((h.view(np.int64), first, low, last - place, runs))
@@ -233,7 +246,7 @@ def _runs(docs: DataFrame, length: int) -> DataFrame:
         h, first, low, high, runs = zip(*rows, strict=True)
         return {"doc_id": column(batch, "doc_id").take(pa.array(owner)), "text_id": ids, "anchor": np.concatenate(h), "at": np.concatenate(first), "low": np.concatenate(low).astype(np.int32), "high": np.concatenate(high).astype(np.int32), "run": [x for r in runs for x in r]}
 
-    return mapped(docs, run, "doc_id long, text_id long, anchor long, at long, low int, high int, run binary")
+    return mapped(docs, run, "doc_id long, text_id long, anchor long, at long, low int, high int, run binary", column="packed" if given else "text")
 
 
 def _fetched(texts: DataFrame, length: int) -> DataFrame:
@@ -347,14 +360,18 @@ def _large(rows: DataFrame, length: int) -> DataFrame:
     return equal.union(_compared(data.filter(F.col("forms") <= TOGETHER), "core", length)).union(single.join(twice, F.col("window") == F.col("w")).select("run", "low", F.col("low").alias("high")))
 
 
-def repeated(docs: DataFrame, packed: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeated(docs: DataFrame, packed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc, text_id, first, last): stretches of windows that occur elsewhere.
 
-    ``docs`` has doc_id and text (bytes), ``packed`` doc_id, text_id (its
-    digest) and packed (bytes, compressed).
+    ``docs`` has doc_id and text (bytes), or is ``packed``, which has doc_id,
+    text_id (the text's digest) and packed (the bytes, compressed); id and
+    text_id together name a text.
     """
-    runs = _runs(docs, length)
-    by_run = staged(runs.groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("text_id", "doc_id", "at", "low", "high")).alias("one")))
+    every = staged(_runs(docs, length, gram))
+    shared = cut(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("anchor").alias("of")))
+    runs = staged(every.join(shared, F.col("anchor") == F.col("of"), "left_semi"))
+    deleted(every)
+    by_run = cut(runs.groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("text_id", "doc_id", "at", "low", "high")).alias("one")))
     by_anchor = cut(by_run.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select(F.col("anchor").alias("of"), "kinds"))
     kept = cut(by_run.join(by_anchor, F.col("anchor") == F.col("of"), "left").filter("n > 1 or kinds > 1").select("anchor", "run", "n", "kinds", "one.*"))
     whole = kept.filter("n > 1").select("run", "low", "high")
@@ -367,36 +384,80 @@ def repeated(docs: DataFrame, packed: DataFrame, length: int = LENGTH) -> DataFr
         met = met.union(_large(large, length))
     hits = cut(whole.union(met).groupBy("run").agg(F.collect_set(F.struct("low", "high")).alias("hits")).withColumnRenamed("run", "r"))
     placed = runs.join(hits, F.col("run") == F.col("r")).select("doc_id", "text_id", "at", F.col("low").alias("base"), F.explode("hits").alias("h"))
-    return placed.select(F.col("doc_id").alias("doc"), "text_id", (F.col("at") + F.col("h.low") - F.col("base")).alias("first"), (F.col("at") + F.col("h.high") - F.col("base")).alias("last")).distinct()
+    found = cut(placed.select(F.col("doc_id").alias("doc"), "text_id", (F.col("at") + F.col("h.low") - F.col("base")).alias("first"), (F.col("at") + F.col("h.high") - F.col("base")).alias("last")).distinct())
+    deleted(runs)
+    return found
+
+
+def word_bytes(texts: list[bytes]) -> list[bytes]:
+    """Each text's words, as one byte of their hash."""
+    text = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    blank = (text == 32) | ((text >= 9) & (text <= 13))
+    starts = np.flatnonzero(~blank & np.append(True, blank[:-1]))
+    ends = np.flatnonzero(blank & np.append(False, ~blank[:-1]))
+    # hashes of any width from running sums, shifted back by the powers before them
+    sums = np.zeros(len(text) + 1, np.uint64)
+    np.cumsum((text.astype(np.uint64) + np.uint64(1)) * np.cumprod(np.full(len(text), _BASE, np.uint64)), out=sums[1:])
+    h = (sums[ends] - sums[starts]) * np.cumprod(np.full(len(text), _BACK, np.uint64))[starts]
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    marks = (h >> np.uint64(56)).astype(np.uint8).tobytes()
+    edges = np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in texts])).tolist()
+    return [marks[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(doc, text_id, first, last): stretches of windows of ``words`` words that occur elsewhere; ``docs`` as for repeated()."""
+
+    def run(batch):
+        values = column(batch, "text").to_pylist()
+        long = [(i, m) for i, m in enumerate(word_bytes(values)) if len(m) >= words]
+        if not long:
+            return None
+        pack = zstandard.ZstdCompressor(level=1)
+        return {"doc_id": column(batch, "doc_id").take(pa.array([i for i, _ in long])), "text_id": [text_digest(values[i]) for i, _ in long], "packed": [pack.compress(m) for _, m in long]}
+
+    marked = staged(mapped(docs, run, "doc_id long, text_id long, packed binary", limit=1 << 20))
+    found = repeated(marked, marked, words, WORD_GRAM)
+    deleted(marked)
+    return found
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the text that is left)."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, passage_words (and the text that is left).
 
-    plain = as_documents(docs)
+    passage_words: words in passages of over 50 words that occur elsewhere,
+    whether or not their bytes are long enough to be removed.
+    """
 
     def packing(batch):
         values = column(batch, "text").to_pylist()
         pack = zstandard.ZstdCompressor(level=3)
         return {"doc_id": column(batch, "doc_id"), "text_id": [text_digest(t) for t in values], "packed": [pack.compress(t) for t in values]}
 
+    plain = as_documents(docs)
     packed = mapped(plain, packing, "doc_id long, text_id long, packed binary")
-    spans = repeated(plain, packed, length).groupBy("text_id", "doc").agg(F.collect_list(F.struct("first", "last")).alias("spans")).select(F.col("text_id").alias("t"), F.col("doc").alias("d"), "spans")
+    kinds = [passages(plain).withColumn("words", F.lit(True)), repeated(plain, packed, length).withColumn("words", F.lit(False))]
+    spans = kinds[0].union(kinds[1]).groupBy("text_id", "doc").agg(F.collect_list(F.struct("words", "first", "last")).alias("spans")).select(F.col("text_id").alias("t"), F.col("doc").alias("d"), "spans")
     joined = packed.join(cut(spans), (F.col("text_id") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")), "left").select("doc_id", "packed", "spans")
 
+    def covered(spans, size: int, width: int) -> np.ndarray:
+        steps = np.zeros(size + 1, np.int64)
+        for s in spans:
+            steps[s["first"]] += 1
+            steps[s["last"] + width] -= 1
+        return np.cumsum(steps[:-1]) > 0
+
     def removing(batch):
-        out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "text")}
+        out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "passage_words", "text")}
         for raw, spans in zip(column(batch, "packed").to_pylist(), column(batch, "spans").to_pylist(), strict=True):
             t = zstandard.ZstdDecompressor().decompress(raw)
-            steps = np.zeros(len(t) + 1, np.int64)
-            for s in spans or ():
-                steps[s["first"]] += 1
-                steps[s["last"] + length] -= 1
-            gone = np.cumsum(steps[:-1]) > 0
+            gone = covered([s for s in spans or () if not s["words"]], len(t), length)
+            told = [s for s in spans or () if s["words"]]
+            inside = int(covered(told, max(s["last"] for s in told) + WORDS, WORDS).sum()) if told else 0
             kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
-            for k, v in zip(out, (len(t), int(gone.sum()), len(_ranges(gone)[0]), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if texts else None), strict=True):
+            for k, v in zip(out, (len(t), int(gone.sum()), len(_ranges(gone)[0]), hashlib.sha256(kept).hexdigest(), inside, kept.decode("utf-8", "ignore") if texts else None), strict=True):
                 out[k].append(v)
         return out | {"doc_id": column(batch, "doc_id")}
 
-    made = mapped(joined, removing, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string", column="packed")
+    made = mapped(joined, removing, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, passage_words long, text string", column="packed")
     return made if texts else made.drop("text")
