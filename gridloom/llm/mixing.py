@@ -22,10 +22,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ranked
+from .common import cut, ranked
 
 #: Slots of a period, at least; four a source if that is more. Documents of a block.
 PERIOD, BLOCK = 1000, 16
+#: Slots of a period that are sent to all tasks, at most; longer ones are joined as Spark sees fit.
+SENT = 100_000
+
+
+def whole_period(targets: dict[str, float], period: int = PERIOD) -> int:
+    """The least number of slots, from ``period`` to 20 times that, of which all targets are whole numbers; ``period`` if there is none."""
+    total = sum(targets.values())
+    whole = lambda q: all(abs(v / total * q - round(v / total * q)) < 1e-9 * q for v in targets.values())
+    return next((q for q in range(period, 20 * period + 1) if whole(q)), period)
 
 
 def weights(docs: DataFrame, targets: dict[str, float] | None = None, period: int = PERIOD) -> DataFrame:
@@ -33,25 +42,31 @@ def weights(docs: DataFrame, targets: dict[str, float] | None = None, period: in
 
     Weights follow ``targets`` (a source that is not there weighs least) or
     else the square root of the number of documents, by largest remainders;
-    each source has at least one slot of a period.
+    a source that asks for less than a slot of a period has one. Given targets
+    are met exactly if a period of up to 20 times the length can.
     """
     n = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     if targets:
+        period = whole_period(targets, period)
         pairs = [x for k, v in targets.items() for x in (F.lit(k), F.lit(float(v)))]
-        size = F.coalesce(F.floor(F.create_map(*pairs)[F.coalesce("source", F.lit(""))] * 1_000_000), F.lit(1))
+        size = F.coalesce(F.round(F.create_map(*pairs)[F.coalesce("source", F.lit(""))] * 1_000_000_000 / sum(targets.values())), F.lit(1))
     else:
         size = F.floor(F.sqrt("n") * 1000)
     sized = n.select("source", size.cast("long").alias("size"))
     listed = sized.agg(F.array_sort(F.collect_list(F.struct(F.col("source").isNotNull().alias("known"), "source", "size"))).alias("all")).filter(F.size("all") > 0)
     shared = listed.select(
         "all",
-        F.greatest(F.lit(period), 4 * F.size("all")).cast("long").alias("q"),
+        F.greatest(F.lit(period), 4 * F.size("all")).cast("long").alias("q0"),
         F.aggregate("all", F.lit(0).cast("long"), lambda a, x: a + x["size"]).alias("total"),
     )
-    shared = shared.withColumn("base", F.expr("transform(all, x -> 1 + (q - size(all)) * x.size div total)"))
-    shared = shared.withColumn("rest", F.expr("transform(all, (x, i) -> struct(-((q - size(all)) * x.size % total) as r, i as i))"))
-    shared = shared.withColumn("lucky", F.expr("slice(transform(array_sort(rest), x -> x.i), 1, cast(q - aggregate(base, 0L, (a, x) -> a + x) as int))"))
-    return shared.select("q", F.expr("transform(all, x -> x.source)").alias("sources"), F.expr("transform(base, (k, i) -> k + if(array_contains(lucky, i), 1L, 0L))").alias("ks"))
+    # sources that ask for less than a slot have one; the others share what is left
+    shared = shared.withColumn("few", F.expr("filter(all, x -> q0 * x.size < total)"))
+    shared = shared.withColumn("q1", F.expr("q0 - size(few)")).withColumn("left", F.expr("total - aggregate(few, 0L, (a, x) -> a + x.size)"))
+    shared = shared.withColumn("base", F.expr("transform(all, x -> if(q0 * x.size < total, 1L, q1 * x.size div left))"))
+    shared = shared.withColumn("rest", F.expr("transform(all, (x, i) -> struct(if(q0 * x.size < total, 1L, -(q1 * x.size % left)) as r, i as i))"))
+    shared = shared.withColumn("lucky", F.expr("slice(transform(array_sort(rest), x -> x.i), 1, cast(greatest(0L, q0 - aggregate(base, 0L, (a, x) -> a + x)) as int))"))
+    shared = shared.withColumn("ks", F.expr("transform(base, (k, i) -> greatest(1L, k + if(array_contains(lucky, i), 1L, 0L)))"))
+    return shared.select(F.expr("aggregate(ks, 0L, (a, k) -> a + k)").alias("q"), F.expr("transform(all, x -> x.source)").alias("sources"), "ks")
 
 
 def period(weighted: DataFrame) -> DataFrame:
@@ -80,10 +95,12 @@ def mix(docs: DataFrame, targets: dict[str, float] | None = None, block: int = B
     names = docs.columns
     inner = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names)], F.col("doc_id").alias("_id"), F.col("source").alias("_source"))
     numbered = ranked(inner, ["_source"], ["_id"], "_rank")
-    weighted = weights(docs.select("source"), targets, slots)
-    # a period has as many rows as slots, and no more sources than that
-    one = F.broadcast(period(weighted).select(F.col("source").alias("_of"), "k", "q", "nth", F.col("slot").alias("at")))
-    ks = F.broadcast(weighted.select(F.explode(F.arrays_zip("sources", "ks")).alias("x")).select(F.col("x.sources").alias("_own"), F.col("x.ks").alias("_k")))
+    weighted = cut(weights(docs.select("source"), targets, slots))
+    one = period(weighted).select(F.col("source").alias("_of"), "k", "q", "nth", F.col("slot").alias("at"))
+    ks = weighted.select(F.explode(F.arrays_zip("sources", "ks")).alias("x")).select(F.col("x.sources").alias("_own"), F.col("x.ks").alias("_k"))
+    sizes = weighted.select("q").first()
+    if sizes is None or sizes["q"] <= SENT:  # rows of a period, and more than sources
+        one, ks = F.broadcast(one), F.broadcast(ks)
     blocked = numbered.join(ks, F.col("_source").eqNullSafe(F.col("_own"))).withColumn("_block", F.expr(f"_rank div {int(block)}")).withColumn("_nth", F.col("_block") % F.col("_k"))
     placed = blocked.join(one, F.col("_source").eqNullSafe(F.col("_of")) & (F.col("_nth") == F.col("nth")))
     return placed.select(

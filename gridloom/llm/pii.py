@@ -14,6 +14,8 @@ over all documents; expectation-maximisation on these counts estimates each
 labeler's reliability a kind, and a logistic classifier is trained on the
 posterior labels. Candidates that it accepts are added; base spans stay.
 
+Credentials are counted beside them; they are no kind of span.
+
 Defined results: a null text is empty; without spans the span string is empty
 and the digest that of an empty string. A repeated row gets its row. Offsets
 are code points. Patterns that could backtrack use possessive loops, so time
@@ -52,6 +54,10 @@ _PHONE_IN = r"\+[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3,4}[\x20.-]?[
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
 
+# Credentials, as named values and by the forms that issuers give them.
+_SECRET = r"(?:(?i:token|secret|passwd|password|api[_-]?key|access[_-]?key)[\"']?\s{0,4}[=:]\s{0,4}[\"']?[A-Za-z0-9+/_-]{16,}+)|\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
+
+
 def _running(array: str, name: str) -> str:
     """Starts of matches, from an array of (g, m): the gap before each and its length.
 
@@ -196,12 +202,14 @@ def _listed(array: Column) -> Column:
 
 
 def detect(docs: DataFrame, model: dict[tuple[int, str], float] | None = None) -> DataFrame:
-    """doc_id, a count of base spans a kind, the base spans' digest, and all spans."""
+    """doc_id, a count of base spans a kind, the base spans' digest, all spans, credentials (n_secret) and all of these (n_all)."""
     model = fit(docs) if model is None else model
-    all_spans = docs.select("doc_id", accepted(spans(), model).alias("_all"))
+    secrets = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(_SECRET)).cast("long")
+    all_spans = docs.select("doc_id", accepted(spans(), model).alias("_all"), secrets.alias("n_secret"))
     base = all_spans.withColumn("_base", F.filter("_all", lambda s: s["base"]))
     counts = [F.expr(f"cast(size(filter(_base, s -> s.kind = {i})) as bigint)").alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return base.select("doc_id", *counts, F.sha2(_listed(F.col("_base")).cast("binary"), 256).alias("base_sha256"), _listed(F.col("_all")).alias("spans"))
+    total = (F.size("_all") + F.col("n_secret")).cast("long")
+    return base.select("doc_id", *counts, F.sha2(_listed(F.col("_base")).cast("binary"), 256).alias("base_sha256"), _listed(F.col("_all")).alias("spans"), "n_secret", total.alias("n_all"))
 
 
 def redact(docs: DataFrame, model: dict[tuple[int, str], float] | None = None) -> DataFrame:

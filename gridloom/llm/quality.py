@@ -39,10 +39,11 @@ def suffix_ranks(codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[
     shares the prefix.
     """
     n = len(codes)
-    order = np.argsort(codes, kind="stable")
+    kind = np.int32 if n < 1 << 31 else np.int64  # a round's ranks are kept: half the memory matters
+    order = np.argsort(codes, kind="stable").astype(kind)
     new = np.ones(n, bool)
     new[1:] = codes[order[1:]] != codes[order[:-1]]
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, kind)
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     levels, width = [rank], 1
     while True:
@@ -76,7 +77,7 @@ def neighbour_prefixes(order: np.ndarray, levels: list[np.ndarray], ends: np.nda
     if n < 2:
         return out
     same = np.flatnonzero(levels[0][order[1:]] == levels[0][order[:-1]]) + 1
-    a, b = order[same].copy(), order[same - 1].copy()
+    a, b = order[same].astype(np.int64), order[same - 1].astype(np.int64)
     start = a.copy()
     last_a, last_b = ends[a], ends[b]
     for k in range(len(levels) - 1, -1, -1):

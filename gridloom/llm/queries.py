@@ -56,8 +56,11 @@ def queries():
 OP10_SQL = """
 with recursive counted as (select source, count(*) as n from documents group by source),
 sized as (select source, cast(floor(sqrt(n) * 1000) as bigint) as size, row_number() over (order by source is not null, source) as i, count(*) over () as sources, greatest(1000, 4 * count(*) over ()) as q from counted),
-shared as (select *, 1 + (q - sources) * size // cast(sum(size) over () as bigint) as base, (q - sources) * size % cast(sum(size) over () as bigint) as rest from sized),
-weighed as (select source, i, q, base + case when row_number() over (order by rest desc, i) <= q - sum(base) over () then 1 else 0 end as k from shared),
+asked as (select *, q * size < sum(size) over () as few from sized),
+shared as (select *, case when few then 1 else (q - count(*) filter (few) over ()) * size // cast(sum(size) filter (not few) over () as bigint) end as base,
+    case when few then -1 else (q - count(*) filter (few) over ()) * size % cast(sum(size) filter (not few) over () as bigint) end as rest from asked),
+given as (select source, i, greatest(1, base + case when row_number() over (order by rest desc, i) <= q - sum(base) over () then 1 else 0 end) as k from shared),
+weighed as (select *, cast(sum(k) over () as bigint) as q from given),
 listed as (select list(cast(k as bigint) order by i) as ks, cast(max(q) as bigint) as q, count(*) as n from weighed),
 slots as (
     select cast(-1 as bigint) as t, [cast(0 as bigint) for i in range(n)] as done, cast(0 as bigint) as chosen, ks, q, n from listed where n > 0
