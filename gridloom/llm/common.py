@@ -9,6 +9,7 @@ group in one task.
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -69,6 +70,12 @@ def deleted(stage: DataFrame) -> None:
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Let go of shuffle files that no plan refers to any more: Spark deletes them when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def as_documents(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, the text's UTF-8 bytes (null: empty) and the columns named."""
     return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"), *more)

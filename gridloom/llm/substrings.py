@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from .common import as_documents, column, cut, deleted, mapped, staged
+from .common import as_documents, column, cut, deleted, mapped, released, staged
 
 LENGTH, GRAM, PIECE, TOGETHER = 400, 32, 32, 256
 #: Words of a passage, at least, and of the grams among which its anchor is.
@@ -225,7 +225,7 @@ def _core(data: bytes, base: int, k: int, length: int) -> bytes:
 
 
 def _runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """doc_id, text_id, anchor, at (first window), low, high (windows by place from the anchor), run (digest)."""
+    """doc_id, text_id, anchor, at (first window), low, high (windows by place from the anchor), and the run's digest as two longs, r and s."""
 
     given = "packed" in docs.columns
 
@@ -239,14 +239,14 @@ def _runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 owner += [i] * len(first)
                 ids += [names[i] if given else text_digest(t)] * len(first)
                 low = first - place
-                runs = [_digest(t[a : b + length] + x.to_bytes(8, "little", signed=True)) for a, b, x in zip(first.tolist(), last.tolist(), low.tolist(), strict=True)]
-                rows.append((h.view(np.int64), first, low, last - place, runs))
+                runs = b"".join(_digest(t[a : b + length] + x.to_bytes(8, "little", signed=True)) for a, b, x in zip(first.tolist(), last.tolist(), low.tolist(), strict=True))
+                rows.append((h.view(np.int64), first, low, last - place, np.frombuffer(runs, np.int64).reshape(-1, 2)))
         if not rows:
             return None
         h, first, low, high, runs = zip(*rows, strict=True)
-        return {"doc_id": column(batch, "doc_id").take(pa.array(owner)), "text_id": ids, "anchor": np.concatenate(h), "at": np.concatenate(first), "low": np.concatenate(low).astype(np.int32), "high": np.concatenate(high).astype(np.int32), "run": [x for r in runs for x in r]}
+        return {"doc_id": column(batch, "doc_id").take(pa.array(owner)), "text_id": ids, "anchor": np.concatenate(h), "at": np.concatenate(first), "low": np.concatenate(low).astype(np.int32), "high": np.concatenate(high).astype(np.int32), "r": np.concatenate(runs)[:, 0], "s": np.concatenate(runs)[:, 1]}
 
-    return mapped(docs, run, "doc_id long, text_id long, anchor long, at long, low int, high int, run binary", column="packed" if given else "text")
+    return mapped(docs, run, "doc_id long, text_id long, anchor long, at long, low int, high int, r long, s long", column="packed" if given else "text")
 
 
 def _fetched(texts: DataFrame, length: int) -> DataFrame:
@@ -367,13 +367,12 @@ def repeated(docs: DataFrame, packed: DataFrame, length: int = LENGTH, gram: int
     text_id (the text's digest) and packed (the bytes, compressed); id and
     text_id together name a text.
     """
-    every = staged(_runs(docs, length, gram))
-    shared = cut(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("anchor").alias("of")))
-    runs = staged(every.join(shared, F.col("anchor") == F.col("of"), "left_semi"))
-    deleted(every)
-    by_run = cut(runs.groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("text_id", "doc_id", "at", "low", "high")).alias("one")))
+    runs = staged(_runs(docs, length, gram))
+    # a row of those that share a run stands for them: the first of all its columns, which come together
+    one = [F.first(c).alias(c) for c in ("text_id", "doc_id", "at", "low", "high")]
+    by_run = cut(runs.groupBy("anchor", "r", "s").agg(F.count(F.lit(1)).alias("n"), *one))
     by_anchor = cut(by_run.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select(F.col("anchor").alias("of"), "kinds"))
-    kept = cut(by_run.join(by_anchor, F.col("anchor") == F.col("of"), "left").filter("n > 1 or kinds > 1").select("anchor", "run", "n", "kinds", "one.*"))
+    kept = cut(by_run.join(by_anchor, F.col("anchor") == F.col("of"), "left").filter("n > 1 or kinds > 1").select("anchor", F.to_binary(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("r", "s")]), F.lit("hex")).alias("run"), "n", "kinds", "text_id", "doc_id", "at", "low", "high"))
     whole = kept.filter("n > 1").select("run", "low", "high")
     wanted = kept.filter("kinds > 1").groupBy(F.col("text_id").alias("want"), F.col("doc_id").alias("whose")).agg(F.collect_list(F.struct("at", "low", "high", "anchor", "kinds", "run")).alias("wanted"))
     texts = packed.join(wanted, (F.col("text_id") == F.col("want")) & F.col("doc_id").eqNullSafe(F.col("whose"))).select(F.col("packed").alias("text"), "wanted")
@@ -382,8 +381,9 @@ def repeated(docs: DataFrame, packed: DataFrame, length: int = LENGTH, gram: int
     large = data.filter(F.col("kinds") > TOGETHER)
     if not large.isEmpty():
         met = met.union(_large(large, length))
-    hits = cut(whole.union(met).groupBy("run").agg(F.collect_set(F.struct("low", "high")).alias("hits")).withColumnRenamed("run", "r"))
-    placed = runs.join(hits, F.col("run") == F.col("r")).select("doc_id", "text_id", "at", F.col("low").alias("base"), F.explode("hits").alias("h"))
+    half = lambda at: F.conv(F.hex(F.substring("run", at, 8)), 16, -10).cast("long")
+    hits = cut(whole.union(met).groupBy("run").agg(F.collect_set(F.struct("low", "high")).alias("hits")).select(half(1).alias("hr"), half(9).alias("hs"), "hits"))
+    placed = runs.join(hits, (F.col("r") == F.col("hr")) & (F.col("s") == F.col("hs"))).select("doc_id", "text_id", "at", F.col("low").alias("base"), F.explode("hits").alias("h"))
     found = cut(placed.select(F.col("doc_id").alias("doc"), "text_id", (F.col("at") + F.col("h.low") - F.col("base")).alias("first"), (F.col("at") + F.col("h.high") - F.col("base")).alias("last")).distinct())
     deleted(runs)
     return found
@@ -419,6 +419,7 @@ def passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
     marked = staged(mapped(docs, run, "doc_id long, text_id long, packed binary", limit=1 << 20))
     found = repeated(marked, marked, words, WORD_GRAM)
     deleted(marked)
+    released(docs.sparkSession)
     return found
 
 
