@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import first_integer_token, month, tile_code_token, year_month_token
+from .store import current, dataset_ids
 
 
 def listed(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
@@ -32,10 +35,16 @@ def tiles(files: DataFrame) -> DataFrame:
 
 def available(spark: SparkSession, root: str) -> DataFrame:
     """Datasets of a store: years, or static."""
-    c = spark.read.parquet(root).select("dataset_id", "year").distinct()
+    parts = [spark.read.parquet(current(spark, root, d)).filter(F.col("dataset_id") == d).select("dataset_id", "year").distinct() for d in dataset_ids(spark, root)]
+    c = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "dataset_id string, year int")
     return c.groupBy("dataset_id").agg(F.array_sort(F.collect_set("year")).alias("years")).withColumn("is_static", F.size("years") == 0)
 
 
+def date_range(cells: DataFrame, time: str = "ts") -> DataFrame:
+    """Per dataset the first and the last day that it has."""
+    return cells.groupBy("dataset_id").agg(F.min(time).cast("date").alias("start"), F.max(time).cast("date").alias("stop"))
+
+
 def selected_years(found: list[int], wanted: list[int] | None) -> list[int]:
     """The wanted years in order, all of which must be there."""
     if wanted is None:

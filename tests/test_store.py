@@ -23,6 +23,21 @@ def test_standardized_round_trip_and_pruning(spark, tmp_path):
     assert store.load(spark, "standardized", "s", root=f"{tmp_path}/cells", years=[2001]).count() == 1
 
 
+def test_writes_leave_other_datasets_alone(spark, tmp_path):
+    root = f"{tmp_path}/cells"
+    c = cells(spark)
+    store.write_cells(c.filter("dataset_id = 'a'"), root)
+    first = store.standardized(spark, "a", root)
+    store.write_cells(c.filter("dataset_id = 's'"), root)
+    assert store.dataset_ids(spark, root) == ["a", "s"] and store.standardized(spark, "a", root).count() == 30
+    store.write_cells(c.filter("dataset_id = 'a' and year = 2000"), root)
+    assert store.standardized(spark, "a", root).count() == 10 and store.standardized(spark, "s", root).count() == 1
+    assert first.count() == 30  # who had begun to read the first rows still can
+    assert store.vacuum(spark, root) == 1 and store.every_dataset(spark, root, 2000).count() == 11
+    with pytest.raises(FileNotFoundError):
+        store.standardized(spark, "b", root)
+
+
 def test_unknown_loaders(spark):
     with pytest.raises(store.UnsupportedDataset):
         store.load(spark, "standardized", "lstm_wetland", root="x")
