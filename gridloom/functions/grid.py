@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -102,17 +104,57 @@ def grid_hash_join(points: DataFrame, boxes: DataFrame, size: float) -> DataFram
     return a.join(b, ["gx", "gy"]).filter(touch).select(F.col("a_id").alias("left_id"), F.col("b_id").alias("right_id")).distinct()
 
 
-def cos_weighted_bins(cells: DataFrame, west: float, south: float, step: float, keys: tuple[str, ...] = (), value: str = "value") -> DataFrame:
+def cos_weighted_bins(cells: DataFrame, west: float, south: float, step: float, keys: tuple[str, ...] = (), value: str = "value", east: float | None = None, north: float | None = None) -> DataFrame:
     """Means by square of ``step`` degrees, each cell weighing as the cosine of its latitude; missing cells have no weight.
 
-    A cell on the far edge of the grid belongs to the last square.
+    With ``east`` and ``north``, cells outside the box are left out and a cell
+    on a far edge belongs to the last square.
     """
     w = F.cos(F.radians("lat"))
-    bins = [F.floor((F.col("lat") - south) / step).cast("int").alias("lat_idx"), F.floor((F.col("lon") - west) / step).cast("int").alias("lon_idx")]
+    lat, lon = F.col("lat"), F.col("lon")
+    if east is not None and north is not None:
+        cells = cells.filter(in_box(lat, lon, west, south, east, north))
+        lat, lon = F.least(lat, F.lit(north - step * 1e-6)), F.least(lon, F.lit(east - step * 1e-6))
+    bins = [F.floor((lat - south) / step).cast("int").alias("lat_idx"), F.floor((lon - west) / step).cast("int").alias("lon_idx")]
     grouped = cells.withColumn("_w", F.when(F.col(value).isNotNull(), w)).drop("lat_idx", "lon_idx").groupBy(*keys, *bins)
     return grouped.agg(F.try_divide(F.sum(F.col(value) * F.col("_w")), F.sum("_w")).alias("value"), F.count(value).alias("n_source"))
 
 
+def cell_boxes(cells: DataFrame, lat_axis: DataFrame, lon_axis: DataFrame) -> DataFrame:
+    """Cells with the box between their axes' edges: west, south, east, north. Axes are those of axis_edges()."""
+    a = lat_axis.select(F.col("lat_idx").alias("_a"), F.col("low").alias("south"), F.col("high").alias("north"))
+    b = lon_axis.select(F.col("lon_idx").alias("_b"), F.col("low").alias("west"), F.col("high").alias("east"))
+    return cells.join(a, F.col("lat_idx") == F.col("_a")).join(b, F.col("lon_idx") == F.col("_b")).drop("_a", "_b")
+
+
+def sub_lattice(spark: SparkSession, west: float, south: float, east: float, north: float, step: float, box: tuple[float, float, float, float]) -> DataFrame:
+    """The cells of a lattice that a box touches, with their indices in the whole lattice; by arithmetic, without making the rest."""
+    rows = max(0, -int(-((north - south) / step - 1e-9) // 1))
+    columns = max(0, -int(-((east - west) / step - 1e-9) // 1))
+    r0, r1 = max(0, math.floor((north - box[3]) / step + 1e-9)), min(rows, math.ceil((north - box[1]) / step - 1e-9))
+    c0, c1 = max(0, math.floor((box[0] - west) / step + 1e-9)), min(columns, math.ceil((box[2] - west) / step - 1e-9))
+    wide = max(0, c1 - c0)
+    cells = spark.range(max(0, r1 - r0) * wide)
+    lat, lon = F.expr(f"cast(id div {max(1, wide)} + {r0} as int)"), F.expr(f"cast(id % {max(1, wide)} + {c0} as int)")
+    return cells.select(lat.alias("lat_idx"), lon.alias("lon_idx")).withColumns({"lat": F.lit(north) - F.col("lat_idx") * step, "lon": F.lit(west) + F.col("lon_idx") * step})
+
+
+def same_axis(a: DataFrame, b: DataFrame, index: str, value: str, relative: float = 1e-6) -> DataFrame:
+    """One row: whether two axes have the same length and, index by index, values as near as ``relative`` of the second's."""
+    x, y = a.select(F.col(index).alias("_i"), F.col(value).cast("double").alias("_x")), b.select(F.col(index).alias("_j"), F.col(value).cast("double").alias("_y"))
+    near = F.abs(F.col("_x") - F.col("_y")) <= relative * F.abs(F.col("_y"))
+    met = x.join(y, F.col("_i") == F.col("_j"), "full_outer")
+    return met.agg(F.coalesce(F.bool_and(F.coalesce(near, F.lit(False))), F.lit(True)).alias("aligned"))
+
+
+def one_cell_everywhere(cells: DataFrame, grid: DataFrame, lat_step: float, lon_step: float, value: str = "value") -> DataFrame:
+    """The grid's cells with the value of a source of one cell, where that cell's extent of a grid step reaches their centre; others are null."""
+    one = cells.select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.col(value).alias("_v"))  # one row
+    reach = lambda c, o, step: F.abs(F.col(c) - F.col(o)) <= step / 2 + step * 1e-6
+    met = grid.join(F.broadcast(one), reach("lat", "_lat", lat_step) & reach("lon", "_lon", lon_step), "left")
+    return met.withColumn(value, F.col("_v").cast("double")).drop("_lat", "_lon", "_v")
+
+
 def mask_fraction(cells: DataFrame, mask: DataFrame) -> DataFrame:
     """Cells with mask_fraction, zero where the mask has no cell."""
     m = mask.select(F.col("lat_idx").alias("_a"), F.col("lon_idx").alias("_b"), F.col("mask_fraction").alias("_m"))

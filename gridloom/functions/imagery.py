@@ -41,12 +41,33 @@ def fusion_window(month: Column, padding: int, first: str, last: str) -> Column:
 
 
 def failure_status(message: Column) -> Column:
-    """A status from an error's text."""
+    """A download's status from its error's text."""
     m = F.lower(message)
-    return F.when(m.contains("no image") | m.contains("empty collection"), "no_data").when(m.contains("memory") | m.contains("too large"), "too_large").when(m.contains("auth") | m.contains("permission"), "unauthorized").when(m.contains("timed out") | m.contains("timeout"), "timeout").otherwise("failed")
-
-
-def size_batches(files: DataFrame, group: str, order: str, size: str, most: int) -> DataFrame:
-    """Files numbered into batches by running size inside their group; a batch starts where ``most`` bytes are full."""
-    before = F.coalesce(F.sum(size).over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return files.withColumn("_before", before).withColumn("batch", F.expr(f"cast(_before div {int(most)} as int)")).drop("_before")
+    limits = m.contains("32 mb") | m.contains("10000") | m.contains("request too large")
+    return F.when(limits, "download_limit_exceeded").otherwise("download_failed")
+
+
+def annual_window(year: Column) -> Column:
+    """First day of a year and of the next."""
+    return F.struct(F.make_date(year, F.lit(1), F.lit(1)).alias("start"), F.make_date(year + 1, F.lit(1), F.lit(1)).alias("stop"))
+
+
+def size_batches(files: DataFrame, group: str, order: str, size: str, most: int = 0, most_files: int = 0) -> DataFrame:
+    """Files numbered into batches inside their group, in order: a batch ends before the file that would bring it over ``most`` bytes or ``most_files`` files.
+
+    A file larger than ``most`` has a batch of its own; a limit of zero is none.
+    A group is a listing that is gone through once; files of unknown size count as empty.
+    """
+    if most <= 0 and most_files <= 0:
+        raise ValueError("a batch needs a limit")
+    ordered = files.withColumn("_at", F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1)
+    sizes = ordered.groupBy(F.col(group).alias("_g")).agg(F.array_sort(F.collect_list(F.struct("_at", F.coalesce(F.col(size), F.lit(0)).cast("long").alias("s")))).alias("_all"))
+    over = " or ".join(x for x, n in ((f"a.n >= {int(most_files)}", most_files), (f"a.n > 0 and a.b + x.s > {int(most)}", most)) if n > 0)
+    # the state: files and bytes of the batch, and where batches begin
+    fold = f"""aggregate(_all, named_struct('n', 0L, 'b', 0L, 'starts', array(0)),
+        (a, x) -> if({over}, named_struct('n', 1L, 'b', x.s, 'starts', concat(a.starts, array(x._at))), named_struct('n', a.n + 1L, 'b', a.b + x.s, 'starts', a.starts)),
+        a -> a.starts)"""
+    starts = sizes.select("_g", F.posexplode(F.expr(fold)).alias("batch", "_start"))
+    starts = starts.withColumn("_stop", F.lead("_start", 1, 1 << 30).over(Window.partitionBy("_g").orderBy("_start")))
+    met = ordered.join(starts, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_at") >= F.col("_start")) & (F.col("_at") < F.col("_stop")))
+    return met.select(*files.columns, "batch")

@@ -78,7 +78,7 @@ def padded_month_window(ts: Column, padding: int) -> tuple[Column, Column]:
 
 def year_month_token(name: Column) -> Column:
     """The month that a file name gives as YYYYMM, YYYY-MM, YYYY_MM, YYYY.MM or YYYYmMM, else null."""
-    pattern = r"(\d{4})(?:[-_.]?|m)(\d{2})(?!\d)"
+    pattern = r"(?<!\d)(\d{4})(?:[-_.]?|m)(\d{2})(?!\d)"
     y, m = F.regexp_extract(name, pattern, 1), F.regexp_extract(name, pattern, 2)
     return F.when((y != "") & m.between("01", "12"), F.to_date(F.concat_ws("-", y, m, F.lit("01"))))
 
@@ -101,3 +101,24 @@ def dataset_key(ids: Column) -> Column:
 
 def normal_dataset_id(name: Column) -> Column:
     return F.lower(F.regexp_replace(name, r"_\d{4}$", ""))
+
+
+def iso_time(ts: Column) -> Column:
+    """A time step as ISO text to the second."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def named_variable(error: Column) -> Column:
+    """The variable that an error's text names in quotes, else null."""
+    found = F.regexp_extract(error, r"variable ['\"]([^'\"]+)['\"]", 1)
+    return F.when(found != "", found)
+
+
+def box_of_text(text: Column) -> Column:
+    """west, south, east, north from text with commas; an error where they are not four numbers in order and on the globe."""
+    parts = F.transform(F.split(text, ","), lambda x: F.trim(x).try_cast("double"))
+    west, south, east, north = (F.get(parts, i) for i in range(4))
+    good = (F.size(parts) == 4) & west.between(-180, 180) & east.between(-180, 180) & south.between(-90, 90) & north.between(-90, 90) & (west < east) & (south < north)
+    box = F.struct(west.alias("west"), south.alias("south"), east.alias("east"), north.alias("north"))
+    wrong = F.raise_error(F.concat(F.lit("not a box: "), text)).cast("struct<west:double,south:double,east:double,north:double>")
+    return F.when(F.coalesce(good, F.lit(False)), box).otherwise(wrong)

@@ -80,3 +80,26 @@ def tile_box(easting: Column, northing: Column, utm_zone: Column, south: Column)
     corners = [to_globe(x, y, utm_zone, south) for x in (west, west + SIDE) for y in (north, north - SIDE)]
     lats, lons = [c[0] for c in corners], [c[1] for c in corners]
     return F.struct(F.least(*lons).alias("west"), F.least(*lats).alias("south"), F.greatest(*lons).alias("east"), F.greatest(*lats).alias("north"))
+
+
+def polygon_meets_box(polygon: str, west: str, south: str, east: str, north: str) -> Column:
+    """Whether a polygon, an array of (x, y) without its first point again, and a box share a point.
+
+    They do if a corner of one is inside the other or two of their sides cross
+    or touch; arguments are SQL expressions.
+    """
+    after = f"concat(slice({polygon}, 2, size({polygon})), slice({polygon}, 1, 1))"
+    sides = f"zip_with({polygon}, {after}, (p, q) -> named_struct('a', p, 'b', q))"
+    corner = lambda x, y: f"named_struct('x', cast({x} as double), 'y', cast({y} as double))"
+    box = f"array({corner(west, south)}, {corner(east, south)}, {corner(east, north)}, {corner(west, north)})"
+    box_sides = f"zip_with({box}, concat(slice({box}, 2, 4), slice({box}, 1, 1)), (p, q) -> named_struct('a', p, 'b', q))"
+    inside = f"exists({polygon}, p -> p.x between {west} and {east} and p.y between {south} and {north})"
+    # a ray to the right crosses the polygon's sides an odd number of times
+    ray = "(s.a.y > c.y) <> (s.b.y > c.y) and c.x < (s.b.x - s.a.x) * (c.y - s.a.y) / (s.b.y - s.a.y) + s.a.x"
+    around = f"exists({box}, c -> size(filter({sides}, s -> {ray})) % 2 = 1)"
+    turn = lambda p, q, r: f"sign(({q}.x - {p}.x) * ({r}.y - {p}.y) - ({q}.y - {p}.y) * ({r}.x - {p}.x))"
+    between = lambda p, q, r: f"({r}.x between least({p}.x, {q}.x) and greatest({p}.x, {q}.x) and {r}.y between least({p}.y, {q}.y) and greatest({p}.y, {q}.y))"
+    t = [turn("s.a", "s.b", "d.a"), turn("s.a", "s.b", "d.b"), turn("d.a", "d.b", "s.a"), turn("d.a", "d.b", "s.b")]
+    touch = [f"({t[0]} = 0 and {between('s.a', 's.b', 'd.a')})", f"({t[1]} = 0 and {between('s.a', 's.b', 'd.b')})", f"({t[2]} = 0 and {between('d.a', 'd.b', 's.a')})", f"({t[3]} = 0 and {between('d.a', 'd.b', 's.b')})"]
+    crossing = f"exists({sides}, s -> exists({box_sides}, d -> ({t[0]} <> {t[1]} and {t[2]} <> {t[3]}) or {' or '.join(touch)}))"
+    return F.expr(f"{inside} or {around} or {crossing}")

@@ -103,18 +103,18 @@ def vote_entropy3(votes: DataFrame, class_id: str = "class_id") -> DataFrame:
     return of_cell.select(*CELL, value.alias("entropy"), "majority_class", "agreement_count")
 
 
-def dominant_class(fractions: DataFrame, value: str = "fraction", tolerance: float = 1e-12) -> DataFrame:
-    """Per cell the class with the largest share; shares within ``tolerance`` of it go by priority."""
-    top = F.max(value).over(Window.partitionBy(*CELL))
+def dominant_class(fractions: DataFrame, value: str = "fraction", tolerance: float = 1e-12, keys: tuple[str, ...] = CELL) -> DataFrame:
+    """Per cell (``keys``) the class with the largest share; shares within ``tolerance`` of it go by priority."""
+    top = F.max(value).over(Window.partitionBy(*keys))
     near = fractions.withColumn("_top", top).filter(F.col(value) >= F.col("_top") - tolerance)
-    return near.groupBy(*CELL).agg(F.min_by("class_id", priority(F.col("class_id"))).alias("dominant_class"))
+    return near.groupBy(*keys).agg(F.min_by("class_id", priority(F.col("class_id"))).alias("dominant_class"))
 
 
-def tiered_dominant_class(fractions: DataFrame, value: str = "fraction") -> DataFrame:
+def tiered_dominant_class(fractions: DataFrame, value: str = "fraction", keys: tuple[str, ...] = CELL) -> DataFrame:
     """As dominant_class, among wetland classes where any has a share, else between water and dry land."""
     wet = ~F.col("class_id").isin(0, 1) & (F.col(value) > 0)
-    tiered = fractions.withColumn("_any", F.max(wet.cast("int")).over(Window.partitionBy(*CELL)))
-    return dominant_class(tiered.filter(F.when(F.col("_any") == 1, ~F.col("class_id").isin(0, 1)).otherwise(F.col("class_id").isin(0, 1))), value)
+    tiered = fractions.withColumn("_any", F.max(wet.cast("int")).over(Window.partitionBy(*keys)))
+    return dominant_class(tiered.filter(F.when(F.col("_any") == 1, ~F.col("class_id").isin(0, 1)).otherwise(F.col("class_id").isin(0, 1))), value, keys=keys)
 
 
 def source_dominant_class(fractions: DataFrame, value: str = "fraction") -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schema import ContractError
 from .neighbours import rank_percentile
 
 # The families of evidence, in their order.
@@ -21,8 +22,8 @@ def stem(key: str, region_id: str, suffix: str) -> str:
     return f"{key}__{region_id}__{suffix}"
 
 
-def hotspot_id(prefix: str, region: Column, key: str, rank: Column) -> Column:
-    return F.concat(F.lit(f"{prefix}-"), region, F.lit(f"-{key}-"), F.lpad(rank.cast("string"), 3, "0"))
+def hotspot_id(prefix: str, region: Column, key: str | None, rank: Column) -> Column:
+    return F.concat(F.lit(f"{prefix}-"), region, F.lit(f"-{key}-" if key else "-"), F.lpad(rank.cast("string"), 3, "0"))
 
 
 def canonical_json(*columns: str) -> Column:
@@ -31,18 +32,24 @@ def canonical_json(*columns: str) -> Column:
 
 
 def table_digest(df: DataFrame, order: list[str]) -> DataFrame:
-    """SHA-256 over the rows' JSON, a row's digest each and then one over all, in an order that rows fix themselves."""
-    rows = df.select(F.sha2(F.to_json(F.struct(*df.columns)).cast("binary"), 256).alias("d"), *order)
-    total = rows.agg(F.count(F.lit(1)).alias("row_count"), F.sum(F.conv(F.substring("d", 1, 15), 16, 10).cast("decimal(38,0)")).alias("_sum"))
-    return total.select("row_count", F.sha2(F.concat_ws(":", "row_count", "_sum").cast("binary"), 256).alias("table_sha256"))
+    """A digest of the rows, whatever their order: SHA-256 of the count and of the sums of the four quarters of each row's SHA-256.
+
+    A row's digest is that of its columns as JSON, the ``order`` columns first.
+    """
+    row = F.to_json(F.struct(*order, *[c for c in df.columns if c not in order]), {"ignoreNullFields": "false"})
+    rows = df.select(F.sha2(row.cast("binary"), 256).alias("d"))
+    quarter = lambda i: F.conv(F.substring("d", 1 + 16 * i, 16), 16, 10).cast("decimal(38,0)")
+    total = rows.agg(F.count(F.lit(1)).alias("row_count"), *[F.sum(quarter(i)).alias(f"_{i}") for i in range(4)])
+    return total.select("row_count", F.sha2(F.concat_ws(":", "row_count", *[f"_{i}" for i in range(4)]).cast("binary"), 256).alias("table_sha256"))
 
 
 def ledger(families: dict[str, DataFrame]) -> DataFrame:
     """One ledger of all families' hotspots.
 
     Each table has region_id, hotspot_rank, score and lat_idx, lon_idx; ranks
-    become percentiles in family and region, ids are unique, what a family has
-    besides goes to line_specific_json.
+    become percentiles in family and region, what a family has besides goes to
+    line_specific_json. Rows are in the order of family, rank and id; an id
+    that occurs twice is an error when the ledger is read.
     """
     parts = []
     for n, (family, df) in enumerate(families.items()):
@@ -58,7 +65,26 @@ def ledger(families: dict[str, DataFrame]) -> DataFrame:
                 canonical_json("lat_idx", "lon_idx").alias("line_specific_json"),
             )
         )
-    return reduce(DataFrame.unionByName, parts)
+    every = reduce(DataFrame.unionByName, parts)
+    times = F.count(F.lit(1)).over(Window.partitionBy("analysis_object_id"))
+    once = F.when(times > 1, F.raise_error(F.concat(F.lit("not one row: "), F.col("analysis_object_id")))).otherwise(F.col("analysis_object_id"))
+    return every.withColumn("analysis_object_id", once.cast("string")).orderBy("region_id", "family_order", "hotspot_rank", "analysis_object_id")
+
+
+def single_row(table: DataFrame, region_id: str, family: str) -> DataFrame:
+    """The one row of a region, or an error that says how many there are."""
+    own = table.filter(F.col("region_id") == region_id)
+    n = own.limit(2).count()
+    if n != 1:
+        raise ContractError(f"{family}, {region_id}: {'no row' if not n else 'more than one row'}")
+    return own
+
+
+def wide_evidence(regions: DataFrame, summaries: DataFrame, metrics: list[str]) -> DataFrame:
+    """One row a region with each family's metrics as columns, family_metric; ``summaries`` has region_id, metric_family and metrics."""
+    named = [F.max(F.when(F.col("metric_family") == f, F.col(m))).alias(f"{f}_{m}") for f in FAMILIES for m in metrics]
+    own = summaries.groupBy(F.col("region_id").alias("_r")).agg(*named, F.countDistinct("metric_family").alias("n_families"))
+    return regions.join(own, F.col("region_id") == F.col("_r"), "left").drop("_r").withColumn("n_families", F.coalesce("n_families", F.lit(0)))
 
 
 def readiness(rows: DataFrame, regions: DataFrame) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.grid import in_box
 from ..functions.scalars import mean, month, ratio, season
 
 CELL = ("lat_idx", "lon_idx")
@@ -86,8 +89,6 @@ def unified_fractions(fractions: DataFrame, value: str = "fraction") -> DataFram
 
     timed = fractions.groupBy("dataset_id", *CELL, "class_id").agg(mean(fractions, value).alias("f"))
     made = mapped(timed, "yaml8").filter("target_class is not null").groupBy("dataset_id", *CELL, F.col("target_class").alias("class_id")).agg(F.sum("f").alias("f"))
-    from pyspark.sql import Window
-
     total = F.sum("f").over(Window.partitionBy("dataset_id", *CELL))
     return made.withColumn("fraction", F.when(total > 0, F.col("f"))).drop("f")
 
@@ -101,3 +102,26 @@ def best_month(starts: DataFrame, windows: DataFrame) -> DataFrame:
     met = starts.select("month").distinct().join(F.broadcast(windows), F.col("month").between(F.col("start"), F.col("stop")))
     scored = met.groupBy("month").agg(F.countDistinct("dataset_id").alias("n_datasets"))
     return scored.agg(F.max_by(F.col("month"), F.struct(F.col("n_datasets"), -F.datediff("month", F.lit("1970-01-01").cast("date")))).alias("month"), F.max("n_datasets").alias("n_datasets"))
+
+
+def footprint(cells: DataFrame, value: str = "value") -> DataFrame:
+    """Per dataset the cells that have a value in its first time step."""
+    first = F.min("ts").over(Window.partitionBy("dataset_id"))
+    return cells.withColumn("_first", first).filter((F.col("ts") == F.col("_first")) & F.col(value).isNotNull()).select("dataset_id", *CELL).distinct()
+
+
+def year_surface(tiles: DataFrame, year: int, bbox: tuple[float, float, float, float], value: str = "value") -> DataFrame:
+    """Tiles' cells of one year inside a box as one surface of means over time."""
+    own = tiles.filter((F.col("ts") >= F.make_timestamp_ntz(F.lit(year), *map(F.lit, (1, 1, 0, 0, 0)))) & (F.col("ts") < F.make_timestamp_ntz(F.lit(year + 1), *map(F.lit, (1, 1, 0, 0, 0)))))
+    own = own.filter(in_box(F.col("lat"), F.col("lon"), *bbox))
+    return own.groupBy(*CELL).agg(mean(own, value).alias("value"), F.count(value).alias("n"))
+
+
+def bundle(surfaces: dict[str, DataFrame]) -> DataFrame:
+    """Surfaces of several datasets as one table, told apart by dataset_id."""
+    return reduce(DataFrame.unionByName, [df.withColumn("dataset_id", F.lit(d)) for d, df in sorted(surfaces.items())])
+
+
+def concatenated(parts: list[DataFrame], time: str = "ts") -> DataFrame:
+    """Parts of a series after one another, in time order."""
+    return reduce(DataFrame.unionByName, parts).orderBy(time)

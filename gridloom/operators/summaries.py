@@ -66,9 +66,9 @@ def weighted_entropy_summary(entropy: DataFrame, lat: Column) -> DataFrame:
     return entropy.agg(ratio(F.sum(F.col("entropy") * w), F.sum(F.when(has, w))).alias("mean_entropy"), ratio(F.sum(F.when(has, w)), F.sum(w)).alias("valid_share"))
 
 
-def dominant_shares(ha: DataFrame, value: str = "ha") -> DataFrame:
-    """Areas by class as shares of their cell's total; cells without area are null."""
-    total = F.sum(value).over(Window.partitionBy(*CELL))
+def dominant_shares(ha: DataFrame, value: str = "ha", keys: tuple[str, ...] = CELL) -> DataFrame:
+    """Areas by class as shares of their cell's (``keys``) total; cells without area are null."""
+    total = F.sum(value).over(Window.partitionBy(*keys))
     return ha.withColumn("fraction", F.when(total > 0, ratio(F.col(value), total)))
 
 
@@ -102,3 +102,62 @@ def refined_scores(candidates: DataFrame, cells: DataFrame, half: float, value:
     own = cells.withColumns({"_hy": F.floor(F.col("lat") / side), "_hx": F.floor(F.col("lon") / side)})
     met = own.join(c, (F.col("_hy") == F.col("_gy")) & (F.col("_hx") == F.col("_gx"))).filter((F.abs(F.col("lat") - F.col("_lat")) <= half) & (F.abs(F.col("lon") - F.col("_lon")) <= half))
     return met.groupBy("candidate_id").agg(mean(met, value).alias("score"), F.count(value).alias("n_cells"))
+
+
+def has_fraction_columns(df: DataFrame) -> bool:
+    """Whether a table has a share a column, as standardized classes do."""
+    return any(c.startswith("frac_") for c in df.columns)
+
+
+def valid_wetland(cells: DataFrame) -> DataFrame:
+    """Cells that all datasets share, with an entropy, and whose majority is wet."""
+    e = F.col("entropy")
+    return cells.filter(F.col("joint_valid") & e.isNotNull() & ~F.isnan(e) & (F.col("majority_class") != 0))
+
+
+def shown_entropy(cells: DataFrame) -> DataFrame:
+    """Cells with their entropy where they are valid and wet, null elsewhere."""
+    good = F.col("joint_valid") & (F.col("majority_class") != 0)
+    return cells.withColumn("entropy", F.when(good, F.col("entropy")))
+
+
+def disagreement(votes: DataFrame, items: int) -> tuple[DataFrame, DataFrame]:
+    """The ``items`` cells of most disagreement with what is known of them, and the extremes and mean of all scores."""
+    top = votes.filter("disagreement is not null").orderBy(F.desc("disagreement"), F.desc("participant_count"), "lat_idx", "lon_idx").limit(items)
+    return top, votes.agg(F.count("disagreement").alias("n_scores"), F.min("disagreement").alias("min_score"), F.max("disagreement").alias("max_score"), F.avg("disagreement").alias("mean_score"))
+
+
+def profile(cells: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """What a loader has delivered: rows, values, missing ones, extent in time and on the grid."""
+    return cells.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count(value).alias("n_values"),
+        F.count_if(F.col(value).isNull()).alias("n_missing"),
+        F.min("ts").cast("date").alias("first_day"),
+        F.max("ts").cast("date").alias("last_day"),
+        F.min("lat_idx").alias("top"),
+        F.max("lat_idx").alias("bottom"),
+        F.min("lon_idx").alias("left"),
+        F.max("lon_idx").alias("right"),
+    )
+
+
+def review_manifest(areas: DataFrame, artefacts: DataFrame, summary: DataFrame) -> DataFrame:
+    """Areas with their artefact, null where there is none, and the run's summary, which is one row, beside each."""
+    a = artefacts.select(F.col("aoi_id").alias("_a"), *[c for c in artefacts.columns if c != "aoi_id"])
+    return areas.join(a, F.col("aoi_id") == F.col("_a"), "left").drop("_a").join(F.broadcast(summary.limit(1)))
+
+
+def lineage(points: DataFrame, stages: dict[str, DataFrame], keys: list[str], value: str = "value") -> DataFrame:
+    """For each point what every stage has there, side by side, and the first stage without a value."""
+    out = points
+    for name, df in stages.items():
+        own = df.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(value).alias(name))
+        on = F.lit(True)
+        for k in keys:
+            on = on & (F.col(k) == F.col(f"_{k}"))
+        out = out.join(own, on, "left").drop(*[f"_{k}" for k in keys])
+    lost = F.lit(None).cast("string")
+    for name in reversed(list(stages)):
+        lost = F.when(F.col(name).isNull(), name).otherwise(lost)
+    return out.withColumn("lost_at", lost)

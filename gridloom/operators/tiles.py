@@ -53,3 +53,43 @@ def pixel_statistics(stacks: DataFrame, keys: list[str]) -> DataFrame:
 def chunk_key(lat_idx: Column, lon_idx: Column, cells: int) -> Column:
     """The chunk of a grid that a cell is in, as a partitioning key."""
     return F.concat_ws("_", F.floor(lat_idx / cells).cast("string"), F.floor(lon_idx / cells).cast("string"))
+
+
+# Named transforms of a staged tile's rows (weighted, coverage, ...), which users may add to.
+TRANSFORMS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "fraction": lambda t: t.withColumn("value", ratio(F.col("weighted"), F.col("coverage"))),
+    "covered": lambda t: t.withColumn("value", (F.col("coverage") > 0).cast("double")),
+    "wet": lambda t: t.withColumn("value", F.when(F.col("coverage") > 0, (F.col("weighted") > 0).cast("double"))),
+}
+
+
+def transformed(tiles: DataFrame, name: str) -> DataFrame:
+    """Tiles' rows by a named transform."""
+    if name not in TRANSFORMS:
+        raise KeyError(f"no transform {name!r}, but {sorted(TRANSFORMS)}")
+    return TRANSFORMS[name](tiles)
+
+
+def tree_merged(parts: DataFrame, keys: list[str], merge: Callable[[pd.DataFrame], pd.DataFrame], schema: str, fan: int = 64) -> DataFrame:
+    """A user's associative merge of a key's rows into one, in two levels.
+
+    ``merge`` takes rows of one key and returns one row of the same columns; a
+    key's rows are dealt over ``fan`` buckets, merged there, and then together,
+    so that a key with most of the rows is no single task's work.
+    """
+    names = parts.columns
+    dealt = parts.withColumn("_bucket", F.pmod(F.xxhash64(*names), F.lit(fan)))
+    first = dealt.groupBy(*keys, "_bucket").applyInPandas(lambda rows: merge(rows[names]), schema)
+    return first.groupBy(*keys).applyInPandas(merge, schema)
+
+
+def tile_audit(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Files (path, length, content) against a manifest (path, size): missing, size_mismatch, not_tiff, or ok; files not listed are extra.
+
+    Only a file's first four bytes are looked at: the byte order and the mark of a TIFF or a BigTIFF.
+    """
+    head = F.hex(F.substring("content", 1, 4))
+    m = manifest.select(F.col("path").alias("_p"), F.col("size").alias("_size"))
+    met = files.select("path", "length", head.alias("_head")).join(m, F.col("path") == F.col("_p"), "full_outer")
+    status = F.when(F.col("path").isNull(), "missing").when(F.col("_p").isNull(), "extra").when(F.col("length") != F.col("_size"), "size_mismatch").when(~F.col("_head").isin("49492A00", "4D4D002A", "49492B00", "4D4D002B"), "not_tiff").otherwise("ok")
+    return met.select(F.coalesce("path", "_p").alias("path"), status.alias("status"))

@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
+from itertools import accumulate
 from statistics import NormalDist
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
+from .neighbours import exact_percentile
 
 KEYS = ("dataset_id", "lat_idx", "lon_idx")
 MIN_OBSERVATIONS, MIN_SAMPLES, CONFIDENCE = 5, 4, 0.95
+#: Differences of pairs that a test holds at once.
+PAIRS = 1 << 22
 
 
 def _ordered(series: DataFrame, time: str, value: str) -> DataFrame:
@@ -44,36 +50,47 @@ def inversion_counts(n: int) -> list[int]:
     return counts
 
 
-def kendall_p(y: list[float]) -> tuple[int, float]:
-    """S and the two-sided p-value: exact without ties up to 33 values, else by the normal with ties in the variance."""
-    n = len(y)
-    s = sum((b > a) - (b < a) for i, a in enumerate(y) for b in y[i + 1 :])
-    ties = pd.Series(y).value_counts()
-    ties = [int(t) for t in ties if t > 1]
+@lru_cache
+def _exact(n: int) -> list[float]:
+    """The chance of at most 0, 1, 2, ... inversions of ``n`` values, twice."""
+    total = math.factorial(n)
+    return [min(1.0, 2 * x / total) for x in accumulate(inversion_counts(n))]
+
+
+def kendall_p(n: int, s: int, ties: list[int]) -> float:
+    """The two-sided p-value of Kendall's S: exact without ties up to 33 values and where at most one pair is against the rest, else by the normal with ties in the variance."""
+    against = (n * (n - 1) // 2 - abs(s)) // 2
     if not ties and n <= 33:
-        pairs = n * (n - 1) // 2
-        counts = inversion_counts(n)
-        low = (pairs - abs(s)) // 2
-        return s, min(1.0, 2 * sum(counts[: low + 1]) / math.factorial(n))
+        return _exact(n)[against]
+    if not ties and against <= 1:
+        return min(1.0, 2.0 * math.exp(-math.lgamma(n + 1 - against)))
     variance = (n * (n - 1) * (2 * n + 5) - sum(t * (t - 1) * (2 * t + 5) for t in ties)) / 18
     # the usual form for tau-b: no continuity correction
-    return s, math.erfc(abs(s) / math.sqrt(2 * variance)) if variance > 0 else 1.0
-
-
-def _test(y: list[float], alpha: float) -> tuple[float | None, float, float, bool, int]:
-    """slope, p, z, significant, direction."""
-    if len(y) < MIN_SAMPLES:
-        return None, 1.0, 0.0, False, 0
-    if max(y) == min(y):
-        return 0.0, 1.0, 0.0, False, 0
-    s, p = kendall_p(y)
-    slopes = sorted((b - a) / (j - i) for i, a in enumerate(y) for j, b in enumerate(y[i + 1 :], i + 1))
-    half = len(slopes) // 2
-    slope = slopes[half] if len(slopes) % 2 else (slopes[half - 1] + slopes[half]) / 2
-    z = 8.0 if p <= 0 else 0.0 if p >= 1 else NormalDist().inv_cdf(1 - p / 2)
-    z *= (s > 0) - (s < 0)
-    significant = p < alpha
-    return slope, p, z, significant, ((slope > 0) - (slope < 0)) if significant else 0
+    return math.erfc(abs(s) / math.sqrt(2 * variance)) if variance > 0 else 1.0
+
+
+def _tested(y: np.ndarray, alpha: float) -> list[tuple[float | None, float, float, bool, int]]:
+    """slope, p, z, significant, direction of each row of ``y``, series of one length."""
+    n = y.shape[1]
+    if n < MIN_SAMPLES:
+        return [(None, 1.0, 0.0, False, 0)] * len(y)
+    i, j = np.triu_indices(n, 1)
+    out = []
+    step = max(1, PAIRS // len(i))
+    for at in range(0, len(y), step):
+        part = y[at : at + step]
+        apart = part[:, j] - part[:, i]
+        slopes, totals = np.median(apart / (j - i), axis=1), np.sign(apart).sum(axis=1).astype(int)
+        tied = (apart == 0).any(axis=1)
+        for row, slope, s, has_ties in zip(part, slopes.tolist(), totals.tolist(), tied.tolist(), strict=True):
+            ties = [t for t in np.unique(row, return_counts=True)[1].tolist() if t > 1] if has_ties else []
+            if ties == [n]:
+                out.append((0.0, 1.0, 0.0, False, 0))
+                continue
+            p = kendall_p(n, s, ties)
+            z = (8.0 if p <= 0 else 0.0 if p >= 1 else NormalDist().inv_cdf(1 - p / 2)) * np.sign(s)
+            out.append((slope, p, float(z), p < alpha, int(np.sign(slope)) if p < alpha else 0))
+    return out
 
 
 def pixel_trends(series: DataFrame, time: str = "year", value: str = "value", min_observations: int = MIN_OBSERVATIONS, confidence: float = CONFIDENCE) -> DataFrame:
@@ -81,13 +98,21 @@ def pixel_trends(series: DataFrame, time: str = "year", value: str = "value", mi
 
     The gate counts time steps, empty ones included; below it the status is
     insufficient_observations. The test itself is a pandas UDF over arrays
-    (an exact distribution and an inverse normal have no SQL form).
+    (an exact distribution and an inverse normal have no SQL form); series of
+    one length are tested together, ``PAIRS`` differences at a time.
     """
     alpha = 1.0 - confidence
 
     @F.pandas_udf("slope double, p double, z double, significant boolean, direction int")
     def tested(y: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_test([float(v) for v in x], alpha) for x in y], columns=["slope", "p", "z", "significant", "direction"])
+        lengths = y.map(len).to_numpy()
+        out: list = [None] * len(y)
+        for n in np.unique(lengths).tolist():
+            at = np.flatnonzero(lengths == n)
+            rows = np.stack([np.asarray(y.iloc[k], float) for k in at]).reshape(len(at), n)
+            for k, made in zip(at.tolist(), _tested(rows, alpha), strict=True):
+                out[k] = made
+        return pd.DataFrame(out, columns=["slope", "p", "z", "significant", "direction"])
 
     made = _ordered(series, time, value).withColumn("t", tested(F.transform("y", lambda v: v.cast("double"))))
     enough = F.col("steps") >= min_observations
@@ -103,10 +128,10 @@ def pixel_trends(series: DataFrame, time: str = "year", value: str = "value", mi
 
 
 def trend_agreement(trends: DataFrame, datasets: int, direction: str = "trend_direction") -> DataFrame:
-    """Per cell over datasets: counts of each direction, the largest count's share of all datasets, unanimity."""
-    d = F.col(direction)
+    """Per cell over datasets: counts of each direction, the largest count's share of all datasets, unanimity, and the slopes' mean and deviation."""
+    d, slope = F.col(direction), F.col("sens_slope")
     up, down, flat = F.count_if(d > 0), F.count_if(d < 0), F.count_if(d == 0)
-    return trends.groupBy("lat_idx", "lon_idx").agg(up.alias("n_up"), down.alias("n_down"), flat.alias("n_stable")).select(
+    return trends.groupBy("lat_idx", "lon_idx").agg(up.alias("n_up"), down.alias("n_down"), flat.alias("n_stable"), F.avg(slope).alias("mean_slope"), F.stddev_pop(slope).alias("slope_std")).select(
         "lat_idx",
         "lon_idx",
         "n_up",
@@ -115,21 +140,39 @@ def trend_agreement(trends: DataFrame, datasets: int, direction: str = "trend_di
         ratio(F.greatest("n_up", "n_down", "n_stable"), F.lit(datasets)).alias("agreement_ratio"),
         (F.col("n_up") == datasets).alias("robust_increase"),
         (F.col("n_down") == datasets).alias("robust_decrease"),
+        (F.col("n_stable") == datasets).alias("robust_stable"),
         (F.greatest("n_up", "n_down", "n_stable") < datasets).alias("disputed"),
+        "mean_slope",
+        "slope_std",
     )
 
 
+def gated_agreement(trends: DataFrame, spans: DataFrame, min_years: float = 5.0) -> tuple[DataFrame, DataFrame]:
+    """trend_agreement() of the datasets' computed trends, and the window they share with its status.
+
+    Without a window of ``min_years`` in common there are no rows. ``spans``
+    has dataset_id, start, stop, a row a dataset.
+    """
+    window = overlap_window(spans, min_years)
+    status = window.first()["status"]
+    computed = trends.filter("status = 'computed'")
+    n = computed.select("dataset_id").distinct().count()
+    status = "overlap_window_empty" if not n else status
+    made = trend_agreement(computed, n)
+    return made if status == "computed" else made.filter("false"), window.withColumn("status", F.lit(status))
+
+
 def regional_summary(trends: DataFrame, direction: str = "trend_direction") -> DataFrame:
     """Per dataset and region (cells listed under each of their regions): cells with a slope, shares by direction, median slope."""
     d, has = F.col(direction), F.col("sens_slope").isNotNull()
-    n = F.count("sens_slope")
-    return trends.groupBy("dataset_id", "region_id").agg(
+    n, keys = F.count("sens_slope"), ["dataset_id", "region_id"]
+    counts = trends.groupBy(*keys).agg(
         n.alias("n_valid"),
-        F.percentile("sens_slope", 0.5).alias("median_slope"),
         ratio(F.count_if(has & (d > 0)), n).alias("share_increasing"),
         ratio(F.count_if(has & (d < 0)), n).alias("share_decreasing"),
         ratio(F.count_if(has & (d == 0)), n).alias("share_stable"),
     )
+    return counts.join(exact_percentile(trends, 0.5, ("dataset_id", "region_id"), "sens_slope", "median_slope"), keys, "left")
 
 
 def overlap_window(ranges: DataFrame, min_years: float = 5.0) -> DataFrame:

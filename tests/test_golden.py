@@ -124,7 +124,8 @@ def test_too_few_steps(spark):
 def test_exact_p_counts_orders():
     assert trends.inversion_counts(4) == [1, 3, 5, 6, 5, 3, 1]
     assert sum(trends.inversion_counts(7)) == math.factorial(7)
-    assert trends.kendall_p([1, 2, 2, 3])[1] < 1
+    assert trends.kendall_p(4, 5, [2]) < 1
+    assert close(trends.kendall_p(40, 780, []), 2 / math.factorial(40)) and close(trends.kendall_p(40, 778, []), 2 / math.factorial(39))
 
 
 def test_sen_matches_the_test(spark):
@@ -134,9 +135,16 @@ def test_sen_matches_the_test(spark):
 
 
 def test_agreement_of_trends(spark):
-    rows = [("a", 0, 0, 1), ("b", 0, 0, 1), ("c", 0, 0, 1), ("a", 0, 1, 1), ("b", 0, 1, -1), ("c", 0, 1, 0)]
-    got = cells(trends.trend_agreement(spark.createDataFrame(rows, f"dataset_id string, {CELL}, trend_direction int"), 3), "agreement_ratio", "robust_increase", "disputed")
-    assert got == {(0, 0): (1.0, True, False), (0, 1): (1 / 3, False, True)}
+    rows = [("a", 0, 0, 1, 0.1), ("b", 0, 0, 1, 0.2), ("c", 0, 0, 1, 0.3), ("a", 0, 1, 1, 1.0), ("b", 0, 1, -1, -1.0), ("c", 0, 1, 0, None), ("a", 1, 0, 0, 0.0), ("b", 1, 0, 0, 0.0), ("c", 1, 0, 0, 0.0)]
+    made = spark.createDataFrame(rows, f"dataset_id string, {CELL}, trend_direction int, sens_slope double").withColumn("status", F.lit("computed"))
+    got = cells(trends.trend_agreement(made, 3), "agreement_ratio", "robust_increase", "robust_stable", "disputed", "mean_slope", "slope_std")
+    assert {k: v[:4] for k, v in got.items()} == {(0, 0): (1.0, True, False, False), (0, 1): (1 / 3, False, False, True), (1, 0): (1.0, False, True, False)}
+    assert close(got[0, 0][4], 0.2) and close(got[0, 0][5], math.sqrt(0.02 / 3)) and close(got[0, 1][5], 1.0)
+    spans = lambda stop: spark.createDataFrame([("a", "2000-01-01", stop), ("b", "2001-01-01", "2015-01-01")], "dataset_id string, start string, stop string").select("dataset_id", *[F.col(c).cast("date").alias(c) for c in ("start", "stop")])
+    agreed, window = trends.gated_agreement(made, spans("2010-01-01"))
+    assert agreed.count() == 3 and window.first()["status"] == "computed"
+    agreed, window = trends.gated_agreement(made, spans("2003-01-01"))
+    assert agreed.count() == 0 and window.first()["status"] == "overlap_window_empty"
 
 
 def test_overlap(spark):
