@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grid
 from ..functions.scalars import clip, nan_to_null
-from ..operators import agreement, contract, hotspots, regrid, series, trends
+from ..operators import agreement, contract, regrid, selection, series, trends
 from ..sources.store import participants
 
 CELL = ["lat_idx", "lon_idx"]
@@ -20,10 +20,15 @@ class Rough:
     cells: DataFrame
     pairs: DataFrame
     statuses: DataFrame
-    focus: DataFrame
+    scored: DataFrame
+    regions: list[tuple[str, float, float, float, float]]
 
+    def focus(self, n: int = 8, per_region: int = 2, distance: float = 3.0) -> DataFrame:
+        """Places to look at: one job for each of them."""
+        return selection.focus_areas(self.scored, [r[0] for r in self.regions], n, per_region, distance)
 
-def rough(surfaces: DataFrame, regions: list[tuple[str, float, float, float, float]], threshold: float = 0.5, distance: float = 0.5) -> Rough:
+
+def rough(surfaces: DataFrame, regions: list[tuple[str, float, float, float, float]], threshold: float = 0.5) -> Rough:
     """Binary comparison of surfaces (dataset_id, cell, lat, lon, value): votes, pairs, statuses, places to look at."""
     every = nan_to_null(surfaces).withColumn("value", clip(F.col("value")))
     taking_part = participants(every)
@@ -32,7 +37,7 @@ def rough(surfaces: DataFrame, regions: list[tuple[str, float, float, float, flo
     scored = votes.join(at, CELL).withColumn("score", F.col("disagreement")).filter("score > 0")
     excluded = F.col("dataset_id").isin("berkeley_rwawc", "lstm_wetland")
     statuses = every.groupBy("dataset_id").agg(F.count("value").alias("n_values")).withColumn("status", F.when(excluded, "skipped_not_eligible").when(F.col("n_values") == 0, "failed_empty_harmonized_surface").otherwise("participating"))
-    return Rough(votes, agreement.pair_metrics(taking_part, threshold), statuses, hotspots.focus_areas(grid.first_region(scored, regions), 3, 10, distance))
+    return Rough(votes, agreement.pair_metrics(taking_part, threshold), statuses, grid.first_region(scored, regions), regions)
 
 
 def classification(fractions: DataFrame, datasets: int = 3) -> tuple[DataFrame, DataFrame]:

@@ -1,90 +1,18 @@
-"""The library's queries over the driver's tables, each with the same in SQL where SQL can say it.
-
-A query is registered with ``@query(sql)``; ``{obs}`` in its SQL stands for the
-observations' projection. Doubles are rounded to nine places on both sides.
-"""
+"""The library's queries over the driver's tables: agreement, classes, series, trends, neighbourhoods, grids."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import classes, grid, imagery, scalars, tiling
 from ..operators import agreement, contract, hotspots, neighbours, regrid, series, summaries, tiles, trends
 from ..sources import files, store
-from ..sources.driver_tables import OBS_SQL, REGIONS, observations, regions, table
+from ..sources.driver_tables import REGIONS, observations, regions, table
 from ..streaming import running
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-CELL = ["lat_idx", "lon_idx"]
-_AREA = "(6371.0088 * 6371.0088 * (sin(radians(20.0 - 5 * lat_idx)) - sin(radians(15.0 - 5 * lat_idx))) * radians(5.0))"
-_REGION_VALUES = ", ".join(f"('{r[0]}', {r[1]}, {r[2]}, {r[3]}, {r[4]}, {r[5]})" for r in REGIONS)
-CTES = {
-    "obs": OBS_SQL,
-    "surf": "select dataset_id, lat_idx, lon_idx, cast(sum(value) as double) / count(value) / 100 as v, cast(sum(value) as bigint) as s, count(value) as n from obs where year(ts) = 1997 group by all",
-    "annual": "select dataset_id, lat_idx, lon_idx, year(ts) as year, cast(sum(value) as double) / count(value) as v from obs group by all",
-    "votes": "select dataset_id, lat_idx, lon_idx, class_id from (select *, row_number() over (partition by dataset_id, lat_idx, lon_idx order by n desc, class_id) as r from (select dataset_id, lat_idx, lon_idx, class_id, count(*) as n from obs group by all)) where r = 1",
-    "fracs": "select dataset_id, lat_idx, lon_idx, class_id, cast(count(*) as double) / sum(count(*)) over (partition by dataset_id, lat_idx, lon_idx) as fraction, count(*) as n from obs group by dataset_id, lat_idx, lon_idx, class_id",
-    "regions": f"select * from (values {_REGION_VALUES}) as t(region_id, ord, west, south, east, north)",
-    "placed": "select o.*, 17.5 - 5 * lat_idx as lat, 102.5 + 5 * lon_idx as lon from obs o",
-    "monthly": "select dataset_id, region_id, cast(date_trunc('month', ts) as date) as month, sum(value) as s, count(value) as c from placed p join regions r on p.lat between r.south and r.north and p.lon between r.west and r.east group by all",
-    "pairs": "select a.dataset_id, a.lat_idx, a.lon_idx, a.r as i, b.r as j, a.v as x, b.v as y from ranked a join ranked b on a.dataset_id = b.dataset_id and a.lat_idx = b.lat_idx and a.lon_idx = b.lon_idx and a.r < b.r",
-    "ranked": "select *, row_number() over (partition by dataset_id, lat_idx, lon_idx order by year) as r from annual where v is not null",
-    "sen": "select dataset_id, lat_idx, lon_idx, count(distinct i) + 1 as n_obs, cast(sum(sign(y - x)) as bigint) as kendall_s, count(*) filter (x = y) as n_ties, median((y - x) / (j - i)) as sens_slope from pairs group by all",
-}
-_NEEDS = {"surf": ["obs"], "annual": ["obs"], "votes": ["obs"], "fracs": ["obs"], "placed": ["obs"], "monthly": ["placed", "regions"], "ranked": ["annual"], "pairs": ["ranked"], "sen": ["pairs"]}
-
-
-def _with(names: list[str]) -> list[str]:
-    out: list[str] = []
-    for n in names:
-        out += [x for x in [*_with(_NEEDS.get(n, [])), n] if x not in out]
-    return out
-
-
-def query(sql: str | None = None, uses: str = "obs", recursive: bool = False):
-    def put(f):
-        def rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
-            df = f(spark, sf_dir)
-            return df.select(*[F.round(c.name, 9).alias(c.name) if isinstance(c.dataType, T.DoubleType) else F.col(c.name) for c in df.schema.fields])
-
-        QUERIES[f.__name__] = rounded
-        if sql:
-            ctes = ", ".join(f"{n} as ({CTES[n]})" for n in _with(uses.split()))
-            head = f"with {'recursive ' if recursive else ''}{ctes}" if ctes else ""
-            ORACLES[f.__name__] = f"{head}{', ' if ctes and recursive else ' '}{sql}" if ctes else sql
-        return f
-
-    return put
-
-
-def surfaces(spark, sf) -> DataFrame:
-    """One value a dataset and cell: means of 1997, in hundredths as exact integers and as a fraction."""
-    o = observations(spark, sf).filter(F.year("ts") == 1997)
-    return o.groupBy("dataset_id", *CELL).agg((scalars.mean(o, "value") / 100).alias("value"))
-
-
-def annual(spark, sf) -> DataFrame:
-    return series.by_year(observations(spark, sf))
-
-
-def votes(spark, sf) -> DataFrame:
-    return agreement.temporal_mode(observations(spark, sf)).withColumnRenamed("mode_class", "class_id")
-
-
-def fractions(spark, sf) -> DataFrame:
-    o = observations(spark, sf).groupBy("dataset_id", *CELL, "class_id").agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy("dataset_id", *CELL))
-    return o.withColumn("fraction", scalars.ratio(F.col("n"), total))
-
-
-def placed(df: DataFrame) -> DataFrame:
-    return df.withColumns({"lat": 17.5 - 5 * F.col("lat_idx"), "lon": 102.5 + 5 * F.col("lon_idx")})
-
+from .registry import AREA, CELL, ERFC, annual, fractions, placed, query, surfaces, votes
 
 # --- dispersion, binary votes, pairs -------------------------------------------------------------
 
@@ -159,14 +87,14 @@ def vote_entropy3(spark, sf):
     return agreement.vote_entropy3(votes(spark, sf))
 
 
-@query(f"select dataset_id, lat_idx, lon_idx, class_id as dominant_class from (select *, row_number() over (partition by dataset_id, lat_idx, lon_idx order by {_RANK}) as r from (select *, max(fraction) over (partition by dataset_id, lat_idx, lon_idx) as top from fracs) where fraction >= top - 1e-12) where r = 1 and dataset_id = 'a'", "fracs")
+@query(f"select dataset_id, lat_idx, lon_idx, class_id as dominant_class from (select *, row_number() over (partition by dataset_id, lat_idx, lon_idx order by {_RANK}) as r from (select *, max(fraction) over (partition by dataset_id, lat_idx, lon_idx) as top from fracs) where fraction >= top - 1e-12) where r = 1", "fracs")
 def dominant_priority(spark, sf):
-    return agreement.dominant_class(fractions(spark, sf).filter("dataset_id = 'a'")).select(F.lit("a").alias("dataset_id"), *CELL, "dominant_class")
+    return agreement.dominant_class(fractions(spark, sf), keys=("dataset_id", *CELL))
 
 
-@query(f"select lat_idx, lon_idx, class_id as dominant_class from (select *, row_number() over (partition by lat_idx, lon_idx order by {_RANK}) as r from (select *, max(fraction) over (partition by lat_idx, lon_idx) as top from fracs where dataset_id = 'n' and class_id not in (0, 1)) where fraction >= top - 1e-12) where r = 1", "fracs")
+@query(f"select dataset_id, lat_idx, lon_idx, class_id as dominant_class from (select *, row_number() over (partition by dataset_id, lat_idx, lon_idx order by {_RANK}) as r from (select *, max(fraction) over (partition by dataset_id, lat_idx, lon_idx) as top from (select *, max(case when class_id not in (0, 1) then 1 else 0 end) over (partition by dataset_id, lat_idx, lon_idx) as wet from fracs) where wet = case when class_id in (0, 1) then 0 else 1 end) where fraction >= top - 1e-12) where r = 1", "fracs")
 def dominant_tiered(spark, sf):
-    return agreement.tiered_dominant_class(fractions(spark, sf).filter("dataset_id = 'n'"))
+    return agreement.tiered_dominant_class(fractions(spark, sf), keys=("dataset_id", *CELL))
 
 
 @query("select dataset_id, lat_idx, lon_idx, arg_max(class_id, n * 100 - class_id) as dominant_class from fracs group by all", "fracs")
@@ -198,9 +126,10 @@ def class_fractions(spark, sf):
     return fractions(spark, sf).drop("n")
 
 
-@query(f"select dataset_id, lat_idx, lon_idx, class_id, round(sum(fraction), 9) as fraction from (select 'gwd30' as dataset_id, lat_idx, lon_idx, cast(x.t as int) as class_id, fraction from fracs f join (select * from (values {_XW}) as w(scheme, d, c, t)) x on x.scheme = 'yaml8' and x.d = 'gwd30' and x.c = f.class_id + 7 where f.dataset_id = 'r') group by all", "fracs")
+@query(f"select ds as dataset_id, lat_idx, lon_idx, class_id, round(sum(f), 9) as fraction from (select case f.dataset_id when 'a' then 'g2017' when 'n' then 'glwd_v2' else 'gwd30' end as ds, lat_idx, lon_idx, cast(x.t as int) as class_id, fraction as f from fracs f join (select * from (values {_XW}) as w(scheme, d, c, t)) x on x.scheme = 'yaml8' and x.d = case f.dataset_id when 'a' then 'g2017' when 'n' then 'glwd_v2' else 'gwd30' end and x.c = f.class_id + 7) group by all", "fracs")
 def unified_fractions(spark, sf):
-    f = fractions(spark, sf).filter("dataset_id = 'r'").select(F.lit("gwd30").alias("dataset_id"), *CELL, (F.col("class_id") + 7).cast("int").alias("class_id"), "fraction")
+    names = F.when(F.col("dataset_id") == "a", "g2017").when(F.col("dataset_id") == "n", "glwd_v2").otherwise("gwd30")
+    f = fractions(spark, sf).select(names.alias("dataset_id"), *CELL, (F.col("class_id") + 7).cast("int").alias("class_id"), "fraction")
     return series.unified_fractions(f)
 
 
@@ -222,7 +151,7 @@ def cube_abs_diff(spark, sf):
     return agreement.cube_difference(f.filter("dataset_id = 'a'"), f.filter("dataset_id = 'n'"), [*CELL, "class_id"], "n")
 
 
-@query(f"select class_id, round(100 * sum({_AREA} * n) / sum(sum({_AREA} * n)) over (), 9) as area_share from fracs group by class_id", "fracs")
+@query(f"select class_id, round(100 * sum({AREA} * n) / sum(sum({AREA} * n)) over (), 9) as area_share from fracs group by class_id", "fracs")
 def area_share_by_class(spark, sf):
     area = grid.cell_area_km2(15.0 - 5 * F.col("lat_idx"), 20.0 - 5 * F.col("lat_idx"), F.lit(0.0), F.lit(5.0))
     of = fractions(spark, sf).groupBy("class_id").agg(F.sum(area * F.col("n")).alias("a"))  # a row a class
@@ -295,7 +224,7 @@ def regional_series_union(spark, sf):
     return u.groupBy("series_type", "region_id").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@query(f"select dataset_id, cast(date_trunc('month', ts) as date) as month, round(sum({_AREA} * value) / sum(case when value is not null then {_AREA} end), 9) as value from obs group by all")
+@query(f"select dataset_id, cast(date_trunc('month', ts) as date) as month, round(sum({AREA} * value) / sum(case when value is not null then {AREA} end), 9) as value from obs group by all")
 def area_weighted_monthly(spark, sf):
     area = grid.cell_area_km2(15.0 - 5 * F.col("lat_idx"), 20.0 - 5 * F.col("lat_idx"), F.lit(0.0), F.lit(5.0))
     cells = observations(spark, sf).withColumns({"region_id": F.lit("global"), "weight": area})
@@ -336,48 +265,40 @@ def sen_slope(spark, sf):
     return trends.sen_kendall(annual(spark, sf))
 
 
-def _direction(spark, sf):
-    return trends.sen_kendall(annual(spark, sf)).withColumn("trend_direction", F.when(F.abs("kendall_s") >= 11, F.signum("sens_slope").cast("int")).otherwise(0))
-
-
-_DIR = "select *, cast(case when abs(kendall_s) >= 11 then sign(sens_slope) else 0 end as int) as trend_direction from sen"
+def _trends(spark, sf):
+    return trends.pixel_trends(annual(spark, sf))
 
 
-@query(f"select dataset_id, lat_idx, lon_idx, trend_direction from ({_DIR})", "sen")
+@query("select dataset_id, lat_idx, lon_idx, trend_direction from tests", "tests")
 def trend_direction(spark, sf):
-    return _direction(spark, sf).select("dataset_id", *CELL, "trend_direction")
-
-
-_P = [(s, min(1.0, 2 * sum(trends.inversion_counts(7)[: (21 - s) // 2 + 1]) / 5040)) for s in range(1, 22, 2)]
+    return _trends(spark, sf).select("dataset_id", *CELL, "trend_direction")
 
 
-@query(f"select s.dataset_id, s.lat_idx, s.lon_idx, round(p.p, 9) as p_value from sen s join (values {', '.join(f'({s}, {p!r}::double)' for s, p in _P)}) as p(k, p) on abs(s.kendall_s) = p.k where s.n_obs = 7 and s.n_ties = 0", "sen")
+@query("select dataset_id, lat_idx, lon_idx, round(p_value, 9) as p_value from tests", "tests")
 def mann_kendall_p(spark, sf):
-    t = trends.pixel_trends(annual(spark, sf))
-    k = trends.sen_kendall(annual(spark, sf)).select(F.col("dataset_id").alias("d"), F.col("lat_idx").alias("a"), F.col("lon_idx").alias("b"), "n_obs", "n_ties")
-    met = t.join(k, (F.col("dataset_id") == F.col("d")) & (F.col("lat_idx") == F.col("a")) & (F.col("lon_idx") == F.col("b")))
-    return met.filter("n_obs = 7 and n_ties = 0").select("dataset_id", *CELL, "p_value")
+    return _trends(spark, sf).select("dataset_id", *CELL, "p_value")
 
 
-@query()
-def mann_kendall_p_all(spark, sf):
-    """p-values of all cells, whatever their length and ties; held against brute force in tests."""
-    return trends.pixel_trends(annual(spark, sf)).select("dataset_id", *CELL, "p_value")
+#: z of a two-sided p-value by Newton's steps on its tail, which is convex: from zero they never pass the root.
+_NORMAL = f"list_reduce(list_prepend(0.0::double, list_transform(range(0, 40), lambda i: i::double)), lambda z, i: z + ({ERFC.format(x='(z / sqrt(2))')} - p_value) / (sqrt(2 / pi()) * exp(-z * z / 2)))"
 
 
-@query()
+@query(f"select t.dataset_id, t.lat_idx, t.lon_idx, round(case when status = 'computed' and most_n and coalesce(s.kendall_s, 0) <> 0 and t.p_value < 1 then {_NORMAL} * sign(s.kendall_s) when status = 'computed' then 0 end, 9) as z_score, round(case when status = 'computed' and flat then 0 else t.sens_slope end, 9) as sens_slope, round(p_value, 9) as p_value, significant, trend_direction, status from (select *, p_value is not null as most_n, false as flat from tests) t left join sen s on s.dataset_id = t.dataset_id and s.lat_idx = t.lat_idx and s.lon_idx = t.lon_idx", "tests sen")
 def pixel_trends(spark, sf):
-    return trends.pixel_trends(annual(spark, sf))
+    return _trends(spark, sf)
 
 
-@query(f"select lat_idx, lon_idx, count(*) filter (trend_direction > 0) as n_up, count(*) filter (trend_direction < 0) as n_down, count(*) filter (trend_direction = 0) as n_stable, round(cast(greatest(count(*) filter (trend_direction > 0), count(*) filter (trend_direction < 0), count(*) filter (trend_direction = 0)) as double) / 3, 9) as agreement_ratio, count(*) filter (trend_direction > 0) = 3 as robust_increase, count(*) filter (trend_direction < 0) = 3 as robust_decrease, greatest(count(*) filter (trend_direction > 0), count(*) filter (trend_direction < 0), count(*) filter (trend_direction = 0)) < 3 as disputed from ({_DIR}) group by all", "sen")
+_AGREE = "select lat_idx, lon_idx, n_up, n_down, n_stable, cast(greatest(n_up, n_down, n_stable) as double) / 3 as agreement_ratio, n_up = 3 as robust_increase, n_down = 3 as robust_decrease, n_stable = 3 as robust_stable, greatest(n_up, n_down, n_stable) < 3 as disputed, mean_slope, slope_std from (select lat_idx, lon_idx, count(*) filter (trend_direction > 0) as n_up, count(*) filter (trend_direction < 0) as n_down, count(*) filter (trend_direction = 0) as n_stable, avg(sens_slope) as mean_slope, stddev_pop(sens_slope) as slope_std from tests group by lat_idx, lon_idx)"
+
+
+@query(f"select * replace (round(agreement_ratio, 9) as agreement_ratio, round(mean_slope, 9) as mean_slope, round(slope_std, 9) as slope_std) from ({_AGREE})", "tests")
 def trend_agreement(spark, sf):
-    return trends.trend_agreement(_direction(spark, sf), 3)
+    return trends.trend_agreement(_trends(spark, sf), 3)
 
 
-@query(f"select dataset_id, region_id, count(sens_slope) as n_valid, round(quantile_cont(sens_slope, 0.5), 9) as median_slope, round(cast(count(*) filter (trend_direction > 0) as double) / count(sens_slope), 9) as share_increasing, round(cast(count(*) filter (trend_direction < 0) as double) / count(sens_slope), 9) as share_decreasing, round(cast(count(*) filter (trend_direction = 0) as double) / count(sens_slope), 9) as share_stable from ({_DIR}) d join regions r on 17.5 - 5 * d.lat_idx between r.south and r.north and 102.5 + 5 * d.lon_idx between r.west and r.east group by all", "sen regions")
+@query("select dataset_id, region_id, count(sens_slope) as n_valid, round(quantile_cont(sens_slope, 0.5), 9) as median_slope, round(cast(count(*) filter (trend_direction > 0) as double) / count(sens_slope), 9) as share_increasing, round(cast(count(*) filter (trend_direction < 0) as double) / count(sens_slope), 9) as share_decreasing, round(cast(count(*) filter (trend_direction = 0 and sens_slope is not null) as double) / count(sens_slope), 9) as share_stable from tests d join regions r on 17.5 - 5 * d.lat_idx between r.south and r.north and 102.5 + 5 * d.lon_idx between r.west and r.east group by all", "tests regions")
 def trend_regional(spark, sf):
-    return trends.regional_summary(grid.all_regions(placed(_direction(spark, sf)), regions(spark)))
+    return trends.regional_summary(grid.all_regions(placed(_trends(spark, sf)), regions(spark)))
 
 
 @query("select cast(max(a) as date) as overlap_start, cast(min(b) as date) as overlap_end, round(cast(date_diff('day', cast(max(a) as date), cast(min(b) as date)) as double) / 365.25::double, 9) as overlap_years, case when cast(date_diff('day', cast(max(a) as date), cast(min(b) as date)) as double) / 365.25::double >= 5 then 'computed' else 'overlap_window_empty' end as status from (select min(ts) as a, max(ts) as b from obs group by dataset_id)")
@@ -434,13 +355,10 @@ def pct_hotspots(spark, sf):
     return hotspots.percentage_hotspots(cells, "region_id").select("hotspot_rank", *CELL, "score")
 
 
-_AGREE = f"select lat_idx, lon_idx, cast(greatest(count(*) filter (trend_direction > 0), count(*) filter (trend_direction < 0), count(*) filter (trend_direction = 0)) as double) / 3 as ar from ({_DIR}) group by all"
-
-
-@query(f"select cast(row_number() over (order by 1 - ar desc, lat_idx, lon_idx) as int) as hotspot_rank, lat_idx, lon_idx, round(1 - ar, 9) as score from ({_AGREE}) where 1 - ar > 0 qualify hotspot_rank <= 10", "sen")
+@query(f"select cast(row_number() over (order by round(1 - agreement_ratio, 9) desc, round(slope_std, 9) desc, lat_idx, lon_idx) as int) as hotspot_rank, lat_idx, lon_idx, round(1 - agreement_ratio, 9) as score, round(slope_std, 9) as slope_std from ({_AGREE}) where disputed and slope_std is not null qualify hotspot_rank <= 10", "tests")
 def trend_hotspots(spark, sf):
-    a = placed(trends.trend_agreement(_direction(spark, sf), 3)).withColumn("region_id", F.lit("global"))
-    return hotspots.trend_hotspots(a, "region_id").select("hotspot_rank", *CELL, "score")
+    a = placed(trends.trend_agreement(_trends(spark, sf), 3)).withColumn("region_id", F.lit("global"))
+    return hotspots.trend_hotspots(a, "region_id").select("hotspot_rank", *CELL, "score", "slope_std")
 
 
 @query(f"select dataset_id, cast(r as int) as hotspot_rank, round(case when n = 1 then 1 else 1 - cast(r - 1 as double) / (n - 1) end, 9) as rank_percentile from (select dataset_id, row_number() over (partition by dataset_id order by v desc, lat_idx, lon_idx) as r, count(*) over (partition by dataset_id) as n from surf where v is not null)", "surf")
@@ -457,18 +375,6 @@ def hamilton_quota(spark, sf):
     return neighbours.hamilton_quotas(r, 10).select("region_id", "quota")
 
 
-@query()
-def focus_areas(spark, sf):
-    votes_ = agreement.binary_votes(surfaces(spark, sf)).withColumn("score", F.col("disagreement")).filter("score > 0")
-    return hotspots.focus_areas(grid.first_region(placed(votes_), [r[0:1] + r[2:] for r in REGIONS]), 3, 10, 7.5).select("region_id", *CELL, "score")
-
-
-@query()
-def entropy_hotspots(spark, sf):
-    e = grid.first_region(placed(agreement.class_entropy(observations(spark, sf), 8)), [r[0:1] + r[2:] for r in REGIONS])
-    return hotspots.entropy_clusters(e, "region_id", 0.5, 2)
-
-
 # --- contracts -----------------------------------------------------------------------------------
 
 
@@ -521,10 +427,10 @@ def event_json_validity(spark, sf):
     return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count(F.expr("try_parse_json(props)")).alias("n_valid"))
 
 
-@query("select dataset_id || '+' || other as dataset_key, n from (select min(dataset_id) as dataset_id, max(dataset_id) as other, count(*) as n from (select lat_idx, lon_idx, dataset_id from obs where dataset_id in ('a', 'r') group by all) group by lat_idx, lon_idx) limit 1")
+@query("select string_agg(dataset_id, '+' order by dataset_id) as dataset_key, lat_idx, lon_idx, count(*) as n from (select lat_idx, lon_idx, dataset_id from obs group by all) group by lat_idx, lon_idx")
 def dataset_keys(spark, sf):
-    o = observations(spark, sf).filter("dataset_id in ('a', 'r')").groupBy(*CELL).agg(F.collect_list("dataset_id").alias("ids"), F.countDistinct("dataset_id").alias("n"))
-    return o.select(scalars.dataset_key(F.col("ids")).alias("dataset_key"), "n").distinct()
+    o = observations(spark, sf).groupBy(*CELL).agg(F.collect_list("dataset_id").alias("ids"), F.countDistinct("dataset_id").alias("n"))
+    return o.select(scalars.dataset_key(F.col("ids")).alias("dataset_key"), *CELL, "n")
 
 
 @query("select cast(o_orderkey as bigint) as o_orderkey, o_orderpriority, cast(o_custkey as bigint) as o_custkey, o_totalprice from orders where o_orderstatus = 'F' and o_totalprice > 1000 order by o_orderpriority, o_totalprice desc, o_custkey, o_orderdate, o_orderkey limit 25", "")
@@ -533,10 +439,10 @@ def review_priority_topn(spark, sf):
     return o.orderBy("o_orderpriority", F.desc("o_totalprice"), "o_custkey", "o_orderdate", "o_orderkey").limit(25).select("o_orderkey", "o_orderpriority", "o_custkey", "o_totalprice")
 
 
-@query("select role, turn, count(*) as n, count(distinct conv_id) as n_conversations from conversations where turn < 3 group by all", "")
+@query("select role, turn, count(*) as n, count(distinct conv_id) as n_conversations from conversations group by all", "")
 def nested_explode(spark, sf):
     nested = table(spark, sf, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role")).alias("turns"))
-    flat = nested.select("conv_id", F.explode("turns").alias("t")).select("conv_id", "t.*").filter("turn < 3")
+    flat = nested.select("conv_id", F.explode("turns").alias("t")).select("conv_id", "t.*")
     return flat.groupBy("role", "turn").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("conv_id").alias("n_conversations"))
 
 
@@ -554,7 +460,7 @@ def region_assign_first(spark, sf):
     return grid.first_region(placed(observations(spark, sf)), [r[0:1] + r[2:] for r in REGIONS]).groupBy("region_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"select lat_idx, round(max({_AREA}), 6) as area_km2 from obs group by all")
+@query(f"select lat_idx, round(max({AREA}), 6) as area_km2 from obs group by all")
 def cell_area(spark, sf):
     area = grid.cell_area_km2(15.0 - 5 * F.col("lat_idx"), 20.0 - 5 * F.col("lat_idx"), F.lit(0.0), F.lit(5.0))
     return observations(spark, sf).select("lat_idx").distinct().select("lat_idx", F.round(area, 6).alias("area_km2"))
@@ -574,14 +480,8 @@ def comparison_lattice(spark, sf):
 _BOX = "select s_suppkey as id, cast(s_suppkey % 37 as double) * 0.5 as west, cast(s_suppkey % 23 as double) * 0.5 as south, cast(s_suppkey % 37 as double) * 0.5 + 0.75 as east, cast(s_suppkey % 23 as double) * 0.5 + 0.75 as north from supplier"
 
 
-@query(f"select a.id as left_id, b.id as right_id from ({_BOX}) a join ({_BOX}) b on a.west <= b.east and a.east >= b.west and a.south <= b.north and a.north >= b.south where a.id % 10 = 0", "")
-def grid_hash_join(spark, sf):
-    b = _boxes(spark, sf)
-    return grid.grid_hash_join(b.filter("id % 10 = 0"), b, 1.0)
-
-
 @query(f"select a.id as left_id, b.id as right_id from ({_BOX}) a join ({_BOX}) b on a.west <= b.east and a.east >= b.west and a.south <= b.north and a.north >= b.south", "")
-def grid_hash_join_all(spark, sf):
+def grid_hash_join(spark, sf):
     b = _boxes(spark, sf)
     return grid.grid_hash_join(b, b, 1.0)
 
@@ -631,18 +531,18 @@ def regrid_nearest(spark, sf):
     return regrid.regrid(cell_sums(spark, sf), w, w)
 
 
-@query(f"select lat_idx, lon_idx, class_id from (select *, row_number() over (partition by lat_idx, lon_idx order by w desc, class_id) as r from (select cast(a.j as int) as lat_idx, cast(b.j as int) as lon_idx, class_id, round(sum(a.w * b.w), 9) as w from votes c join {_OVER} a on a.i = c.lat_idx join {_OVER} b on b.i = c.lon_idx where dataset_id = 'a' group by all)) where r = 1", "votes")
+@query(f"select dataset_id, lat_idx, lon_idx, class_id from (select *, row_number() over (partition by dataset_id, lat_idx, lon_idx order by w desc, class_id) as r from (select dataset_id, cast(a.j as int) as lat_idx, cast(b.j as int) as lon_idx, class_id, round(sum(a.w * b.w), 9) as w from votes c join {_OVER} a on a.i = c.lat_idx join {_OVER} b on b.i = c.lon_idx group by all)) where r = 1", "votes")
 def regrid_mode(spark, sf):
     s, t = _axes(spark)
     w = regrid.overlap_weights(s, t)
-    return regrid.regrid_mode(votes(spark, sf).filter("dataset_id = 'a'"), w, w)
+    return regrid.regrid_mode(votes(spark, sf), w, w, ("dataset_id",))
 
 
-@query(f"select lat_idx, lon_idx, class_id, round(w / sum(w) over (partition by lat_idx, lon_idx), 9) as fraction from (select cast(a.j as int) as lat_idx, cast(b.j as int) as lon_idx, class_id, sum(a.w * b.w) as w from votes c join {_OVER} a on a.i = c.lat_idx join {_OVER} b on b.i = c.lon_idx where dataset_id = 'a' group by all)", "votes")
+@query(f"select dataset_id, lat_idx, lon_idx, class_id, round(w / sum(w) over (partition by dataset_id, lat_idx, lon_idx), 9) as fraction from (select dataset_id, cast(a.j as int) as lat_idx, cast(b.j as int) as lon_idx, class_id, sum(a.w * b.w) as w from votes c join {_OVER} a on a.i = c.lat_idx join {_OVER} b on b.i = c.lon_idx group by all)", "votes")
 def regrid_class_fractions(spark, sf):
     s, t = _axes(spark)
     w = regrid.overlap_weights(s, t)
-    return regrid.class_fractions(votes(spark, sf).filter("dataset_id = 'a'"), w, w)
+    return regrid.class_fractions(votes(spark, sf), w, w, ("dataset_id",))
 
 
 @query("select count(*) as n from obs where lat_idx % 3 = 0 and lon_idx % 3 = 0")
@@ -698,9 +598,9 @@ def classification_summary(spark, sf):
     return summaries.classification_summary(e, ["region_id"])
 
 
-@query(f"select region_id, count(*) as n_cells, round(avg(ar), 9) as mean_agreement, round(cast(count(*) filter (up) as double) / count(*), 9) as share_robust_increase, round(cast(count(*) filter (down) as double) / count(*), 9) as share_robust_decrease, round(cast(count(*) filter (ar < 1) as double) / count(*), 9) as share_disputed from (select lat_idx, lon_idx, count(*) filter (trend_direction > 0) = 3 as up, count(*) filter (trend_direction < 0) = 3 as down, cast(greatest(count(*) filter (trend_direction > 0), count(*) filter (trend_direction < 0), count(*) filter (trend_direction = 0)) as double) / 3 as ar from ({_DIR}) group by all) a join regions r on 17.5 - 5 * a.lat_idx between r.south and r.north and 102.5 + 5 * a.lon_idx between r.west and r.east group by all", "sen regions")
+@query(f"select region_id, count(*) as n_cells, round(avg(agreement_ratio), 9) as mean_agreement, round(cast(count(*) filter (robust_increase) as double) / count(*), 9) as share_robust_increase, round(cast(count(*) filter (robust_decrease) as double) / count(*), 9) as share_robust_decrease, round(cast(count(*) filter (disputed) as double) / count(*), 9) as share_disputed from ({_AGREE}) a join regions r on 17.5 - 5 * a.lat_idx between r.south and r.north and 102.5 + 5 * a.lon_idx between r.west and r.east group by all", "tests regions")
 def agreement_summary(spark, sf):
-    a = grid.all_regions(placed(trends.trend_agreement(_direction(spark, sf), 3)), regions(spark))
+    a = grid.all_regions(placed(trends.trend_agreement(_trends(spark, sf), 3)), regions(spark))
     return summaries.agreement_summary(a, ["region_id"])
 
 
@@ -724,10 +624,10 @@ def wetland_fraction(spark, sf):
     return summaries.wetland_fraction(fractions(spark, sf), [2, 3, 4, 5, 6, 7])
 
 
-@query("select lat_idx, lon_idx, class_id, round(cast(n as double) / sum(n) over (partition by lat_idx, lon_idx), 9) as fraction from fracs where dataset_id = 'a'", "fracs")
+@query("select dataset_id, lat_idx, lon_idx, class_id, round(cast(n as double) / sum(n) over (partition by dataset_id, lat_idx, lon_idx), 9) as fraction from fracs", "fracs")
 def area_to_fractions(spark, sf):
-    f = fractions(spark, sf).filter("dataset_id = 'a'").select(*CELL, "class_id", F.col("n").alias("ha"))
-    return summaries.dominant_shares(f).drop("ha")
+    f = fractions(spark, sf).select("dataset_id", *CELL, "class_id", F.col("n").alias("ha"))
+    return summaries.dominant_shares(f, keys=("dataset_id", *CELL)).drop("ha")
 
 
 @query("select role as dataset_id, case when turn % 2 = 0 then 'even' else 'odd' end as status, count(*) as n, count(*) filter (conv_id % 10 = 0) as n_priority from conversations group by all", "")
@@ -747,9 +647,9 @@ def refined_candidates(spark, sf):
     return summaries.refined_scores(cand, placed(cell_sums(spark, sf)), 4.0)
 
 
-@query("select cast(floor((lat + 20) / 10) as int) as lat_idx, cast(floor((lon - 100) / 10) as int) as lon_idx, round(sum(value * cos(radians(lat))) / sum(case when value is not null then cos(radians(lat)) end), 9) as value, count(value) as n_source from placed group by all", "placed")
+@query("select cast(floor((least(lat, 20 - 1e-5) + 20) / 10) as int) as lat_idx, cast(floor((least(lon, 132.5 - 1e-5) - 100) / 10) as int) as lon_idx, round(sum(value * cos(radians(lat))) / sum(case when value is not null then cos(radians(lat)) end), 9) as value, count(value) as n_source from placed where lat between -20 and 20 and lon between 100 and 132.5 group by all", "placed")
 def cos_weighted_bins(spark, sf):
-    return grid.cos_weighted_bins(placed(observations(spark, sf)), 100.0, -20.0, 10.0)
+    return grid.cos_weighted_bins(placed(observations(spark, sf)), 100.0, -20.0, 10.0, east=132.5, north=20.0)
 
 
 @query("select o.dataset_id, round(sum(coalesce(m.f, 0)), 6) as mask_total, count(*) as n from surf o left join (select distinct lat_idx, lon_idx, 0.5::double as f from surf where dataset_id = 'a' and v > 0.5) m on o.lat_idx = m.lat_idx and o.lon_idx = m.lon_idx group by all", "surf")
@@ -777,16 +677,22 @@ def clear_median(spark, sf):
     return imagery.clear_median(e, ["event_type"], "value", "qa", 0, 2)
 
 
-@query("select cast(b as int) as batch, count(*) as n from (select floor(coalesce(sum(c_custkey % 100) over (partition by c_mktsegment order by c_custkey rows between unbounded preceding and 1 preceding), 0) / 5000) as b from customer) group by all", "")
+@query("""listed as (select c_mktsegment as g, c_custkey, c_custkey % 100 as s, row_number() over (partition by c_mktsegment order by c_custkey) - 1 as pos from customer),
+gone(g, pos, n, b, batch) as (select g, pos, 1, s, 0 from listed where pos = 0 union all
+    select l.g, l.pos, case when r.n >= 90 or r.b + l.s > 4000 then 1 else r.n + 1 end, case when r.n >= 90 or r.b + l.s > 4000 then l.s else r.b + l.s end, case when r.n >= 90 or r.b + l.s > 4000 then r.batch + 1 else r.batch end
+    from gone r join listed l on l.g = r.g and l.pos = r.pos + 1)
+select g as c_mktsegment, cast(batch as int) as batch, count(*) as n from gone group by all""", "regions", recursive=True)
 def size_batches(spark, sf):
     c = table(spark, sf, "customer").select("c_mktsegment", "c_custkey", (F.col("c_custkey") % 100).alias("size"))
-    return imagery.size_batches(c, "c_mktsegment", "c_custkey", "size", 5000).groupBy("batch").agg(F.count(F.lit(1)).alias("n"))
+    return imagery.size_batches(c, "c_mktsegment", "c_custkey", "size", 4000, 90).groupBy("c_mktsegment", "batch").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("select case when strpos(lower(p_name), 'a') > 0 then 'has_a' else 'other' end as kind, count(*) as n from part group by all", "")
+@query("select case when contains(m, '32 mb') or contains(m, '10000') or contains(m, 'request too large') then 'download_limit_exceeded' else 'download_failed' end as status, count(*) as n from (select lower('Error ' || o_orderkey || case o_custkey % 4 when 0 then ': Request too large' when 1 then ': more than 32 MB' when 2 then ': user memory limit' else '' end) as m from orders) group by all", "")
 def status_by_text(spark, sf):
-    p = table(spark, sf, "part")
-    return p.groupBy(F.when(F.lower("p_name").contains("a"), "has_a").otherwise("other").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    k = F.col("o_custkey") % 4
+    tail = F.when(k == 0, ": Request too large").when(k == 1, ": more than 32 MB").when(k == 2, ": user memory limit").otherwise("")
+    o = table(spark, sf, "orders").select(imagery.failure_status(F.concat(F.lit("Error "), F.col("o_orderkey").cast("string"), tail)).alias("status"))
+    return o.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("select lat_idx, lon_idx, class_id, count(*) as weighted, cast(sum(count(*)) over (partition by lat_idx, lon_idx) as bigint) as coverage from obs group by lat_idx, lon_idx, class_id")

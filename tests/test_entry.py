@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from gridloom.plans.queries import ORACLES, QUERIES
+from gridloom.plans.catalog import ORACLES, QUERIES
 from tests.conftest import SF
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -4,7 +4,7 @@ import itertools
 import math
 
 from gridloom.operators import trends
-from gridloom.plans.queries import QUERIES
+from gridloom.plans.catalog import QUERIES
 from gridloom.sources.driver_tables import observations
 from tests.conftest import SF
 
@@ -31,4 +31,4 @@ def test_p_values_with_ties_and_other_lengths(spark):
 
 def test_all_cells_are_returned(spark):
     cells = observations(spark, SF).select("dataset_id", "lat_idx", "lon_idx").distinct().count()
-    assert QUERIES["mann_kendall_p_all"](spark, SF).count() == cells
+    assert QUERIES["mann_kendall_p"](spark, SF).count() == cells

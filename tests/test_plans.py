@@ -20,7 +20,7 @@ def test_rough_pipeline(spark):
     r = pipelines.rough(s.withColumns({"lat": 17.5 - 5 * F.col("lat_idx"), "lon": 102.5 + 5 * F.col("lon_idx")}), [x[0:1] + x[2:] for x in REGIONS])
     assert {x["dataset_id"]: x["status"] for x in r.statuses.collect()} == {"wad2m": "participating", "swamps": "participating", "g2017": "participating", "berkeley_rwawc": "skipped_not_eligible", "topmodel": "failed_empty_harmonized_surface"}
     assert r.pairs.count() == 3 and cells(r.cells, "participant_count")[0, 0] == (3,)
-    assert [(x["lat_idx"], x["lon_idx"]) for x in r.focus.collect()] == [(0, 1)]
+    assert [(x["lat_idx"], x["lon_idx"]) for x in r.focus().collect()] == [(0, 1)]
 
 
 def test_classification_pipeline(spark):
@@ -71,10 +71,13 @@ def test_tiles(spark):
 def test_imagery(spark):
     px = spark.createDataFrame([(1, 10, 0), (1, 30, 0), (1, 90, 8), (2, 5, 8)], "k int, v int, qa int")
     assert {r["k"]: (r["v"], r["n_clear"]) for r in imagery.clear_median(px, ["k"], "v", "qa", 3).collect()} == {1: (20.0, 2), 2: (None, 0)}
-    r = spark.range(1).select(imagery.eight_day_composite(F.lit("2000-12-31").cast("date"), "2000-02-24").alias("c"), imagery.bit(F.lit(0b1100), 2, 2).alias("b"), imagery.fusion_window(F.lit("2000-03-10").cast("date"), 1, "2000-02-24", "2020-12-31").alias("w"), imagery.failure_status(F.lit("Request timed out")).alias("s")).first()
-    assert (str(r["c"]), r["b"], str(r["w"]["start"]), str(r["w"]["stop"]), r["s"]) == ("2000-12-26", 3, "2000-02-24", "2000-04-30", "timeout")
+    r = spark.range(1).select(imagery.eight_day_composite(F.lit("2000-12-31").cast("date"), "2000-02-24").alias("c"), imagery.bit(F.lit(0b1100), 2, 2).alias("b"), imagery.fusion_window(F.lit("2000-03-10").cast("date"), 1, "2000-02-24", "2020-12-31").alias("w"), imagery.failure_status(F.lit("Total request size must be at most 32 MB")).alias("s")).first()
+    assert (str(r["c"]), r["b"], str(r["w"]["start"]), str(r["w"]["stop"]), r["s"]) == ("2000-12-26", 3, "2000-02-24", "2000-04-30", "download_limit_exceeded")
     f = spark.createDataFrame([("g", i, 40) for i in range(5)], "g string, i int, size long")
-    assert [r["batch"] for r in imagery.size_batches(f, "g", "i", "size", 100).orderBy("i").collect()] == [0, 0, 0, 1, 1]
+    assert [r["batch"] for r in imagery.size_batches(f, "g", "i", "size", 100).orderBy("i").collect()] == [0, 0, 1, 1, 2]
+    messages = ["User memory limit exceeded", "Request too large", "Pixel grid dimensions must be at most 10000", "timed out"]
+    got = [r[0] for r in spark.createDataFrame([(m,) for m in messages], "m string").select(imagery.failure_status(F.col("m"))).collect()]
+    assert got == ["download_failed", "download_limit_exceeded", "download_limit_exceeded", "download_failed"]
 
 
 def test_utm(spark):
