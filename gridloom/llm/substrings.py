@@ -370,13 +370,15 @@ def repeated(docs: DataFrame, packed: DataFrame, length: int = LENGTH, gram: int
     runs = staged(_runs(docs, length, gram))
     # a row of those that share a run stands for them: the first of all its columns, which come together
     one = [F.first(c).alias(c) for c in ("text_id", "doc_id", "at", "low", "high")]
-    by_run = cut(runs.groupBy("anchor", "r", "s").agg(F.count(F.lit(1)).alias("n"), *one))
-    by_anchor = cut(by_run.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select(F.col("anchor").alias("of"), "kinds"))
+    by_run = runs.groupBy("anchor", "r", "s").agg(F.count(F.lit(1)).alias("n"), *one)
+    by_anchor = by_run.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select(F.col("anchor").alias("of"), "kinds")
     kept = cut(by_run.join(by_anchor, F.col("anchor") == F.col("of"), "left").filter("n > 1 or kinds > 1").select("anchor", F.to_binary(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("r", "s")]), F.lit("hex")).alias("run"), "n", "kinds", "text_id", "doc_id", "at", "low", "high"))
+    released(docs.sparkSession)
     whole = kept.filter("n > 1").select("run", "low", "high")
     wanted = kept.filter("kinds > 1").groupBy(F.col("text_id").alias("want"), F.col("doc_id").alias("whose")).agg(F.collect_list(F.struct("at", "low", "high", "anchor", "kinds", "run")).alias("wanted"))
     texts = packed.join(wanted, (F.col("text_id") == F.col("want")) & F.col("doc_id").eqNullSafe(F.col("whose"))).select(F.col("packed").alias("text"), "wanted")
     data = cut(_fetched(texts, length))
+    released(docs.sparkSession)
     met = _compared(data.filter(F.col("kinds") <= TOGETHER), "anchor", length)
     large = data.filter(F.col("kinds") > TOGETHER)
     if not large.isEmpty():
@@ -386,6 +388,7 @@ def repeated(docs: DataFrame, packed: DataFrame, length: int = LENGTH, gram: int
     placed = runs.join(hits, (F.col("r") == F.col("hr")) & (F.col("s") == F.col("hs"))).select("doc_id", "text_id", "at", F.col("low").alias("base"), F.explode("hits").alias("h"))
     found = cut(placed.select(F.col("doc_id").alias("doc"), "text_id", (F.col("at") + F.col("h.low") - F.col("base")).alias("first"), (F.col("at") + F.col("h.high") - F.col("base")).alias("last")).distinct())
     deleted(runs)
+    released(docs.sparkSession)
     return found
 
 
@@ -419,7 +422,6 @@ def passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
     marked = staged(mapped(docs, run, "doc_id long, text_id long, packed binary", limit=1 << 20))
     found = repeated(marked, marked, words, WORD_GRAM)
     deleted(marked)
-    released(docs.sparkSession)
     return found
 
 
