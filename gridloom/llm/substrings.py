@@ -6,8 +6,8 @@ grams in a window of LENGTH bytes, the one with the least hash. Equal windows
 have equal anchors at equal places, so only windows whose anchor occurs more
 than once have to meet. Neighbouring windows with one anchor form a run.
 
-* Equal runs are counted by a digest: all windows of a run that occurs twice
-  are repeated, and nothing else of it has to be sent.
+* Equal runs are counted by 64 bits of a digest beside the 64 of their anchor: all
+  windows of a run that occurs twice are repeated, and nothing else of it has to be sent.
 * Runs that share an anchor without being equal meet, one of each, and are cut
   into pieces of ``PIECE`` windows, by place from the anchor. The bytes that
   all windows of a piece have in common are its core; pieces whose core occurs
@@ -22,11 +22,12 @@ than once have to meet. Neighbouring windows with one anchor form a run.
 
 Texts travel compressed, and only to be joined by their digest.
 
-Passages are found in the same way: a text's words, each as one byte of its
-hash, are a string in which a passage of over 50 words that occurs elsewhere is
-a repeated window of ``WORDS`` bytes. They are reported and not removed. Two
-passages are taken for one if all their words' bytes agree, which for other
-than a few words said over and over is out of the question.
+Passages are found in the same way: a text's words, each as a number of 32
+bits, are a string in which a passage of over 50 words that occurs elsewhere is
+a repeated window of ``WORDS`` numbers. They are reported and not removed.
+Windows and places then count words; where strings meet in a suffix array, the
+numbers that occur there are named anew by one byte, or two or more if there
+are so many.
 
 Defined results: a null or empty text has no bytes, no spans and no passages;
 repeated rows count as copies of each other; matches never cross rows.
@@ -38,6 +39,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,13 +60,13 @@ def _digest(data: bytes) -> bytes:
     return xxh3_128_digest(data)
 
 
-def text_digest(text: bytes) -> int:
-    """A signed 64-bit digest; with the document's id it names a text."""
-    return int.from_bytes(xxh3_128_digest(text)[:8], "little", signed=True)
+def name_of(doc_id: int | None, text: bytes) -> int:
+    """A signed 64-bit digest of a document's id and text, which names the text wherever its rows go."""
+    return int.from_bytes(xxh3_128_digest(text + (b"" if doc_id is None else doc_id.to_bytes(8, "little", signed=True)))[:8], "little", signed=True)
 
 
 def gram_hashes(text: np.ndarray, width: int) -> np.ndarray:
-    """A 64-bit hash of each ``width`` bytes."""
+    """A 64-bit hash of each ``width`` symbols."""
     n = len(text)
     up = np.cumprod(np.full(n, _BASE, np.uint64))
     sums = np.zeros(n + 1, np.uint64)
@@ -75,8 +77,8 @@ def gram_hashes(text: np.ndarray, width: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one anchor: first and last window, the anchor's place and hash."""
+def anchors(text: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows of symbols with one anchor: first and last window, the anchor's place and hash."""
     n, wide = len(text), length - gram + 1
     if n < length:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
@@ -89,7 +91,7 @@ def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
         first, last, place, h = (np.concatenate(x) for x in zip(*parts, strict=True))
         new = np.append(True, place[1:] != place[:-1])
         return first[new], last[np.append(np.flatnonzero(new)[1:] - 1, len(last) - 1)], place[new], h[new]
-    h = gram_hashes(np.frombuffer(text, np.uint8), gram)
+    h = gram_hashes(text, gram)
     key = (h & ~np.uint64((1 << _SIZE_BITS) - 1)) | np.arange(len(h), dtype=np.uint64)
     rows = -(-len(key) // wide)
     grid = np.full(rows * wide, ~np.uint64(0))
@@ -192,19 +194,32 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, left: np.ndarray, most:
     return np.minimum(out, np.minimum(left[order], np.append(0, left[order[:-1]])) if len(order) else out)
 
 
-def repeated_windows(pieces: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
-    """For each piece, which of its windows occur in another piece or place."""
-    sizes = np.array([len(p) for p in pieces], np.int64)
-    owner = np.repeat(np.arange(len(pieces)), sizes)
+def _renamed(text: np.ndarray) -> np.ndarray:
+    """Numbers as rows of bytes: their rank among those that occur, in as few bytes as that takes."""
+    kinds, rank = np.unique(text, return_inverse=True)
+    size = max(1, -(-max(1, len(kinds) - 1).bit_length() // 8))
+    return rank.astype(">u4").view(np.uint8).reshape(-1, 4)[:, 4 - size :]
+
+
+def repeated_windows(pieces: list[bytes], length: int = LENGTH, width: int = 1) -> list[np.ndarray]:
+    """For each piece of symbols of ``width`` bytes, which of its windows occur in another piece or place."""
+    counts = np.array([len(p) // width for p in pieces], np.int64)
     text = np.frombuffer(b"".join(pieces), np.uint8)
+    if width > 1:
+        made = _renamed(text.view("<u4"))
+        text, width = made.ravel(), made.shape[1]
+    sizes = counts * width
+    owner = np.repeat(np.arange(len(pieces)), sizes)
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(text))
-    order = two_stage(text, owner, np.maximum(0, sizes - length + 1))
-    shared = common_prefixes(text, order, left, length) >= length
+    order = two_stage(text, owner, np.where(counts >= length, (counts - length) * width + 1, 0))
+    if width > 1:  # only suffixes that begin with a symbol count
+        order = order[(order - (np.cumsum(sizes) - sizes)[owner[order]]) % width == 0]
+    shared = common_prefixes(text, order, left, length * width) >= length * width
     hit = np.zeros(len(text), bool)
     hit[order[shared]] = True
     hit[order[np.flatnonzero(shared) - 1]] = True
     starts = np.cumsum(sizes) - sizes
-    return [hit[s : s + max(0, n - length + 1)] for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+    return [hit[s : s + max(0, n - length + 1) * width : width] for s, n in zip(starts.tolist(), counts.tolist(), strict=True)]
 
 
 def _ranges(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -219,37 +234,39 @@ def _cut_up(low: int, high: int):
         yield k, max(low, k * PIECE), min(high, k * PIECE + PIECE - 1)
 
 
-def _core(data: bytes, base: int, k: int, length: int) -> bytes:
+def _core(data: bytes, base: int, k: int, length: int, width: int) -> bytes:
     """What all windows of piece ``k`` have in common; ``data`` begins at window ``base``."""
-    return data[k * PIECE + PIECE - 1 - base : k * PIECE + length - base]
+    return data[(k * PIECE + PIECE - 1 - base) * width : (k * PIECE + length - base) * width]
 
 
-def _runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """doc_id, text_id, anchor, at (first window), low, high (windows by place from the anchor), and the run's digest as two longs, r and s."""
+def _runs(docs: DataFrame, length: int, gram: int, width: int) -> DataFrame:
+    """name, anchor, run (64 bits of its digest: with the anchor it names the run) and place of each run of a text.
 
+    The place is the first window, and by bits the first and last window by
+    place from the anchor, which the digest knows too.
+    """
     given = "packed" in docs.columns
 
     def run(batch):
-        owner, ids, rows = [], [], []
-        names = column(batch, "text_id").to_pylist() if given else None
+        owner, rows = [], []
+        names = column(batch, "name").to_pylist() if given else column(batch, "doc_id").to_pylist()
         for i, t in enumerate(column(batch, "packed" if given else "text").to_pylist()):
             t = zstandard.ZstdDecompressor().decompress(t) if given else t
-            first, last, place, h = anchors(t, length, gram)
+            first, last, place, h = anchors(np.frombuffer(t, np.uint8 if width == 1 else "<u4"), length, gram)
             if len(first):
-                owner += [i] * len(first)
-                ids += [names[i] if given else text_digest(t)] * len(first)
+                owner.append(np.full(len(first), names[i] if given else name_of(names[i], t), np.int64))
                 low = first - place
-                runs = b"".join(_digest(t[a : b + length] + x.to_bytes(8, "little", signed=True)) for a, b, x in zip(first.tolist(), last.tolist(), low.tolist(), strict=True))
-                rows.append((h.view(np.int64), first, low, last - place, np.frombuffer(runs, np.int64).reshape(-1, 2)))
+                runs = b"".join(_digest(t[a * width : (b + length) * width] + x.to_bytes(8, "little", signed=True))[:8] for a, b, x in zip(first.tolist(), last.tolist(), low.tolist(), strict=True))
+                rows.append((h.view(np.int64), np.frombuffer(runs, np.int64), (first << 32) | ((low + 32768) << 16) | (last - place + 32768)))
         if not rows:
             return None
-        h, first, low, high, runs = zip(*rows, strict=True)
-        return {"doc_id": column(batch, "doc_id").take(pa.array(owner)), "text_id": ids, "anchor": np.concatenate(h), "at": np.concatenate(first), "low": np.concatenate(low).astype(np.int32), "high": np.concatenate(high).astype(np.int32), "r": np.concatenate(runs)[:, 0], "s": np.concatenate(runs)[:, 1]}
+        h, runs, place = (np.concatenate(x) for x in zip(*rows, strict=True))
+        return {"name": np.concatenate(owner), "anchor": h, "run": runs, "place": place}
 
-    return mapped(docs, run, "doc_id long, text_id long, anchor long, at long, low int, high int, r long, s long", column="packed" if given else "text")
+    return mapped(docs, run, "name long, anchor long, run long, place long", column="packed" if given else "text")
 
 
-def _fetched(texts: DataFrame, length: int) -> DataFrame:
+def _fetched(texts: DataFrame, length: int, width: int) -> DataFrame:
     """(anchor, kinds, run, low, high, data): the bytes of the runs wanted of each text."""
 
     def run(batch):
@@ -257,34 +274,35 @@ def _fetched(texts: DataFrame, length: int) -> DataFrame:
         for packed, wanted in zip(column(batch, "text").to_pylist(), column(batch, "wanted").to_pylist(), strict=True):
             t = zstandard.ZstdDecompressor().decompress(packed)
             for w in wanted:
-                for k in ("anchor", "kinds", "run", "low", "high"):
-                    out[k].append(w[k])
-                out["data"].append(t[w["at"] : w["at"] + w["high"] - w["low"] + length])
+                for k in out:
+                    if k != "data":
+                        out[k].append(w[k])
+                out["data"].append(t[w["at"] * width : (w["at"] + w["high"] - w["low"] + length) * width])
         return out
 
-    return mapped(texts, run, "anchor long, kinds long, run binary, low int, high int, data binary", limit=1 << 20)
+    return mapped(texts, run, "anchor long, kinds long, run long, low int, high int, data binary", limit=1 << 20)
 
 
-def _meeting(rows: list[tuple[object, int, int, bytes]], length: int) -> list[tuple[int, int, int]]:
+def _meeting(rows: list[tuple[object, int, int, bytes]], length: int, width: int) -> list[tuple[int, int, int]]:
     """Stretches (row, low, high) of windows that rows (group, low, high, data) of one group share."""
     cores: dict[tuple, dict[tuple, list[int]]] = {}
     for n, (group, low, high, data) in enumerate(rows):
         for k, a, b in _cut_up(low, high):
-            cores.setdefault((group, k, _core(data, low, k, length)), {}).setdefault((a, data[a - low : b - low + length]), []).append(n)
+            cores.setdefault((group, k, _core(data, low, k, length, width)), {}).setdefault((a, data[(a - low) * width : (b - low + length) * width]), []).append(n)
     out, left = [], []
     for forms in cores.values():
         for (a, data), owners in forms.items():
             if len(owners) > 1:
-                out += [(n, a, a + len(data) - length) for n in owners]
+                out += [(n, a, a + len(data) // width - length) for n in owners]
             if len(forms) > 1:
                 left.append((a, data, owners))
-    for (a, _, owners), hit in zip(left, repeated_windows([x[1] for x in left], length), strict=True):
+    for (a, _, owners), hit in zip(left, repeated_windows([x[1] for x in left], length, width), strict=True):
         for x, y in zip(*(v.tolist() for v in _ranges(hit)), strict=True):
             out += [(n, a + x, a + y) for n in owners]
     return out
 
 
-def _compared(rows: DataFrame, group: str, length: int) -> DataFrame:
+def _compared(rows: DataFrame, group: str, length: int, width: int) -> DataFrame:
     """(run, low, high): stretches of repeated windows among the rows of each group (at most TOGETHER rows)."""
 
     def run(batches):
@@ -292,8 +310,8 @@ def _compared(rows: DataFrame, group: str, length: int) -> DataFrame:
 
         def emit(table):
             ids = table.column("run").to_pylist()
-            found = _meeting(list(zip(*(table.column(c).to_pylist() for c in ("group", "low", "high", "data")), strict=True)), length)
-            return pa.RecordBatch.from_arrays([pa.array([ids[n] for n, _, _ in found], pa.binary()), pa.array([a for _, a, _ in found], pa.int32()), pa.array([b for _, _, b in found], pa.int32())], names=["run", "low", "high"])
+            found = _meeting(list(zip(*(table.column(c).to_pylist() for c in ("group", "low", "high", "data")), strict=True)), length, width)
+            return pa.RecordBatch.from_arrays([pa.array([ids[n] for n, _, _ in found], pa.int64()), pa.array([a for _, a, _ in found], pa.int32()), pa.array([b for _, _, b in found], pa.int32())], names=["run", "low", "high"])
 
         # a group's rows are side by side; a suffix array takes some hundred rows, of one group or more
         for batch in batches:
@@ -313,87 +331,94 @@ def _compared(rows: DataFrame, group: str, length: int) -> DataFrame:
         if held:
             yield emit(pa.Table.from_batches(held))
 
-    return rows.select(F.col(group).alias("group"), "run", "low", "high", "data").repartition("group").sortWithinPartitions("group").mapInArrow(run, "run binary, low int, high int")
+    return rows.select(F.col(group).alias("group"), "run", "low", "high", "data").repartition("group").sortWithinPartitions("group").mapInArrow(run, "run long, low int, high int")
 
 
-def _pieces(rows: DataFrame, length: int) -> DataFrame:
+def _pieces(rows: DataFrame, length: int, width: int) -> DataFrame:
     """(run, low, high, core, same): the pieces of runs, with digests of their core and of all of them."""
 
     def run(batch):
         out = {k: [] for k in ("run", "low", "high", "core", "same")}
         for name, low, high, data in zip(*(column(batch, c).to_pylist() for c in ("run", "low", "high", "data")), strict=True):
             for k, a, b in _cut_up(low, high):
-                for key, value in zip(out, (name, a, b, _digest(_core(data, low, k, length) + k.to_bytes(8, "little", signed=True)), _digest(data[a - low : b - low + length] + a.to_bytes(8, "little", signed=True))), strict=True):
+                for key, value in zip(out, (name, a, b, _digest(_core(data, low, k, length, width) + k.to_bytes(8, "little", signed=True)), _digest(data[(a - low) * width : (b - low + length) * width] + a.to_bytes(8, "little", signed=True))), strict=True):
                     out[key].append(value)
         return out
 
-    return mapped(rows, run, "run binary, low int, high int, core binary, same binary", column="data")
+    return mapped(rows, run, "run long, low int, high int, core binary, same binary", column="data")
 
 
-def _windows(rows: DataFrame, length: int) -> DataFrame:
+def _windows(rows: DataFrame, length: int, width: int) -> DataFrame:
     """(window, run, low): each window of the rows by digest."""
 
     def run(batch):
         out = {"window": [], "run": [], "low": []}
         for name, low, data in zip(*(column(batch, c).to_pylist() for c in ("run", "low", "data")), strict=True):
-            for k in range(len(data) - length + 1):
-                out["window"].append(_digest(data[k : k + length]))
+            for k in range(len(data) // width - length + 1):
+                out["window"].append(_digest(data[k * width : (k + length) * width]))
                 out["run"].append(name)
                 out["low"].append(low + k)
         return out
 
-    return mapped(rows.select("run", "low", "data"), run, "window binary, run binary, low int", column="data")
+    return mapped(rows.select("run", "low", "data"), run, "window binary, run long, low int", column="data")
 
 
-def _large(rows: DataFrame, length: int) -> DataFrame:
+def _large(rows: DataFrame, length: int, width: int) -> DataFrame:
     """(run, low, high) for anchors with more than TOGETHER runs, without gathering any."""
-    pieces = cut(_pieces(rows, length))
+    pieces = cut(_pieces(rows, length, width))
     same = cut(pieces.groupBy("core", "same").agg(F.count(F.lit(1)).alias("times"), F.min("run").alias("least")).select(F.col("core").alias("c"), F.col("same").alias("s"), "times", "least"))
     cores = cut(same.groupBy("c").agg(F.count(F.lit(1)).alias("forms")).filter("forms > 1").withColumnRenamed("c", "cc"))
     counted = pieces.join(same, (F.col("core") == F.col("c")) & (F.col("same") == F.col("s")))
     equal = counted.filter("times > 1").select("run", "low", "high")
     # one of equal pieces stands for them: equal ones are repeated as a whole, whatever it meets
     left = cut(counted.filter(F.col("run") == F.col("least")).join(cores, F.col("core") == F.col("cc")).select(F.col("run").alias("of"), F.col("low").alias("a"), F.col("high").alias("b"), "core", "forms"))
-    data = rows.join(left, F.col("run") == F.col("of")).select("run", F.col("a").alias("low"), F.col("b").alias("high"), "core", "forms", F.expr(f"substring(data, a - low + 1, b - a + {length})").alias("data"))
-    single = cut(_windows(data.filter(F.col("forms") > TOGETHER), length))
+    data = rows.join(left, F.col("run") == F.col("of")).select("run", F.col("a").alias("low"), F.col("b").alias("high"), "core", "forms", F.expr(f"substring(data, (a - low) * {width} + 1, (b - a + {length}) * {width})").alias("data"))
+    single = cut(_windows(data.filter(F.col("forms") > TOGETHER), length, width))
     twice = cut(single.groupBy("window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("window").alias("w")))
-    return equal.union(_compared(data.filter(F.col("forms") <= TOGETHER), "core", length)).union(single.join(twice, F.col("window") == F.col("w")).select("run", "low", F.col("low").alias("high")))
+    return equal.union(_compared(data.filter(F.col("forms") <= TOGETHER), "core", length, width)).union(single.join(twice, F.col("window") == F.col("w")).select("run", "low", F.col("low").alias("high")))
 
 
-def repeated(docs: DataFrame, packed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc, text_id, first, last): stretches of windows that occur elsewhere.
+def repeated(docs: DataFrame, packed: DataFrame, length: int = LENGTH, gram: int = GRAM, width: int = 1) -> DataFrame:
+    """(name, first, last): stretches of windows that occur elsewhere.
 
-    ``docs`` has doc_id and text (bytes), or is ``packed``, which has doc_id,
-    text_id (the text's digest) and packed (the bytes, compressed); id and
-    text_id together name a text.
+    ``docs`` has doc_id and text (bytes), or is ``packed``, which has name and
+    packed (the bytes, compressed). Symbols have ``width`` bytes, 1 or 4.
     """
-    runs = staged(_runs(docs, length, gram))
+    if not 0 < length - gram < 32768:
+        raise ValueError(f"windows of {length} and grams of {gram} have no places of 16 bits")
+    spark = docs.sparkSession
+    every = staged(_runs(docs, length, gram, width))
+    # anchors that occur once, four in five, go before anything else is done with their runs
+    shared = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("anchor").alias("of"))
+    runs = staged(every.join(shared, F.col("anchor") == F.col("of"), "left_semi"))
+    deleted(every)
+    released(spark)
+    # run and anchor name a run; from here on one number does
+    runs = runs.select("name", "anchor", F.xxhash64("anchor", "run").alias("run"), F.shiftright("place", 32).alias("at"), *[(F.shiftright("place", k).bitwiseAND(65535) - 32768).cast("int").alias(c) for c, k in (("low", 16), ("high", 0))])
     # a row of those that share a run stands for them: the first of all its columns, which come together
-    one = [F.first(c).alias(c) for c in ("text_id", "doc_id", "at", "low", "high")]
-    by_run = runs.groupBy("anchor", "r", "s").agg(F.count(F.lit(1)).alias("n"), *one)
+    one = [F.first(c).alias(c) for c in ("name", "at", "low", "high")]
+    by_run = runs.groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("n"), *one)
     by_anchor = by_run.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select(F.col("anchor").alias("of"), "kinds")
-    kept = cut(by_run.join(by_anchor, F.col("anchor") == F.col("of"), "left").filter("n > 1 or kinds > 1").select("anchor", F.to_binary(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("r", "s")]), F.lit("hex")).alias("run"), "n", "kinds", "text_id", "doc_id", "at", "low", "high"))
-    released(docs.sparkSession)
+    kept = cut(by_run.join(by_anchor, F.col("anchor") == F.col("of"), "left").drop("of"))
     whole = kept.filter("n > 1").select("run", "low", "high")
-    wanted = kept.filter("kinds > 1").groupBy(F.col("text_id").alias("want"), F.col("doc_id").alias("whose")).agg(F.collect_list(F.struct("at", "low", "high", "anchor", "kinds", "run")).alias("wanted"))
-    texts = packed.join(wanted, (F.col("text_id") == F.col("want")) & F.col("doc_id").eqNullSafe(F.col("whose"))).select(F.col("packed").alias("text"), "wanted")
-    data = cut(_fetched(texts, length))
-    released(docs.sparkSession)
-    met = _compared(data.filter(F.col("kinds") <= TOGETHER), "anchor", length)
+    wanted = kept.filter("kinds > 1").groupBy(F.col("name").alias("want")).agg(F.collect_list(F.struct("at", "low", "high", "anchor", "kinds", "run")).alias("wanted"))
+    data = cut(_fetched(packed.join(wanted, F.col("name") == F.col("want")).select(F.col("packed").alias("text"), "wanted"), length, width))
+    released(spark)
+    met = _compared(data.filter(F.col("kinds") <= TOGETHER), "anchor", length, width)
     large = data.filter(F.col("kinds") > TOGETHER)
     if not large.isEmpty():
-        met = met.union(_large(large, length))
-    half = lambda at: F.conv(F.hex(F.substring("run", at, 8)), 16, -10).cast("long")
-    hits = cut(whole.union(met).groupBy("run").agg(F.collect_set(F.struct("low", "high")).alias("hits")).select(half(1).alias("hr"), half(9).alias("hs"), "hits"))
-    placed = runs.join(hits, (F.col("r") == F.col("hr")) & (F.col("s") == F.col("hs"))).select("doc_id", "text_id", "at", F.col("low").alias("base"), F.explode("hits").alias("h"))
-    found = cut(placed.select(F.col("doc_id").alias("doc"), "text_id", (F.col("at") + F.col("h.low") - F.col("base")).alias("first"), (F.col("at") + F.col("h.high") - F.col("base")).alias("last")).distinct())
-    deleted(runs)
-    released(docs.sparkSession)
+        met = met.union(_large(large, length, width))
+    hits = cut(whole.union(met).groupBy("run").agg(F.collect_set(F.struct("low", "high")).alias("hits")).withColumnRenamed("run", "r"))
+    placed = runs.join(hits, F.col("run") == F.col("r")).select("name", "at", F.col("low").alias("base"), F.explode("hits").alias("h"))
+    found = cut(placed.select("name", (F.col("at") + F.col("h.low") - F.col("base")).alias("first"), (F.col("at") + F.col("h.high") - F.col("base")).alias("last")).distinct())
+    for stage in runs.inputFiles()[:1]:
+        deleted(spark.read.parquet(stage))
+    released(spark)
     return found
 
 
-def word_bytes(texts: list[bytes]) -> list[bytes]:
-    """Each text's words, as one byte of their hash."""
+def word_numbers(texts: list[bytes]) -> list[np.ndarray]:
+    """Each text's words, as 32 bits of their hash."""
     text = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     blank = (text == 32) | ((text >= 9) & (text <= 13))
     starts = np.flatnonzero(~blank & np.append(True, blank[:-1]))
@@ -403,28 +428,36 @@ def word_bytes(texts: list[bytes]) -> list[bytes]:
     np.cumsum((text.astype(np.uint64) + np.uint64(1)) * np.cumprod(np.full(len(text), _BASE, np.uint64)), out=sums[1:])
     h = (sums[ends] - sums[starts]) * np.cumprod(np.full(len(text), _BACK, np.uint64))[starts]
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    marks = (h >> np.uint64(56)).astype(np.uint8).tobytes()
+    marks = (h >> np.uint64(32)).astype("<u4")
     edges = np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in texts])).tolist()
     return [marks[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
 def passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc, text_id, first, last): stretches of windows of ``words`` words that occur elsewhere; ``docs`` as for repeated()."""
+    """(name, first, last): stretches of windows of ``words`` words that occur elsewhere; ``docs`` as for repeated()."""
 
     def run(batch):
-        values = column(batch, "text").to_pylist()
-        long = [(i, m) for i, m in enumerate(word_bytes(values)) if len(m) >= words]
+        ids, values = column(batch, "doc_id").to_pylist(), column(batch, "text").to_pylist()
+        long = [(i, m.tobytes()) for i, m in enumerate(word_numbers(values)) if len(m) >= words]
         if not long:
             return None
         pack = zstandard.ZstdCompressor(level=1)
-        return {"doc_id": column(batch, "doc_id").take(pa.array([i for i, _ in long])), "text_id": [text_digest(values[i]) for i, _ in long], "packed": [pack.compress(m) for _, m in long]}
+        return {"name": [name_of(ids[i], values[i]) for i, _ in long], "packed": [pack.compress(m) for _, m in long]}
 
-    marked = staged(mapped(docs, run, "doc_id long, text_id long, packed binary", limit=1 << 20))
-    found = repeated(marked, marked, words, WORD_GRAM)
+    marked = staged(mapped(docs, run, "name long, packed binary", limit=1 << 20))
+    found = repeated(marked, marked, words, WORD_GRAM, 4)
     deleted(marked)
     return found
 
 
+def _covered(first: np.ndarray, last: np.ndarray, size: int, width: int) -> np.ndarray:
+    """Which of ``size`` symbols the windows of ``width`` from first to last cover."""
+    steps = np.zeros(size + 1, np.int64)
+    np.add.at(steps, first, 1)
+    np.add.at(steps, last + width, -1)
+    return np.cumsum(steps[:-1]) > 0
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, passage_words (and the text that is left).
 
@@ -433,32 +466,34 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = False) -
     """
 
     def packing(batch):
-        values = column(batch, "text").to_pylist()
+        ids, values = column(batch, "doc_id"), column(batch, "text").to_pylist()
         pack = zstandard.ZstdCompressor(level=3)
-        return {"doc_id": column(batch, "doc_id"), "text_id": [text_digest(t) for t in values], "packed": [pack.compress(t) for t in values]}
+        return {"doc_id": ids, "name": [name_of(i, t) for i, t in zip(ids.to_pylist(), values, strict=True)], "packed": [pack.compress(t) for t in values]}
 
     plain = as_documents(docs)
-    packed = mapped(plain, packing, "doc_id long, text_id long, packed binary")
+    packed = mapped(plain, packing, "doc_id long, name long, packed binary")
     kinds = [passages(plain).withColumn("words", F.lit(True)), repeated(plain, packed, length).withColumn("words", F.lit(False))]
-    spans = kinds[0].union(kinds[1]).groupBy("text_id", "doc").agg(F.collect_list(F.struct("words", "first", "last")).alias("spans")).select(F.col("text_id").alias("t"), F.col("doc").alias("d"), "spans")
-    joined = packed.join(cut(spans), (F.col("text_id") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")), "left").select("doc_id", "packed", "spans")
-
-    def covered(spans, size: int, width: int) -> np.ndarray:
-        steps = np.zeros(size + 1, np.int64)
-        for s in spans:
-            steps[s["first"]] += 1
-            steps[s["last"] + width] -= 1
-        return np.cumsum(steps[:-1]) > 0
+    spans = kinds[0].union(kinds[1]).groupBy(F.col("name").alias("of")).agg(F.collect_list(F.struct("words", "first", "last")).alias("spans"))
+    joined = packed.join(cut(spans), F.col("name") == F.col("of"), "left").select("doc_id", "packed", "spans")
 
     def removing(batch):
         out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "passage_words", "text")}
-        for raw, spans in zip(column(batch, "packed").to_pylist(), column(batch, "spans").to_pylist(), strict=True):
-            t = zstandard.ZstdDecompressor().decompress(raw)
-            gone = covered([s for s in spans or () if not s["words"]], len(t), length)
-            told = [s for s in spans or () if s["words"]]
-            inside = int(covered(told, max(s["last"] for s in told) + WORDS, WORDS).sum()) if told else 0
-            kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
-            for k, v in zip(out, (len(t), int(gone.sum()), len(_ranges(gone)[0]), hashlib.sha256(kept).hexdigest(), inside, kept.decode("utf-8", "ignore") if texts else None), strict=True):
+        spans = column(batch, "spans")
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False)).tolist()
+        flat = spans.flatten()
+        words, first, last = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("words", "first", "last"))
+        begin, open_ = 0, zstandard.ZstdDecompressor()
+        for raw, end in zip(column(batch, "packed").to_pylist(), ends, strict=True):
+            t = open_.decompress(raw)
+            told, byte = words[begin:end].astype(bool), slice(begin, end)
+            a, b = first[byte], last[byte]
+            begin, gone, inside, kept, runs = end, 0, 0, t, 0
+            if told.any():
+                inside = int(_covered(a[told], b[told], int(b[told].max()) + WORDS, WORDS).sum())
+            if len(told) and not told.all():
+                flags = _covered(a[~told], b[~told], len(t), length)
+                gone, runs, kept = int(flags.sum()), len(_ranges(flags)[0]), np.frombuffer(t, np.uint8)[~flags].tobytes()
+            for k, v in zip(out, (len(t), gone, runs, hashlib.sha256(kept).hexdigest(), inside, kept.decode("utf-8", "ignore") if texts else None), strict=True):
                 out[k].append(v)
         return out | {"doc_id": column(batch, "doc_id")}
 
