@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # Fixed value: mean radius of the earth in kilometres.
 EARTH_RADIUS_KM = 6371.0088
+#: Regions of a catalogue, at most, which is broadcast.
+MOST_REGIONS = 10_000
 # Fixed value: metres of a degree where a resolution is given in metres.
 METRES_PER_DEGREE = 111_320.0
 
@@ -75,8 +77,10 @@ def all_regions(cells: DataFrame, regions: DataFrame) -> DataFrame:
 
     Regions are a catalogue of a few rows, which is broadcast for the range test.
     """
-    r = F.broadcast(regions.select("region_id", "west", "south", "east", "north"))
-    return cells.join(r, F.col("lat").between(F.col("south"), F.col("north")) & F.col("lon").between(F.col("west"), F.col("east"))).drop("west", "south", "east", "north")
+    r = regions.select("region_id", "west", "south", "east", "north")
+    if r.limit(MOST_REGIONS + 1).count() > MOST_REGIONS:
+        raise ValueError(f"more than {MOST_REGIONS} regions are no catalogue; join them by grid_hash_join")
+    return cells.join(F.broadcast(r), F.col("lat").between(F.col("south"), F.col("north")) & F.col("lon").between(F.col("west"), F.col("east"))).drop("west", "south", "east", "north")
 
 
 def first_region(cells: DataFrame, regions: list[tuple[str, float, float, float, float]], other: str = "other") -> DataFrame:

@@ -161,3 +161,24 @@ def lineage(points: DataFrame, stages: dict[str, DataFrame], keys: list[str], va
     for name in reversed(list(stages)):
         lost = F.when(F.col(name).isNull(), name).otherwise(lost)
     return out.withColumn("lost_at", lost)
+
+
+def class_shares(cells: DataFrame, keys: tuple[str, ...] = ("dataset_id", *CELL), class_id: str = "class_id") -> DataFrame:
+    """Per cell (``keys``) how often each class occurs and its share of all."""
+    n = cells.groupBy(*keys, class_id).agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("fraction", ratio(F.col("n"), F.sum("n").over(Window.partitionBy(*keys))))
+
+
+def json_validity(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """Per key the rows and those whose text is JSON."""
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count(F.expr(f"try_parse_json({text})")).alias("n_valid"))
+
+
+def first_rows(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The first ``n`` rows in an order, for a review."""
+    return rows.orderBy(*order).limit(n)
+
+
+def vector_lengths(vectors: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
+    """Per key the vectors and the least of their lengths."""
+    return vectors.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(F.size(vector)).alias("dims"))

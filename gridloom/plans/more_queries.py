@@ -475,6 +475,13 @@ def overall_statuses(spark, sf):
     return table(spark, sf, "orders").groupBy("o_orderpriority").agg(F.collect_set(s).alias("s")).select("o_orderpriority", contract.overall_status(F.col("s")).alias("status"))
 
 
+@query("select 'regional_table' as kind, count(*) as row_count, 'ready' as status from regions union all select 'surface', count(*), 'ready' from surf", "surf regions")
+def evidence_pack(spark, sf):
+    """Tables of a run written together, each with its manifest, and what they are."""
+    tables = {"regional_table": regions(spark), "surface": surfaces(spark, sf)}
+    return artefacts.write_pack(tables, _shared(spark), "global", "obs", year="all").select("kind", "row_count", "status")
+
+
 _FAM = "select region_id, case dataset_id when 'a' then 'percentage' when 'n' then 'classification' else 'trend' end as metric_family, {} from placed p join regions r on p.lat between r.south and r.north and p.lon between r.west and r.east where not (dataset_id = 'n' and region_id = 'middle') group by all"
 
 

@@ -239,8 +239,8 @@ def tile_partial_merge(spark, sf):
 
 @query("select lat_idx, lon_idx, round(cast(sum(value) as double) / count(value), 9) as value, count(value) as n from obs group by all")
 def shard_reduce(spark, sf):
-    shards = observations(spark, sf).groupBy((F.col("order_id") % 16).alias("shard"), *CELL).agg(F.sum("value").alias("s"), F.count("value").alias("c"))
-    return shards.groupBy(*CELL).agg(scalars.ratio(F.sum("s"), F.sum("c")).alias("value"), F.sum("c").alias("n"))
+    shards = observations(spark, sf).groupBy((F.col("order_id") % 16).alias("shard"), *CELL).agg(F.sum("value").alias("weighted"), F.count("value").alias("coverage"))
+    return series.merged_partials(shards, CELL).select(*CELL, F.col("fraction").alias("value"), F.col("coverage").alias("n"))
 
 
 @query("select dataset_id, lat_idx, lon_idx, arg_min(value, order_id * 100 + line) as value from obs where value is not null group by all")
@@ -423,8 +423,7 @@ def json_metadata(spark, sf):
 
 @query("select event_type, count(*) as n, count(*) filter (props like '%\"a\"%' or json_valid(props)) as n_valid from events group by all", "")
 def event_json_validity(spark, sf):
-    e = table(spark, sf, "events")
-    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count(F.expr("try_parse_json(props)")).alias("n_valid"))
+    return summaries.json_validity(table(spark, sf, "events"), "event_type", "props")
 
 
 @query("select string_agg(dataset_id, '+' order by dataset_id) as dataset_key, lat_idx, lon_idx, count(*) as n from (select lat_idx, lon_idx, dataset_id from obs group by all) group by lat_idx, lon_idx")
@@ -436,7 +435,8 @@ def dataset_keys(spark, sf):
 @query("select cast(o_orderkey as bigint) as o_orderkey, o_orderpriority, cast(o_custkey as bigint) as o_custkey, o_totalprice from orders where o_orderstatus = 'F' and o_totalprice > 1000 order by o_orderpriority, o_totalprice desc, o_custkey, o_orderdate, o_orderkey limit 25", "")
 def review_priority_topn(spark, sf):
     o = table(spark, sf, "orders").filter("o_orderstatus = 'F' and o_totalprice > 1000")
-    return o.orderBy("o_orderpriority", F.desc("o_totalprice"), "o_custkey", "o_orderdate", "o_orderkey").limit(25).select("o_orderkey", "o_orderpriority", "o_custkey", "o_totalprice")
+    order = [F.col("o_orderpriority"), F.desc("o_totalprice"), F.col("o_custkey"), F.col("o_orderdate"), F.col("o_orderkey")]
+    return summaries.first_rows(o, order, 25).select("o_orderkey", "o_orderpriority", "o_custkey", "o_totalprice")
 
 
 @query("select role, turn, count(*) as n, count(distinct conv_id) as n_conversations from conversations group by all", "")
@@ -581,7 +581,7 @@ def sentinel_profile(spark, sf):
 
 @query("select label, count(*) as n, cast(min(len(embedding)) as int) as dims from embeddings group by all", "")
 def vector_profile(spark, sf):
-    return table(spark, sf, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min(F.size("embedding")).alias("dims"))
+    return summaries.vector_lengths(table(spark, sf, "embeddings"), "label")
 
 
 # --- summaries, files, imagery, tiles -------------------------------------------------------------
@@ -701,7 +701,17 @@ def band_partials(spark, sf):
     return tiles.band_partials(o, ["band"], [F.col("y"), F.col("x")]).drop("band")
 
 
-@query()
+#: The transverse Mercator by Snyder's series, which is not the one that the operator sums.
+_UTM = """with pts as (select lat_idx, lon_idx, 17.5::double - 5 * lat_idx as lat, 102.5::double + 5 * lon_idx as lon from obs group by all),
+ell as (select *, cast(least(floor((lon + 180) / 6) + 1, 60) as int) as z, 6378137.0::double as a, 0.0066943799901413165::double as e, 0.006739496742276434::double as ep, radians(lat) as p from pts),
+ser as (select *, a / sqrt(1 - e * sin(p) * sin(p)) as n, tan(p) * tan(p) as t, ep * cos(p) * cos(p) as c, cos(p) * radians(lon - (z * 6 - 183)) as l,
+    a * ((1 - e / 4 - 3 * e * e / 64 - 5 * e * e * e / 256) * p - (3 * e / 8 + 3 * e * e / 32 + 45 * e * e * e / 1024) * sin(2 * p) + (15 * e * e / 256 + 45 * e * e * e / 1024) * sin(4 * p) - 35 * e * e * e / 3072 * sin(6 * p)) as m from ell),
+xy as (select *, 500000 + 0.9996 * n * (l + (1 - t + c) * pow(l, 3) / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep) * pow(l, 5) / 120) as x,
+    case when lat < 0 then 10000000 else 0 end + 0.9996 * (m + n * tan(p) * (l * l / 2 + (5 - t + 9 * c + 4 * c * c) * pow(l, 4) / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep) * pow(l, 6) / 720)) as y from ser)
+select lat_idx, lon_idx, lat, lon, lpad(cast(z as varchar), 2, '0') || substr('CDEFGHJKLMNPQRSTUVWX', cast(floor((lat + 80) / 8) as int) + 1, 1) || substr(case z % 3 when 1 then 'ABCDEFGH' when 2 then 'JKLMNPQR' else 'STUVWXYZ' end, cast(floor(x / 100000) as int), 1) || substr('ABCDEFGHJKLMNPQRSTUV', cast((floor(y / 100000) + case when z % 2 = 0 then 5 else 0 end) % 20 as int) + 1, 1) as tile_code from xy"""
+
+
+@query(_UTM.replace("with pts as", "select * from (with pts as", 1) + ")")
 def utm_tile_codes(spark, sf):
     cells = placed(observations(spark, sf)).select(*CELL, "lat", "lon").distinct()
     return cells.withColumn("tile_code", tiling.tile_code(F.col("lat"), F.col("lon")))

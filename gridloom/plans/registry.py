@@ -7,12 +7,12 @@ both sides.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars
-from ..operators import agreement, series, trends
+from ..operators import agreement, series, summaries, trends
 from ..sources.driver_tables import OBS_SQL, REGIONS, observations
 
 QUERIES: dict = {}
@@ -88,9 +88,7 @@ def votes(spark, sf) -> DataFrame:
 
 
 def fractions(spark, sf) -> DataFrame:
-    o = observations(spark, sf).groupBy("dataset_id", *CELL, "class_id").agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy("dataset_id", *CELL))
-    return o.withColumn("fraction", scalars.ratio(F.col("n"), total))
+    return summaries.class_shares(observations(spark, sf))
 
 
 def placed(df: DataFrame) -> DataFrame:

@@ -62,6 +62,26 @@ def status(spark: SparkSession, root: str, kind: str, region_id: str, key: str)
     return "ready"
 
 
+def write_pack(tables: dict[str, DataFrame], root: str, region_id: str, key: str, **identity: str) -> DataFrame:
+    """Write several tables of one run, and then what they are: kind, row_count, table_sha256 and status of each.
+
+    A table whose write or check fails leaves the others; it is listed as partial or missing.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    rows = []
+    for kind, df in tables.items():
+        try:
+            write(df, root, kind, region_id, key, **identity)
+        except ContractError as error:
+            rows.append((kind, None, None, f"partial: {error}"))
+            continue
+        m = manifest(spark, root, kind, region_id, key)
+        rows.append((kind, int(m["row_count"]), m["table_sha256"], status(spark, root, kind, region_id, key)))
+    listed = spark.createDataFrame(rows, "kind string, row_count long, table_sha256 string, status string")
+    write(listed, root, "pack_manifest", region_id, key, **identity)
+    return listed
+
+
 def feature_collection(boxes: DataFrame) -> DataFrame:
     """Boxes (id, west, south, east, north) as a row of GeoJSON each."""
     ring = F.array(*[F.array(F.col(x), F.col(y)) for x, y in (("west", "south"), ("east", "south"), ("east", "north"), ("west", "north"), ("west", "south"))])
