@@ -108,6 +108,7 @@ def mapped(df: DataFrame, function: Callable[[pa.RecordBatch], dict | None], sch
             made = function(batch)
             if made is not None:
                 yield pa.RecordBatch.from_arrays([made[f.name] if isinstance(made[f.name], pa.Array) else pa.array(made[f.name], f.type) for f in arrow], schema=arrow)
+        trimmed()
 
     return df.mapInArrow(run, schema)
 
@@ -129,6 +130,7 @@ def passed(df: DataFrame, function: Callable[[list[bytes | None]], dict], more:
             made = function(texts)
             out = pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(made[f.name], f.type) for f in types]], names=[*batch.schema.names, *types.names])
             yield out.filter(pa.array(made["_keep"])) if "_keep" in made else out
+        trimmed()
 
     return df.mapInArrow(run, StructType([*df.schema.fields, *added.fields]))
 

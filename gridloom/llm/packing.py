@@ -33,12 +33,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import mixing
-from .common import as_documents, column, cut, mapped, ranked
+from .common import as_documents, column, cut, mapped, ranked, trimmed
 
 #: Above this many runs the plan is joined by a shuffle instead of a broadcast.
 BROADCAST_RUNS = 200_000
 #: Sequences' worth of tokens that are packed together along a mixed order.
 WINDOW = 64
+#: Bytes of text that are encoded at once.
+SLICE = 2 << 20
 #: Words that a worker keeps with their ids, at most.
 CACHED = 600_000
 #: The mark of a token that ends a run of letters, digits or other characters.
@@ -174,9 +176,10 @@ def pieces(docs: DataFrame, path: str, size: int = 4096, end: int = 1) -> DataFr
         begin = ((np.cumsum(sizes) - sizes)[owner] + piece * size) * 4
         raw = memoryview(ids.astype("<u4").tobytes())
         crc = [zlib.crc32(raw[b : b + 4 * n]) for b, n in zip(begin.tolist(), length.tolist(), strict=True)]
+        trimmed()
         return {"doc_id": column(batch, "doc_id").take(owner), "piece": piece.astype(np.int32), "start": piece * size, "length": length, "ids_crc32": crc}
 
-    return mapped(as_documents(docs), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return mapped(as_documents(docs), run, "doc_id long, piece int, start long, length long, ids_crc32 long", limit=SLICE)
 
 
 def plan(counts: dict[int, int], size: int, most_docs: int | None = None, most_cost: int | None = None, rule: str = "norm", weights: tuple[float, float, float] | None = None) -> list[tuple[int, int, int, int, int, int]]:
@@ -278,9 +281,10 @@ def pack_mixed(docs: DataFrame, path: str, size: int = 4096, end: int = 1, targe
         raw = memoryview(ids.astype("<u4").tobytes())
         ends = np.cumsum(sizes).tolist()
         crcs = [[zlib.crc32(raw[4 * b : 4 * min(b + size, e)]) for b in range(e - n, e, size)] for e, n in zip(ends, sizes.tolist(), strict=True)]
+        trimmed()
         return {"doc_id": column(batch, "doc_id"), "source": column(batch, "source"), "tokens": sizes.astype(np.int64), "crcs": pa.array(crcs, pa.list_(pa.int64()))}
 
-    made = cut(mapped(as_documents(docs, F.col("source").cast("string").alias("source")), encoded, "doc_id long, source string, tokens long, crcs array<long>"))
+    made = cut(mapped(as_documents(docs, F.col("source").cast("string").alias("source")), encoded, "doc_id long, source string, tokens long, crcs array<long>", limit=SLICE))
     # texts stay behind: a document's place depends on its id and source
     placed = cut(mixing.mix(made, targets).select("doc_id", "source", "tokens", "crcs", "position", F.expr(f"position div {4 * mixing.BLOCK}").alias("part")))
     parts = _ahead(placed.groupBy("part").agg(F.sum("tokens").alias("n")), "part", "n").select(F.col("part").alias("of"), F.expr(f"ahead div {window * size}").alias("window"))
