@@ -21,7 +21,6 @@ repeated row is packed as often as it occurs. A null doc_id is kept.
 
 from __future__ import annotations
 
-import re
 import zlib
 from itertools import chain, islice, repeat
 
@@ -39,14 +38,14 @@ from .common import as_documents, column, cut, mapped, ranked, trimmed
 BROADCAST_RUNS = 200_000
 #: Sequences' worth of tokens that are packed together along a mixed order.
 WINDOW = 64
-#: Bytes of text that are encoded at once.
+#: Bytes of text that pack_mixed encodes at once, beside what workers hold from other stages.
 SLICE = 2 << 20
 #: Words that a worker keeps with their ids, at most.
 CACHED = 600_000
 #: The mark of a token that ends a run of letters, digits or other characters.
 WORD_END = "</w>"
-_PLAIN = re.compile(rb"([A-Za-z]+)([.,;:!?#$%&*|]*)")
-_LETTERS = regex.compile(r"(\p{L}+)([.,;:!?#$%&*|]*)")
+#: Characters after a word that make a run of their own.
+MARKS = ".,;:!?#$%&*|"
 _ALL_LETTERS = regex.compile(r"\p{L}+")
 
 
@@ -61,7 +60,10 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.normal = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer else str
+        # letters of long standing, which the tokenizer makes letters of too: some become a letter and a mark
+        normal = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer else str
+        safe = [c for c in map(chr, range(65, 0x530)) if _ALL_LETTERS.fullmatch(c) and _ALL_LETTERS.fullmatch(normal(c))]
+        self.lettered = f"^[{''.join(safe)}]+$"
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
@@ -106,49 +108,48 @@ class Words:
             made = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)]
             self._add(some, np.array(list(chain.from_iterable(made)), np.uint32), np.fromiter(map(len, made), np.int64, len(made)))
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Take in new words: those of letters and marks after them by way of the two runs."""
-        plain, pairs, others = [], [], []
-        for w in words:
-            m = _PLAIN.fullmatch(w)
-            if m:
-                plain.append(w)
-                pairs += (m[1].lower(), m[2])
-            # letters of long standing, which the tokenizer makes letters of too: some become a letter and a mark
-            elif not w.isascii() and (m := _LETTERS.fullmatch(w.decode("utf-8", "replace"))) and max(m[1]) < "\u0530" and _ALL_LETTERS.fullmatch(self.normal(m[1])):
-                plain.append(w)
-                pairs += (m[1].encode(), m[2].encode())
-            else:
-                others.append(w)
-        self._encode_each(others)
-        unknown = {x for x in pairs if x not in self.number}
-        marks = [x for x in unknown if x and x[0] < 65]
-        self._encode_each(marks)
-        self._encode_runs(list(unknown.difference(marks, [b""])))
-        if b"" in unknown:
-            self._add([b""], np.zeros(0, np.uint32), np.zeros(1, np.int64))
-        flat, sizes = self._gathered(np.array([self.number[x] for x in pairs], np.int64))
-        self._add(plain, flat, sizes[0::2] + sizes[1::2])
+    def _numbers(self, names: list[bytes], learn) -> np.ndarray:
+        """The numbers under which the ids of ``names`` are kept; new ones are learnt."""
+        numbers = np.fromiter(map(self.number.get, names, repeat(-1)), np.int64, len(names))
+        unknown = np.flatnonzero(numbers < 0).tolist()
+        if unknown:
+            learn(list(dict.fromkeys(names[i] for i in unknown)))
+            numbers[unknown] = [self.number[names[i]] for i in unknown]
+        return numbers
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in one array, and each text's number of ids, its end id included."""
+        """All ids in one array, and each text's number of ids, its end id included.
+
+        A distinct word of letters and marks after them is the ids of its
+        letters in small case and those of its marks; any other word is
+        encoded as a whole.
+        """
         as_text = pa.Array.from_buffers(pa.string(), len(texts), texts.buffers(), offset=texts.offset)
         words = pc.ascii_split_whitespace(as_text)
         counts = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = words.flatten().dictionary_encode()
-        held = pa.Array.from_buffers(pa.binary(), len(coded.dictionary), coded.dictionary.buffers(), offset=coded.dictionary.offset).to_pylist()
-        numbers = np.fromiter(map(self.number.get, held, repeat(-1)), np.int64, len(held))
-        unknown = np.flatnonzero(numbers < 0).tolist()
         before = (len(self.number), len(self.sizes), self.held)
-        if unknown:
-            self._learn([held[i] for i in unknown])
-            numbers[unknown] = [self.number[held[i]] for i in unknown]
-        ids, sizes = self._gathered(numbers[coded.indices.to_numpy(zero_copy_only=False)])
+        core = pc.ascii_lower(pc.ascii_rtrim(coded.dictionary, MARKS))
+        lettered = pc.match_substring_regex(core, self.lettered).to_numpy(zero_copy_only=False)
+        length = lambda x: pc.binary_length(x).to_numpy(zero_copy_only=False)
+        raw = lambda x: pa.Array.from_buffers(pa.binary(), len(x), x.buffers(), offset=x.offset).to_pylist()
+        parts = np.full((len(core), 2), self._numbers([b""], self._encode_each)[0])
+        at, others = np.flatnonzero(lettered), np.flatnonzero(~lettered)
+        runs = core.take(pa.array(at)).dictionary_encode()
+        parts[at, 0] = self._numbers(raw(runs.dictionary), self._encode_runs)[runs.indices.to_numpy(zero_copy_only=False)]
+        parts[others, 0] = self._numbers(raw(coded.dictionary.take(pa.array(others))), self._encode_each)
+        sizes = length(core)
+        marked = np.flatnonzero(lettered & (length(coded.dictionary) > sizes))
+        parts[marked, 1] = self._numbers([w[n:] for w, n in zip(raw(coded.dictionary.take(pa.array(marked))), sizes[marked].tolist(), strict=True)], self._encode_each)
+        flat, of_part = self._gathered(parts.ravel())
+        of_word = of_part[0::2] + of_part[1::2]
+        words_at = coded.indices.to_numpy(zero_copy_only=False)
+        ids = flat[_ragged((np.cumsum(of_word) - of_word)[words_at], of_word[words_at])]
         if len(self.number) > CACHED:  # full: what came last is not kept
             for w in list(islice(reversed(self.number), len(self.number) - before[0])):
                 del self.number[w]
             self.starts, self.sizes, self.held = self.starts[: before[1]], self.sizes[: before[1]], before[2]
-        ends = np.append(0, np.cumsum(sizes))[np.cumsum(counts)]
+        ends = np.append(0, np.cumsum(of_word[words_at]))[np.cumsum(counts)]
         return np.insert(ids, ends, np.uint32(end)), np.diff(ends, prepend=0) + 1
 
 
@@ -179,7 +180,7 @@ def pieces(docs: DataFrame, path: str, size: int = 4096, end: int = 1) -> DataFr
         trimmed()
         return {"doc_id": column(batch, "doc_id").take(owner), "piece": piece.astype(np.int32), "start": piece * size, "length": length, "ids_crc32": crc}
 
-    return mapped(as_documents(docs), run, "doc_id long, piece int, start long, length long, ids_crc32 long", limit=SLICE)
+    return mapped(as_documents(docs), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(counts: dict[int, int], size: int, most_docs: int | None = None, most_cost: int | None = None, rule: str = "norm", weights: tuple[float, float, float] | None = None) -> list[tuple[int, int, int, int, int, int]]:
