@@ -27,6 +27,8 @@ except OSError:  # another C library
 
 #: Bytes of text that one step of a Python operator works on.
 SLICE_BYTES = 4 << 20
+#: Keys that are sent to all tasks, at most.
+SENT = 50_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -176,16 +178,20 @@ def ranked(df: DataFrame, by: list[str], key: list[str], name: str) -> DataFrame
     def aside(right: DataFrame, names: list[str], *more: str) -> DataFrame:
         return right.select(*[F.col(k).alias(f"_s{k}") for k in names], *more)
 
-    # rows of keys that occur more than once: stored, as their number depends on where they stand
-    repeated = hashed.groupBy(*full, "_md5").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    known = aside(repeated, full)
-    marked = hashed.withColumn("_part", F.spark_partition_id())
-    several = cut(marked.join(known, same(marked, known, full), "left_semi"))
-    none = several.isEmpty()
-    single = hashed if none else hashed.join(known, same(hashed, known, full), "left_anti")
+    # keys that occur more than once, from the keys alone; without any the rows are moved once
+    repeated = cut(hashed.select(*full, "_md5").groupBy(*full, "_md5").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"))
+    some = repeated.limit(SENT + 1).count()
+    single = hashed
+    if some:
+        known = aside(repeated, full)
+        known = F.broadcast(known) if some <= SENT else known
+        # stored, as a row's number among its likes depends on where it stands
+        marked = hashed.withColumn("_part", F.spark_partition_id())
+        several = cut(marked.join(known, same(marked, known, full), "left_semi"))
+        single = hashed.join(known, same(hashed, known, full), "left_anti")
 
     weighed = single.withColumns({"_n": F.lit(1).cast("long"), "_one": F.lit(True)})
-    if not none:
+    if some:
         weighed = weighed.unionByName(repeated.withColumn("_one", F.lit(False)), allowMissingColumns=True)
     bucketed = weighed.withColumn("_bucket", F.shiftright(F.conv(F.substring("_md5", 1, 6), 16, 10).cast("long") * parts, 24).cast("int"))
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
@@ -195,7 +201,7 @@ def ranked(df: DataFrame, by: list[str], key: list[str], name: str) -> DataFrame
     numbered = bucketed.withColumn("_own", own)
     numbered = numbered.join(shifts, same(numbered, shifts, keys)).withColumn(name, (F.col("_own") + F.col("_shift")).cast("long"))
     columns = [*df.columns, name]
-    if none:
+    if not some:
         return numbered.select(*columns)
     placed = [*full, "_part"]
     held = several.groupBy(*placed).agg(F.count(F.lit(1)).alias("_n"))

@@ -45,7 +45,7 @@ def op9_context_mixing(spark, sf_dir):
 
 
 def op10_pfair_mix(spark, sf_dir):
-    return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "source", "block", "release", "deadline", "slot", "position")
+    return mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source")).select("doc_id", "source", "block", "release", "deadline", "slot", "position")
 
 
 def queries():
