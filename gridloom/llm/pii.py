@@ -57,6 +57,9 @@ _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 # Credentials, as named values and by the forms that issuers give them.
 _SECRET = r"(?:(?i:token|secret|passwd|password|api[_-]?key|access[_-]?key)[\"']?\s{0,4}[=:]\s{0,4}[\"']?[A-Za-z0-9+/_-]{16,}+)|\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
 
+# What any of these ends with, which few texts have: the names are looked for in those alone.
+_SECRET_VALUE = r"[=:]\s{0,4}[\"']?[A-Za-z0-9+/_-]{16}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|-----BEGIN "
+
 
 def _running(array: str, name: str) -> str:
     """Starts of matches, from an array of (g, m): the gap before each and its length.
@@ -204,7 +207,7 @@ def _listed(array: Column) -> Column:
 def detect(docs: DataFrame, model: dict[tuple[int, str], float] | None = None) -> DataFrame:
     """doc_id, a count of base spans a kind, the base spans' digest, all spans, credentials (n_secret) and all of these (n_all)."""
     model = fit(docs) if model is None else model
-    secrets = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(_SECRET)).cast("long")
+    secrets = F.when(F.col("text").rlike(_SECRET_VALUE), F.regexp_count("text", F.lit(_SECRET))).otherwise(0).cast("long")
     all_spans = docs.select("doc_id", accepted(spans(), model).alias("_all"), secrets.alias("n_secret"))
     base = all_spans.withColumn("_base", F.filter("_all", lambda s: s["base"]))
     counts = [F.expr(f"cast(size(filter(_base, s -> s.kind = {i})) as bigint)").alias(f"n_{k}") for i, k in enumerate(KINDS)]
