@@ -389,7 +389,8 @@ def repeated(docs: DataFrame, packed: DataFrame, length: int = LENGTH, gram: int
     spark = docs.sparkSession
     every = staged(_runs(docs, length, gram, width))
     # anchors that occur once, four in five, go before anything else is done with their runs
-    shared = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("anchor").alias("of"))
+    # (stored, so that rows meet them in a join that Spark can split for an anchor with very many)
+    shared = cut(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("anchor").alias("of")))
     runs = staged(every.join(shared, F.col("anchor") == F.col("of"), "left_semi"))
     deleted(every)
     released(spark)
