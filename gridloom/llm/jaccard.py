@@ -14,8 +14,11 @@ rules out wrongly; then the sets themselves are compared. The order is by a
 bounded sample's counts, which is a matter of speed and not of results.
 
 Groups are not compared pair by pair: first texts that fingerprints link, as
-stars, and each text with the ``NEAR`` next ones of each of its shingles, by size; then, in shingles with more texts than
-that, only pairs that are not yet in one component.
+stars, and each text with the ``NEAR`` next ones of each of its shingles, by size.
+In shingles with more texts than that the components found so far are joined by
+a few spanning forests of the pairs that parities put closest, and only then all
+pairs compared that are still in two components. What a step has shuffled is let go
+before the next.
 
 Defined results: a null or empty text, or one of white space, has one empty
 shingle and is linked to others like it; fewer words than a shingle make one
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, cut, deleted, fresh, mapped, staged, trimmed
+from .common import column, cut, deleted, fresh, mapped, released, staged, trimmed
 from .components import components
 from .simhash import links as linked_prints
 from .simhash import majority, shingle_hashes
@@ -39,6 +42,9 @@ from .simhash import majority, shingle_hashes
 NEAR, SAMPLE, COMMON, PAIRS, MARKS = 2, 8192, 1 << 16, 1 << 18, 1 << 23
 #: Bytes of text that are made into shingles at once.
 SLICE = 1 << 20
+#: Forests without common edges before all pairs are compared; texts of a bucket above which they are made of the ``BESIDE``
+#: next ones in eight orders of the parities.
+FORESTS, WIDE, BESIDE = 4, 2048, 32
 #: Cells of a text's parities that tell most pairs apart, and finer ones that are read for what is left.
 CELLS, FINE = 512, 2048
 _EMPTY = np.zeros(1, np.uint64)
@@ -182,32 +188,101 @@ def _next_ones(near: int):
     return run
 
 
-def _across(batches):
-    """Candidates of a bucket from different components: rows outside the largest one with all rows."""
-    for table in _buckets(batches):
-        token, key, size, root = (table.column(c).to_numpy() for c in ("token", "key", "size", "root"))
-        new = np.append(True, (token[1:] != token[:-1]) | (key[1:] != key[:-1]))
-        cells = _words_of(table.column("cells").filter(pa.array(new)), CELLS)
-        token, key, size, root = token[new], key[new], size[new], root[new]
-        first, end = _bounds(token)
-        outside = np.zeros(len(token), bool)
-        for i in np.unique(first).tolist():
-            own = root[i : end[i]]
-            names, counts = np.unique(own, return_counts=True)
-            outside[i : end[i]] = own != names[np.argmax(counts)]
-        rows = np.flatnonzero(outside)
-        reps = (end - first)[rows]
-        part = np.cumsum(reps) // PAIRS
-        for p in np.unique(part).tolist():
-            r, k = rows[part == p], reps[part == p]
-            a = np.repeat(r, k)
-            b = np.repeat(first[r], k) + np.arange(len(a)) - np.repeat(np.cumsum(k) - k, k)
-            keep = root[a] != root[b]
-            a, b = a[keep], b[keep]
-            keep = _possible(a, b, size)
-            a, b = a[keep], b[keep]
-            keep = 9 * _odd(cells[a], cells[b]) <= (size[a] >> 32) + (size[b] >> 32)
-            yield _emitted(key, a[keep], b[keep])
+def _forest(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The edges (x, y) of a spanning forest, by place; earlier ones go first."""
+    names, both = np.unique(np.concatenate([x, y]), return_inverse=True)
+    x, y = both[: len(x)], both[len(x) :]
+    label, left, chosen = np.arange(len(names)), np.arange(len(x)), []
+    while True:
+        left = left[label[x[left]] != label[y[left]]]
+        if not len(left):
+            return np.sort(np.concatenate(chosen)) if chosen else left
+        best = np.full(len(names), len(x))
+        np.minimum.at(best, label[x[left]], left)
+        np.minimum.at(best, label[y[left]], left)
+        chosen.append(np.unique(best[best < len(x)]))
+        over = np.arange(len(names))
+        p, q = label[x[chosen[-1]]], label[y[chosen[-1]]]
+        while (over[p] != over[q]).any():
+            low = np.minimum(over[p], over[q])
+            np.minimum.at(over, over[p], low)
+            np.minimum.at(over, over[q], low)
+            over = over[over]
+        label = over[label]
+
+
+def _met(table: pa.Table):
+    """Rows (a, b) of one bucket and two components: those outside the bucket's largest one with all."""
+    root = table.column("root").to_numpy()
+    first, end = _bounds(table.column("token").to_numpy())
+    outside = np.zeros(len(root), bool)
+    for i in np.unique(first).tolist():
+        names, counts = np.unique(root[i : end[i]], return_counts=True)
+        outside[i : end[i]] = root[i : end[i]] != names[np.argmax(counts)]
+    rows = np.flatnonzero(outside)
+    reps = (end - first)[rows]
+    part = np.cumsum(reps) // PAIRS
+    for p in np.unique(part).tolist():
+        r, k = rows[part == p], reps[part == p]
+        a = np.repeat(r, k)
+        b = np.repeat(first[r], k) + np.arange(len(a)) - np.repeat(np.cumsum(k) - k, k)
+        keep = root[a] != root[b]
+        yield a[keep], b[keep]
+
+
+def _beside(table: pa.Table, cells: np.ndarray, least: int):
+    """_met() for a forest: of a bucket above ``least`` rows the ``BESIDE`` next ones by each eighth of the parities."""
+    root = table.column("root").to_numpy()
+    first, end = _bounds(table.column("token").to_numpy())
+    wide = end - first > least
+    for i in np.unique(first[wide]).tolist():
+        for c in range(0, cells.shape[1], max(1, cells.shape[1] // 8)):
+            order = i + np.argsort(cells[i : end[i], c], kind="stable")
+            for d in range(1, BESIDE + 1):
+                a, b = order[:-d], order[d:]
+                keep = root[a] != root[b]
+                yield a[keep], b[keep]
+    others = np.flatnonzero(~wide)
+    for a, b in _met(table.take(pa.array(others))):
+        yield others[a], others[b]
+
+
+def _across(forests: int, wide: int):
+    """Candidates of a bucket from different components: all, or those of so many spanning forests, pairs whose parities differ least first."""
+
+    def run(batches):
+        held = np.zeros((0, 4), np.int64)  # the task's forests: keys and roots
+        far = np.zeros(0)
+        for table in _buckets(batches):
+            token, key = table.column("token").to_numpy(), table.column("key").to_numpy()
+            table = table.filter(pa.array(np.append(True, (token[1:] != token[:-1]) | (key[1:] != key[:-1]))))
+            key, size, root = (table.column(c).to_numpy() for c in ("key", "size", "root"))
+            cells = _words_of(table.column("cells"), CELLS)
+            for a, b in _beside(table, cells, wide) if forests else _met(table):
+                keep = _possible(a, b, size)
+                a, b = a[keep], b[keep]
+                odd, both = _odd(cells[a], cells[b]), (size[a] >> 32) + (size[b] >> 32)
+                keep = 9 * odd <= both
+                a, b, share = a[keep], b[keep], odd[keep] / both[keep]
+                if not forests:
+                    yield _emitted(key, a, b)
+                elif len(a):
+                    swap = key[a] > key[b]
+                    a, b = np.where(swap, b, a), np.where(swap, a, b)
+                    edges, by = np.concatenate([held, np.stack([key[a], key[b], root[a], root[b]], axis=1)]), np.append(far, share)
+                    order = np.lexsort((edges[:, 1], edges[:, 0], by))
+                    order = order[np.append(True, (edges[order[1:], :2] != edges[order[:-1], :2]).any(axis=1))]
+                    chosen = []
+                    for _ in range(forests):
+                        tree = _forest(edges[order, 2], edges[order, 3])
+                        chosen.append(order[tree])
+                        order = np.delete(order, tree)
+                    order = np.concatenate(chosen)
+                    held, far = edges[order], by[order]
+        if forests:
+            yield pa.RecordBatch.from_arrays([pa.array(held[:, 0]), pa.array(held[:, 1])], names=["a", "b"])
+
+    return run
 
 
 def _allowed(pairs: DataFrame, signed: DataFrame, cells: int) -> DataFrame:
@@ -265,6 +340,8 @@ def _verified(pairs: DataFrame, keyed: DataFrame, words: int) -> DataFrame:
 
     found = cut(met.select("a", "b", "ha", "hb").mapInArrow(compared, "a long, b long"))
     deleted(stored)
+    del made, met
+    released(keyed.sparkSession)
     return found
 
 
@@ -299,20 +376,24 @@ def links(keyed: DataFrame, words: int = 5) -> DataFrame:
     """(a, b): links that join all texts ``key`` of a component, each between two texts that are alike."""
     signed = _signed(keyed, words)
     dealt = staged(_firsts(keyed, words))
+    released(keyed.sparkSession)
     by_size = lambda df, *more: df.withColumn("n", F.shiftright("size", 32)).repartition("token").sortWithinPartitions("token", "n", "key").select("token", "key", "size", *more)
     pairs = cut(by_size(dealt).mapInArrow(_next_ones(NEAR), "a long, b long").union(_printed(signed)).distinct())
+    released(keyed.sparkSession)
     found = _verified(_allowed(pairs, signed, CELLS), keyed, words)
     large = dealt.filter(F.col("many") > NEAR + 1)
-    if large.isEmpty():
-        deleted(dealt)
-        return found
-    roots = components(found)
-    rooted = large.join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key"))
-    mixed = rooted.groupBy(F.col("token").alias("t")).agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
-    rooted = rooted.join(mixed, F.col("token") == F.col("t"), "left_semi").join(signed.select(F.col("key").alias("k"), "cells"), F.col("key") == F.col("k"))
-    others = cut(by_size(rooted, "root", "cells").mapInArrow(_across, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"))
+    for forests in () if large.isEmpty() else (FORESTS, 0):
+        roots = components(found)
+        rooted = large.join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key"))
+        mixed = rooted.groupBy(F.col("token").alias("t")).agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
+        rooted = rooted.join(mixed, F.col("token") == F.col("t"), "left_semi").join(signed.select(F.col("key").alias("k"), "cells"), F.col("key") == F.col("k"))
+        others = cut(by_size(rooted, "root", "cells").mapInArrow(_across(forests, WIDE), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"))
+        released(keyed.sparkSession)
+        if not others.isEmpty():
+            pairs = pairs.union(others)
+            found = found.union(_verified(others, keyed, words))
     deleted(dealt)
-    return found if others.isEmpty() else found.union(_verified(others, keyed, words))
+    return found
 
 
 def one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:

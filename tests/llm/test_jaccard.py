@@ -79,3 +79,23 @@ def test_stage_on_documents(spark):
     want = brute([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()])
     made = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, SF)
     assert sorted(r["doc_id"] for r in made.collect()) == want
+
+
+@pytest.mark.parametrize("wide", (16, 1 << 20))
+def test_few_pairs_of_a_large_group_meet(spark, monkeypatch, wide):
+    """A group in which all texts share shingles and some pairs are alike: sets are compared for a few pairs a text, not for all."""
+    met, verified = [], jaccard._verified
+    monkeypatch.setattr(jaccard, "WIDE", wide)
+    monkeypatch.setattr(jaccard, "_verified", lambda pairs, *more: met.append(pairs.count()) or verified(pairs, *more))
+    r = random.Random(8)
+    name = lambda: "".join(r.choices("abcdefghij", k=6))
+    base, rows = [name() for _ in range(120)], []
+    for i in range(400):
+        new = list(base)
+        for _ in range(r.randint(1, 4)):
+            new[r.randrange(120)] = name()
+        rows.append((i, " ".join(new)))
+    want = brute(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(x["doc_id"] for x in jaccard.one_of_each(docs).collect()) == want
+    assert 1 < len(want) < 200 and sum(met) < 10 * len(rows)
