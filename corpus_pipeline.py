@@ -10,9 +10,8 @@ return the columns of documents.
    shared shingles).
 3. personal_data: spans in the text are replaced by their kind.
 4. mixing: documents are put in the order that gives each source its share.
-5. packing: one row for each piece of a training sequence. Files have no order,
-   and a stage returns the columns of documents, so the places in the mix are
-   worked out again, from ids and sources, and sequences follow them.
+5. packing: one row for each piece of a training sequence. Sequences follow the
+   order that mixing has written: that of its files by name, and of rows in them.
 """
 
 from __future__ import annotations
@@ -66,9 +65,10 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each piece of a sequence: doc_id, piece, start, length, ids_crc32, sequence_id, offset, source, position.
 
     A null or empty text is one piece of the end id; longer texts than a
-    sequence are cut; a repeated row is packed as often as it occurs.
+    sequence are cut; a repeated row is packed as often as it occurs. Positions
+    are the documents' places as they stand, from 0.
     """
-    return packing.pack_mixed(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_mixed(docs, public_tokenizers.path("word_bpe_49k.json"), ordered=True)
 
 
 STAGES = [

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -266,12 +267,31 @@ def _ahead(df: DataFrame, key: str, n: str) -> DataFrame:
     return ranged.withColumn("_own", own).join(totals, F.col("_range") == F.col("_r")).select(*df.columns, (F.col("_own") + F.col("_shift")).cast("long").alias("ahead"))
 
 
-def pack_mixed(docs: DataFrame, path: str, size: int = 4096, end: int = 1, targets: dict[str, float] | None = None, window: int = WINDOW) -> DataFrame:
+def _stand(docs: DataFrame) -> tuple:
+    """file and nth: a row's file, or else its partition, and its place there; files and partitions in order."""
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        return F.lpad(F.spark_partition_id().cast("string"), 10, "0").alias("file"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("nth")
+    return F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("nth")
+
+
+def _in_place(made: DataFrame) -> DataFrame:
+    """``made`` with position, its rows' number over all files."""
+    before = Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1)
+    files = made.groupBy(F.col("file").alias("of")).agg(F.count(F.lit(1)).alias("n"))
+    files = files.select("of", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    return made.join(files, F.col("file") == F.col("of")).withColumn("position", F.col("nth") + F.col("shift"))
+
+
+def pack_mixed(docs: DataFrame, path: str, size: int = 4096, end: int = 1, targets: dict[str, float] | None = None, window: int = WINDOW, ordered: bool = False) -> DataFrame:
     """pack() along the mixed order: with each piece's source and its document's position in the mix.
 
     Documents with consecutive positions, about ``window`` sequences of tokens,
     are packed together; sequences are numbered by window and within it by the
     least position in them, so that over sequence_id sources have their shares.
+    ``ordered``: the documents are in the mixed order as they stand, and a
+    position is a row's place in them.
     """
 
     def encoded(batch):
@@ -283,11 +303,11 @@ def pack_mixed(docs: DataFrame, path: str, size: int = 4096, end: int = 1, targe
         ends = np.cumsum(sizes).tolist()
         crcs = [[zlib.crc32(raw[4 * b : 4 * min(b + size, e)]) for b in range(e - n, e, size)] for e, n in zip(ends, sizes.tolist(), strict=True)]
         trimmed()
-        return {"doc_id": column(batch, "doc_id"), "source": column(batch, "source"), "tokens": sizes.astype(np.int64), "crcs": pa.array(crcs, pa.list_(pa.int64()))}
+        return {"doc_id": column(batch, "doc_id"), "source": column(batch, "source"), "tokens": sizes.astype(np.int64), "crcs": pa.array(crcs, pa.list_(pa.int64()))} | {c: column(batch, c) for c in ("file", "nth") if ordered}
 
-    made = cut(mapped(as_documents(docs, F.col("source").cast("string").alias("source")), encoded, "doc_id long, source string, tokens long, crcs array<long>", limit=SLICE))
-    # texts stay behind: a document's place depends on its id and source
-    placed = cut(mixing.mix(made, targets).select("doc_id", "source", "tokens", "crcs", "position", F.expr(f"position div {4 * mixing.BLOCK}").alias("part")))
+    made = cut(mapped(as_documents(docs, F.col("source").cast("string").alias("source"), *(_stand(docs) if ordered else ())), encoded, f"doc_id long, source string, tokens long, crcs array<long>{', file string, nth long' if ordered else ''}", limit=SLICE))
+    # texts stay behind: a document's place depends on where it stands, or on its id and source
+    placed = cut((_in_place(made) if ordered else mixing.mix(made, targets)).select("doc_id", "source", "tokens", "crcs", "position", F.expr(f"position div {4 * mixing.BLOCK}").alias("part")))
     parts = _ahead(placed.groupBy("part").agg(F.sum("tokens").alias("n")), "part", "n").select(F.col("part").alias("of"), F.expr(f"ahead div {window * size}").alias("window"))
 
     def packed(table: pa.Table) -> pa.Table:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gridloom.llm import mixing, packing
+from gridloom.llm.common import staged
 from tests.conftest import SF
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -46,3 +47,14 @@ def test_run_follows_the_mix(spark):
     made = corpus_pipeline.run(spark, SF)
     least = [x["p"] for x in made.groupBy("sequence_id").agg(F.min("position").alias("p")).orderBy("sequence_id").collect()]
     assert len(least) > 1 and least == sorted(least)
+
+
+def test_packing_follows_what_mixing_wrote(spark):
+    """Positions are those of the order that the stage before has stored, by files and rows in them, or of the frame it returned."""
+    docs = spark.createDataFrame([(i, f"word {i}", "ab"[i % 2]) for i in range(300)], "doc_id long, text string, source string").repartition(7)
+    in_order = mixing.in_order(docs, targets={"a": 0.9, "b": 0.1}, block=2)
+    want = [x["doc_id"] for x in in_order.collect()]
+    backwards = docs.repartitionByRange(4, F.desc("doc_id")).sortWithinPartitions(F.desc("doc_id"))
+    for given, ids in ((staged(in_order), want), (in_order, want), (staged(backwards), list(range(299, -1, -1)))):
+        made = corpus_pipeline.packed(spark, given, "").orderBy("position").collect()
+        assert [x["position"] for x in made] == list(range(300)) and [x["doc_id"] for x in made] == ids
