@@ -45,7 +45,7 @@ SLICE = 1 << 20
 #: Forests without common edges before all pairs are compared; texts of a bucket above which they are made of the ``BESIDE``
 #: next ones in eight orders of the parities.
 FORESTS, WIDE, BESIDE = 4, 2048, 32
-#: Cells of a text's parities that tell most pairs apart, and finer ones that are read for what is left.
+#: Cells of a text's parities that tell most pairs apart, and finer ones that what is left is held against.
 CELLS, FINE = 512, 2048
 _EMPTY = np.zeros(1, np.uint64)
 
@@ -285,15 +285,15 @@ def _across(forests: int, wide: int):
     return run
 
 
-def _allowed(pairs: DataFrame, signed: DataFrame, cells: int) -> DataFrame:
-    """The pairs whose parities allow the similarity; ``signed`` has key, n, cells."""
+def _allowed(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """The pairs whose finer parities allow the similarity."""
 
     def apart(batches):
         for batch in batches:
-            odd = _odd(_words_of(column(batch, "ca"), cells), _words_of(column(batch, "cb"), cells))
+            odd = _odd(_words_of(column(batch, "ca"), FINE), _words_of(column(batch, "cb"), FINE))
             yield batch.select(["a", "b"]).filter(pa.array(9 * odd <= column(batch, "na").to_numpy() + column(batch, "nb").to_numpy()))
 
-    side = lambda x: signed.select(F.col("key").alias(f"k{x}"), F.col("n").alias(f"n{x}"), F.col("cells").alias(f"c{x}"))
+    side = lambda x: signed.select(F.col("key").alias(f"k{x}"), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"c{x}"))
     met = pairs.join(side("a"), F.col("a") == F.col("ka")).join(side("b"), F.col("b") == F.col("kb"))
     return cut(met.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(apart, "a long, b long"))
 
@@ -310,23 +310,18 @@ def _verified(pairs: DataFrame, keyed: DataFrame, words: int) -> DataFrame:
     def sets(batch):
         keys, texts = column(batch, "key"), column(batch, "text")
         at = keys.to_numpy() % MARKS
-        held, made, cells = [], [], []
+        held, made = [], []
         for i in np.flatnonzero(sent.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).tolist():
             key = keys[i].as_py()
             if key not in seen:
                 seen.add(key)
                 held.append(key)
-                h = shingle_set(texts[i].as_py(), words)
-                made.append(h.view(np.int64))
-                cells.append(parities(h, FINE))
+                made.append(shingle_set(texts[i].as_py(), words).view(np.int64))
         trimmed()
-        return {"key": pa.array(held, pa.int64()), "n": [len(x) for x in made], "cells": cells, "h": pa.array(made, pa.list_(pa.int64()))} if held else None
+        return {"key": pa.array(held, pa.int64()), "h": pa.array(made, pa.list_(pa.int64()))} if held else None
 
-    stored = staged(mapped(keyed, sets, "key long, n long, cells binary, h array<long>", limit=SLICE))
-
-    pairs = _allowed(pairs, stored.select("key", "n", "cells").dropDuplicates(["key"]), FINE)
-    likely = pairs.select(F.col("a").alias("w")).union(pairs.select("b")).distinct()
-    made = stored.select("key", "h").join(likely, F.col("key") == F.col("w"), "left_semi").dropDuplicates(["key"])
+    stored = staged(mapped(keyed, sets, "key long, h array<long>", limit=SLICE))
+    made = stored.dropDuplicates(["key"])
     met = pairs.join(made.select(F.col("key").alias("ka"), F.col("h").alias("ha")), F.col("a") == F.col("ka")).join(made.select(F.col("key").alias("kb"), F.col("h").alias("hb")), F.col("b") == F.col("kb"))
 
     def compared(batches):
@@ -346,20 +341,21 @@ def _verified(pairs: DataFrame, keyed: DataFrame, words: int) -> DataFrame:
 
 
 def _signed(keyed: DataFrame, words: int) -> DataFrame:
-    """(key, fp, n, cells): each text's fingerprint, the number of its shingles, and their parities."""
+    """(key, fp, n, cells, fine): each text's fingerprint, the number of its shingles, and their parities."""
 
     def run(batch):
-        out = {"key": column(batch, "key"), "fp": [], "n": [], "cells": []}
+        out = {"key": column(batch, "key"), "fp": [], "n": [], "cells": [], "fine": []}
         for t in column(batch, "text").to_pylist():
             h = shingle_hashes(t, words)
             every = np.unique(h) if len(h) else _EMPTY
             out["fp"].append(majority(h))
             out["n"].append(len(every))
             out["cells"].append(parities(every, CELLS))
+            out["fine"].append(parities(every, FINE))
         trimmed()
         return out | {"fp": pa.array(np.array(out["fp"], np.uint64).view(np.int64))}
 
-    return cut(mapped(keyed, run, "key long, fp long, n long, cells binary", limit=SLICE).dropDuplicates(["key"]))
+    return cut(mapped(keyed, run, "key long, fp long, n long, cells binary, fine binary", limit=SLICE).dropDuplicates(["key"]))
 
 
 def _printed(signed: DataFrame, radius: int = 2) -> DataFrame:
@@ -380,18 +376,21 @@ def links(keyed: DataFrame, words: int = 5) -> DataFrame:
     by_size = lambda df, *more: df.withColumn("n", F.shiftright("size", 32)).repartition("token").sortWithinPartitions("token", "n", "key").select("token", "key", "size", *more)
     pairs = cut(by_size(dealt).mapInArrow(_next_ones(NEAR), "a long, b long").union(_printed(signed)).distinct())
     released(keyed.sparkSession)
-    found = _verified(_allowed(pairs, signed, CELLS), keyed, words)
+    found = _verified(_allowed(pairs, signed), keyed, words)
     large = dealt.filter(F.col("many") > NEAR + 1)
     for forests in () if large.isEmpty() else (FORESTS, 0):
         roots = components(found)
         rooted = large.join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key"))
         mixed = rooted.groupBy(F.col("token").alias("t")).agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
-        rooted = rooted.join(mixed, F.col("token") == F.col("t"), "left_semi").join(signed.select(F.col("key").alias("k"), "cells"), F.col("key") == F.col("k"))
-        others = cut(by_size(rooted, "root", "cells").mapInArrow(_across(forests, WIDE), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"))
+        # components only grow, so that later steps need no other shingles
+        large = cut(rooted.join(mixed, F.col("token") == F.col("t"), "left_semi").select("token", "key", "size", "root"))
+        celled = large.join(signed.select(F.col("key").alias("k"), "cells"), F.col("key") == F.col("k"))
+        others = cut(by_size(celled, "root", "cells").mapInArrow(_across(forests, WIDE), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"))
+        large = large.drop("root")
         released(keyed.sparkSession)
         if not others.isEmpty():
             pairs = pairs.union(others)
-            found = found.union(_verified(others, keyed, words))
+            found = found.union(_verified(_allowed(others, signed), keyed, words))
     deleted(dealt)
     return found
 

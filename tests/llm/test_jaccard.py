@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from gridloom.llm import jaccard
+from gridloom.llm import components, jaccard
 from tests.conftest import SF
 
 
@@ -99,3 +99,12 @@ def test_few_pairs_of_a_large_group_meet(spark, monkeypatch, wide):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert sorted(x["doc_id"] for x in jaccard.one_of_each(docs).collect()) == want
     assert 1 < len(want) < 200 and sum(met) < 10 * len(rows)
+
+
+def test_few_edges_have_the_same_components(spark, monkeypatch):
+    r = random.Random(2)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(40)] + [(7, 7), (None, 3)]
+    frame = spark.createDataFrame(edges, "x long, y long")
+    few = sorted(map(tuple, components.components(frame).collect()))
+    monkeypatch.setattr(components, "FEW", 0)
+    assert few == sorted(map(tuple, components.components(frame).collect())) and len(few) > 100
