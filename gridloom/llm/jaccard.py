@@ -17,8 +17,10 @@ Groups are not compared pair by pair: first texts that fingerprints link, as
 stars, and each text with the ``NEAR`` next ones of each of its shingles, by size.
 In shingles with more texts than that the components found so far are joined by
 a few spanning forests of the pairs that parities put closest, and only then all
-pairs compared that are still in two components. What a step has shuffled is let go
-before the next.
+pairs compared that are still in two components. Sets are compared group by group:
+texts that pairs join, up to ``GROUP`` and ``HELD`` shingles, move once to one place;
+in larger groups sets are joined to each pair. What a step has shuffled is let go before the
+next.
 
 Defined results: a null or empty text, or one of white space, has one empty
 shingle and is linked to others like it; fewer words than a shingle make one
@@ -27,6 +29,8 @@ shingle; of repeated rows one stays. Texts are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -47,6 +51,8 @@ SLICE = 1 << 20
 FORESTS, WIDE, BESIDE = 4, 2048, 32
 #: Cells of a text's parities that tell most pairs apart, and finer ones that what is left is held against.
 CELLS, FINE = 512, 2048
+#: Texts of a group of candidates that are compared in one place, and their shingles, at most; texts whose groups are sent to all tasks.
+GROUP, HELD, SENT = 256, 1 << 20, 1 << 20
 _EMPTY = np.zeros(1, np.uint64)
 
 
@@ -298,31 +304,63 @@ def _allowed(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     return cut(met.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(apart, "a long, b long"))
 
 
-def _verified(pairs: DataFrame, keyed: DataFrame, words: int) -> DataFrame:
-    """The pairs (a, b) whose sets are alike."""
-    # texts are not sent: a table of fixed size tells, with some too many, whose sets are wanted
+def _wanted(pairs: DataFrame, keyed: DataFrame, made: Callable[[bytes], object], kind: str) -> DataFrame:
+    """(key, value): what ``made`` makes of each text of the pairs, and of some too many; a task has a text once, copies may be in several."""
+    # texts are not sent: a table of fixed size tells, with some too many, which are wanted
     wanted = pairs.select(F.col("a").alias("w")).union(pairs.select("b"))
     marks = np.zeros(MARKS, bool)
     marks[wanted.select(F.pmod("w", F.lit(MARKS)).cast("int").alias("i")).distinct().toArrow().column("i").to_numpy()] = True
     sent = keyed.sparkSession.sparkContext.broadcast(np.packbits(marks))
     seen: set[int] = set()
 
-    def sets(batch):
+    def run(batch):
         keys, texts = column(batch, "key"), column(batch, "text")
         at = keys.to_numpy() % MARKS
-        held, made = [], []
+        held, values = [], []
         for i in np.flatnonzero(sent.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).tolist():
             key = keys[i].as_py()
             if key not in seen:
                 seen.add(key)
                 held.append(key)
-                made.append(shingle_set(texts[i].as_py(), words).view(np.int64))
+                values.append(made(texts[i].as_py()))
+        trimmed()
+        return {"key": held, "value": values} if held else None
+
+    return mapped(keyed, run, f"key long, value {kind}", limit=SLICE)
+
+
+def _together(pairs: DataFrame, homes: DataFrame, keyed: DataFrame, words: int) -> DataFrame:
+    """_verified() for pairs (root, a, b) of small groups: a group's texts meet in one place and move once, its pairs carry none."""
+    few = homes.limit(SENT + 1).count() <= SENT
+    texts = _wanted(pairs, keyed, bytes, "binary").join(F.broadcast(homes) if few else homes, F.col("key") == F.col("node"))
+    rows = texts.select("root", F.lit(0).alias("kind"), F.col("key").alias("a"), F.lit(None).cast("long").alias("b"), "value")
+    rows = rows.union(pairs.select("root", F.lit(1), "a", "b", F.lit(None).cast("binary")))
+
+    def compared(batches):
+        at, sets = None, {}
+        for batch in batches:
+            x, y, texts = [], [], column(batch, "value")
+            for i, (root, kind, a, b) in enumerate(zip(*(column(batch, c).to_pylist() for c in ("root", "kind", "a", "b")), strict=True)):
+                if root != at:
+                    at, sets = root, {}
+                if kind:
+                    s, t = sets[a], sets[b]
+                    if alike(len(np.intersect1d(s, t, assume_unique=True)), len(s), len(t)):
+                        x.append(a)
+                        y.append(b)
+                elif a not in sets:
+                    sets[a] = shingle_set(texts[i].as_py(), words)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
         trimmed()
-        return {"key": pa.array(held, pa.int64()), "h": pa.array(made, pa.list_(pa.int64()))} if held else None
 
-    stored = staged(mapped(keyed, sets, "key long, h array<long>", limit=SLICE))
+    return cut(rows.repartition("root").sortWithinPartitions("root", "kind").mapInArrow(compared, "a long, b long"))
+
+
+def _apart(pairs: DataFrame, keyed: DataFrame, words: int) -> DataFrame:
+    """_verified() for pairs of large groups: sets are joined to each pair, so that no group is one task's."""
+    stored = staged(_wanted(pairs, keyed, lambda text: shingle_set(text, words).view(np.int64), "array<long>"))
     made = stored.dropDuplicates(["key"])
-    met = pairs.join(made.select(F.col("key").alias("ka"), F.col("h").alias("ha")), F.col("a") == F.col("ka")).join(made.select(F.col("key").alias("kb"), F.col("h").alias("hb")), F.col("b") == F.col("kb"))
+    met = pairs.join(made.select(F.col("key").alias("ka"), F.col("value").alias("ha")), F.col("a") == F.col("ka")).join(made.select(F.col("key").alias("kb"), F.col("value").alias("hb")), F.col("b") == F.col("kb"))
 
     def compared(batches):
         for batch in batches:
@@ -335,7 +373,20 @@ def _verified(pairs: DataFrame, keyed: DataFrame, words: int) -> DataFrame:
 
     found = cut(met.select("a", "b", "ha", "hb").mapInArrow(compared, "a long, b long"))
     deleted(stored)
-    del made, met
+    return found
+
+
+def _verified(pairs: DataFrame, keyed: DataFrame, signed: DataFrame, words: int) -> DataFrame:
+    """The pairs (a, b) whose sets are alike; those of groups of up to ``GROUP`` texts and ``HELD`` shingles group by group."""
+    roots = components(pairs)
+    sizes = signed.select(F.col("key").alias("k"), "n")
+    small = roots.join(sizes, F.col("node") == F.col("k")).groupBy(F.col("root").alias("r")).agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("load")).filter((F.col("texts") <= GROUP) & (F.col("load") <= HELD))
+    homes = cut(roots.join(small, F.col("root") == F.col("r"), "left_semi").select("node", "root"))
+    near = cut(pairs.join(homes, F.col("a") == F.col("node")).select("root", "a", "b"))
+    far = cut(pairs.join(homes, F.col("a") == F.col("node"), "left_anti").select("a", "b"))
+    found = _together(near, homes, keyed, words)
+    if not far.isEmpty():
+        found = found.union(_apart(far, keyed, words))
     released(keyed.sparkSession)
     return found
 
@@ -376,7 +427,7 @@ def links(keyed: DataFrame, words: int = 5) -> DataFrame:
     by_size = lambda df, *more: df.withColumn("n", F.shiftright("size", 32)).repartition("token").sortWithinPartitions("token", "n", "key").select("token", "key", "size", *more)
     pairs = cut(by_size(dealt).mapInArrow(_next_ones(NEAR), "a long, b long").union(_printed(signed)).distinct())
     released(keyed.sparkSession)
-    found = _verified(_allowed(pairs, signed), keyed, words)
+    found = _verified(_allowed(pairs, signed), keyed, signed, words)
     large = dealt.filter(F.col("many") > NEAR + 1)
     for forests in () if large.isEmpty() else (FORESTS, 0):
         roots = components(found)
@@ -390,7 +441,7 @@ def links(keyed: DataFrame, words: int = 5) -> DataFrame:
         released(keyed.sparkSession)
         if not others.isEmpty():
             pairs = pairs.union(others)
-            found = found.union(_verified(_allowed(others, signed), keyed, words))
+            found = found.union(_verified(_allowed(others, signed), keyed, signed, words))
     deleted(dealt)
     return found
 

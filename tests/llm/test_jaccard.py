@@ -1,6 +1,7 @@
 """The pipeline's near-copy stage against brute force."""
 
 import random
+import time
 
 import pytest
 
@@ -108,3 +109,38 @@ def test_few_edges_have_the_same_components(spark, monkeypatch):
     few = sorted(map(tuple, components.components(frame).collect()))
     monkeypatch.setattr(components, "FEW", 0)
     assert few == sorted(map(tuple, components.components(frame).collect())) and len(few) > 100
+
+
+def moved(spark):
+    """Bytes that have been shuffled so far."""
+    time.sleep(1)
+    found = spark._jsc.sc().statusStore().executorList(False)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+
+@pytest.mark.parametrize("group", (256, 2))
+def test_pairs_carry_no_sets(spark, monkeypatch, group):
+    """Groups of texts that all meet are compared in one place: a text moves once, however many pairs it is in."""
+    monkeypatch.setattr(jaccard, "GROUP", group)
+    r = random.Random(11)
+    name = lambda: "".join(r.choices("abcdefghij", k=4))
+    rows = []
+    for g in range(30):
+        base = [name() for _ in range(1500)]
+        for k in range(6):
+            new = list(base)
+            for _ in range(6 if k % 2 else 40):
+                new[r.randrange(1500)] = name()
+            rows.append((6 * g + k, " ".join(new)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    keyed = jaccard._keyed(docs).localCheckpoint()
+    signed = jaccard._signed(keyed, 5)
+    key = {x["text"].decode(): x["key"] for x in keyed.collect()}
+    sets = {key[t]: shingles(t) for _, t in rows}
+    pairs = [tuple(sorted((key[rows[i][1]], key[rows[j][1]]))) for i in range(len(rows)) for j in range(i // 6 * 6, i)]
+    want = sorted((a, b) for a, b in pairs if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    before, size = moved(spark), 8 * sum(map(len, sets.values()))
+    links = jaccard._verified(spark.createDataFrame(pairs, "a long, b long"), keyed, signed, 5)
+    assert sorted(map(tuple, links.collect())) == want and 30 < len(want) < len(pairs)
+    if group > 6:
+        assert moved(spark) - before < 1.5 * size

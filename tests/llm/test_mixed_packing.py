@@ -58,3 +58,23 @@ def test_packing_follows_what_mixing_wrote(spark):
     for given, ids in ((staged(in_order), want), (in_order, want), (staged(backwards), list(range(299, -1, -1)))):
         made = corpus_pipeline.packed(spark, given, "").orderBy("position").collect()
         assert [x["position"] for x in made] == list(range(300)) and [x["doc_id"] for x in made] == ids
+
+
+def test_texts_move_twice_in_the_mix(spark):
+    """By source and bucket, and by position; the buckets' shifts do not make them move again."""
+    docs = spark.createDataFrame([(i, f"word {i}", "ab"[i % 2], i) for i in range(300)], "doc_id long, text string, source string, n long").repartition(7).select("doc_id", F.concat("text", F.lit("!")).alias("text"), "source", "n")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = mixing.in_order(docs)
+        plan = made._jdf.queryExecution().executedPlan()
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        said = made._jdf.queryExecution().explainString(mode)
+        assert plan.toString().count("Exchange rangepartitioning") == 1
+        # the exchanges that have all columns of the documents, and the one that the test itself makes
+        wide = [x for x in said.split("\n\n") if ") Exchange\n" in x and "_c1#" in x]
+        assert len(wide) == 2
+        assert sorted(r["doc_id"] for r in made.collect()) == list(range(300))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
