@@ -33,6 +33,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,7 +50,7 @@ SLICE = 1 << 20
 #: Forests without common edges before all pairs are compared; texts of a bucket above which they are made of the ``BESIDE``
 #: next ones in eight orders of the parities.
 FORESTS, WIDE, BESIDE = 4, 2048, 32
-#: Cells of a text's parities that tell most pairs apart, and finer ones that what is left is held against.
+#: Cells of a text's parities that tell most pairs apart, and finer ones, at least, that what is left is held against.
 CELLS, FINE = 512, 2048
 #: Texts of a group of candidates that are compared in one place, and their shingles, at most; texts whose groups are sent to all tasks.
 GROUP, HELD, SENT = 256, 1 << 20, 1 << 20
@@ -91,7 +92,12 @@ def _common(keyed: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 def parities(hashes: np.ndarray, cells: int) -> bytes:
     """Whether each of ``cells`` cells has an odd number of the hashes; two sets differ in as many members as cells, at least."""
-    return np.packbits((np.bincount((hashes >> np.uint64(65 - cells.bit_length())).astype(np.int64), minlength=cells) & 1).astype(np.uint8)).tobytes()
+    return np.packbits((np.bincount((hashes & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1).astype(np.uint8)).tobytes()
+
+
+def fine(hashes: np.ndarray) -> bytes:
+    """Parities of ``FINE`` cells, or of as many as there are hashes: fewer would differ in less than a ninth of two long sets, whatever these are."""
+    return parities(hashes, max(FINE, 1 << (len(hashes) - 1).bit_length()))
 
 
 def _firsts(keyed: DataFrame, words: int) -> DataFrame:
@@ -144,6 +150,17 @@ def _odd(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
 
 
+def _differ(x: pa.Array, y: pa.Array) -> np.ndarray:
+    """In how many cells parities differ; of two numbers of cells, powers of two, the larger is folded to the less."""
+    n, m = (pc.binary_length(c).to_numpy(zero_copy_only=False) for c in (x, y))
+    out = np.zeros(len(n), np.int64)
+    for p, q in set(zip(n.tolist(), m.tolist(), strict=True)):
+        rows, least = np.flatnonzero((n == p) & (m == q)), min(p, q) // 8
+        folded = [np.bitwise_xor.reduce(np.frombuffer(b"".join(c.take(pa.array(rows)).to_pylist()), np.uint64).reshape(len(rows), -1, least), axis=1) for c in (x, y)]
+        out[rows] = _odd(*folded)
+    return out
+
+
 def _words_of(cells: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(cells.to_pylist()), np.uint64).reshape(-1, width // 64)
 
@@ -296,7 +313,7 @@ def _allowed(pairs: DataFrame, signed: DataFrame) -> DataFrame:
 
     def apart(batches):
         for batch in batches:
-            odd = _odd(_words_of(column(batch, "ca"), FINE), _words_of(column(batch, "cb"), FINE))
+            odd = _differ(column(batch, "ca"), column(batch, "cb"))
             yield batch.select(["a", "b"]).filter(pa.array(9 * odd <= column(batch, "na").to_numpy() + column(batch, "nb").to_numpy()))
 
     side = lambda x: signed.select(F.col("key").alias(f"k{x}"), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"c{x}"))
@@ -402,7 +419,7 @@ def _signed(keyed: DataFrame, words: int) -> DataFrame:
             out["fp"].append(majority(h))
             out["n"].append(len(every))
             out["cells"].append(parities(every, CELLS))
-            out["fine"].append(parities(every, FINE))
+            out["fine"].append(fine(every))
         trimmed()
         return out | {"fp": pa.array(np.array(out["fp"], np.uint64).view(np.int64))}
 

@@ -144,3 +144,22 @@ def test_pairs_carry_no_sets(spark, monkeypatch, group):
     assert sorted(map(tuple, links.collect())) == want and 30 < len(want) < len(pairs)
     if group > 6:
         assert moved(spark) - before < 1.5 * size
+
+
+def test_parities_tell_long_texts_apart(spark):
+    """Long texts that share a passage and no more are not held against whole sets; alike ones of other numbers of cells are."""
+    r = random.Random(12)
+    name = lambda: "".join(r.choices("abcdefghij", k=6))
+    line = [name() for _ in range(30)]
+    texts = [" ".join(line + [name() for _ in range(6000)]) for _ in range(12)]
+    texts += [" ".join(texts[i].split() + [name() for _ in range(n)]) for i, n in ((0, 50), (1, 900), (2, 2300))]
+    long = " ".join(name() for _ in range(4090))
+    texts += [long, f"{long} {' '.join(name() for _ in range(400))}"]  # 4096 cells and 8192
+    keyed = jaccard._keyed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).localCheckpoint()
+    signed = jaccard._signed(keyed, 5)
+    keys = [{x["text"].decode(): x["key"] for x in keyed.collect()}[t] for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i)]
+    sets = [shingles(t) for t in texts]
+    alike = {(keys[i], keys[j]) for i, j in pairs if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    left = set(map(tuple, jaccard._allowed(spark.createDataFrame([(keys[i], keys[j]) for i, j in pairs], "a long, b long"), signed).collect()))
+    assert len(alike) == 3 and alike <= left and len(left) <= 5
