@@ -635,6 +635,36 @@ def test_lm_long_units_and_large_counts(spark, monkeypatch):
     assert (a == b).all() and a.max() > 255
 
 
+def test_lm_computes_equal_decisions_once(monkeypatch):
+    rng = np.random.default_rng(2)
+    code = lm_scoring.Code(np.arange(lm_scoring.SYMBOLS)[::-1])
+    mixer = lm_scoring.Mixer(code, rng.integers(0, 1 << 16, (len(lm_scoring.ORDERS), 1 << lm_scoring.LEAST_BITS)).astype(np.uint16))
+    units = [a + b + c for a in (b"inter", b"over", b"") for b in (b"action", b"national") for c in (b"", b"s", b"ly", b"ism", b"ist", b"\n", b"\xff")]
+    flags = rng.integers(0, 15, len(units))
+    units, flags = [*units, *units[:9], b"", b"", b"\n"], np.append(flags, [*flags[:9], lm_scoring.TEXT, lm_scoring.OPEN, lm_scoring.SPACE])
+    apart = [lm_scoring.Mixer.cost(mixer, pa.array([u], pa.binary()), np.array([f]))[0] for u, f in zip(units, flags, strict=True)]
+    every = sum(sum(lm_scoring.Decisions(code, pa.array([u], pa.binary()), np.array([f])).active) for u, f in zip(units, flags, strict=True))
+    taken, mixed = [], lm_scoring.Mixer._mixed
+    monkeypatch.setattr(lm_scoring.Mixer, "_mixed", lambda self, x, gate: taken.append(len(gate)) or mixed(self, x, gate))
+    assert np.allclose(mixer.cost(pa.array(units, pa.binary()), flags), apart, rtol=1e-12, atol=0)
+    assert sum(taken) < 0.7 * every
+    # the same where a few bytes are looked through at a time
+    monkeypatch.setattr(lm_scoring, "WIDE", 20)
+    assert np.allclose(mixer.cost(pa.array(units, pa.binary()), flags), apart, rtol=1e-12, atol=0)
+
+
+def test_lm_hashes_short_words_side_by_side(monkeypatch):
+    rng = np.random.default_rng(3)
+    words = pa.array([rng.bytes(i % 70) for i in range(700)], pa.binary())
+    plain = lm_scoring.xxh64_intdigest
+    want = np.array([plain(w, lm_scoring.SEED) for w in words.to_pylist()], np.uint64).view(np.int64)
+    one_by_one = []
+    monkeypatch.setattr(lm_scoring, "xxh64_intdigest", lambda w, seed: one_by_one.append(len(w)) or plain(w, seed))
+    assert (lm_scoring._hashes(words) == want).all() and (lm_scoring._hashes(words[13:99]) == want[13:99]).all()
+    assert min(one_by_one) >= 32
+    assert not len(lm_scoring._hashes(words[:0]))
+
+
 # 10 ---------------------------------------------------------------------------------------------
 
 
