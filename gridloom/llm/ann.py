@@ -7,15 +7,20 @@ tell how many lists have to be probed. There are as many lists as the square
 root of the vectors, up to ``MOST_LISTS`` and what ``SAMPLE_BYTES`` of sample
 allow. Every valid vector is in the index. A vector belongs to
 its nearest centroid's list and keeps the codes of its residual, a byte for
-every four dimensions. A query probes the lists of its nearest centroids, and
-in each it estimates cosines from its asymmetric table, takes the best
-``RERANK`` (and all that tie with the last of them) and computes their exact
-cosines in double precision.
+every four dimensions. A query probes the lists of its nearest centroids.
+Consecutive lists make a cell of about ``CELL`` rows, to which a query is sent
+once, with the lists that it probes there: it estimates the cosines of their
+vectors from its asymmetric table and computes the exact cosines, in double
+precision, of the ``RERANK`` with the highest and then of all that may reach
+the last of the nearest found so far. An estimate is off by no more than the
+length that coding has left of the residual, which the index keeps; so no near
+vector of a probed list is lost. What is sent, tabulated and returned for a
+query follows the rows that it probes and not the lists.
 
 The number of probed lists is the least that found ``TARGET`` of the true
 neighbours of held-out vectors among held-out vectors, so that it follows the
-data and not their number. Long
-lists are dealt over shards and many queries of one list over blocks, which
+data and not their number. Large
+cells are dealt over shards and many queries of one cell over blocks, which
 keeps every task small whatever the sizes. Queries that found fewer neighbours
 than there are search all lists.
 
@@ -36,12 +41,16 @@ from pyspark.sql import functions as F
 
 from .common import column, cut
 
-FIT, HELD, SAMPLE_BYTES, RERANK, TARGET = 40, 20, 128 << 20, 128, 0.985
+FIT, HELD, SAMPLE_BYTES, RERANK, TARGET = 40, 20, 128 << 20, 64, 0.985
 MOST_LISTS, SUB, CODES, CODED = 1 << 12, 4, 256, 1 << 13
 #: Centroids that are fitted at once; more are fitted in two levels.
 AT_ONCE = 256
-#: Rows of a shard: at least so many, else twice a list's mean. Queries of a block.
-SHARD, QUERIES = 128, 1024
+#: Rows of a shard: at least so many, else twice a cell's mean. Queries of a block, and of one step.
+SHARD, QUERIES, STEP = 128, 1024, 64
+#: Rows of a cell if lists are shorter, and numbers in them; numbers that are reranked at once.
+CELL, CELL_VALUES, AT_HAND = 1 << 12, 1 << 18, 1 << 20
+#: What single precision may take from an estimate.
+ROUNDED = 1e-5
 
 
 def unit(raw: np.ndarray) -> np.ndarray:
@@ -92,10 +101,10 @@ class Index:
         parted = len(x) >= 4 * (FIT + HELD)
         seen = x[: len(x) * FIT // (FIT + HELD)] if parted else x
         held = x[len(seen) :] if parted else x
-        self.centres = levels(seen, max(1, min(lists, len(seen))), 8, rng)
+        self.centres = levels(seen, max(1, min(lists, len(seen))), 8, rng).astype(np.float32)
         some = held[:CODED]
         rest = self._split(some - self.centres[nearest(some, self.centres)])
-        self.books = np.stack([k_means(rest[:, m], CODES, 6, rng) for m in range(self.parts)])
+        self.books = np.stack([k_means(rest[:, m], CODES, 6, rng) for m in range(self.parts)]).astype(np.float32)
         self.probes = self._calibrated(held, top)
 
     def _split(self, x: np.ndarray) -> np.ndarray:
@@ -119,15 +128,76 @@ class Index:
         needed = np.sort(np.concatenate(needed))
         return int(min(lists, needed[min(len(needed) - 1, int(TARGET * len(needed)))] + 1))
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each vector's list and codes."""
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each vector's list and codes, and the length of what these leave of it."""
         own = nearest(x, self.centres)
         rest = self._split(x - self.centres[own])
-        return own, np.stack([nearest(rest[:, m], self.books[m]) for m in range(self.parts)], axis=1).astype(np.uint8)
+        codes = np.stack([nearest(rest[:, m], self.books[m]) for m in range(self.parts)], axis=1).astype(np.uint8)
+        left = rest - self.books[np.arange(self.parts), codes]
+        return own, codes, np.sqrt((left * left).sum(axis=(1, 2)))
 
     def tables(self, q: np.ndarray) -> np.ndarray:
-        """A query's inner product with every code, by part."""
-        return np.einsum("qms,mcs->qmc", self._split(q), self.books)
+        """The queries' inner products with every code, by part: [part, code, query]."""
+        return self.books @ np.ascontiguousarray(self._split(q).transpose(1, 2, 0))
+
+    def estimates(self, q: np.ndarray, lists: np.ndarray, codes: np.ndarray, probed: np.ndarray) -> np.ndarray:
+        """Cosines [query, row] from the tables, minus infinity outside a query's lists.
+
+        ``lists`` ascend; ``probed`` tells for every query which of a cell's lists it probes.
+        """
+        tables, made = self.tables(q), np.full((len(lists), len(q)), -np.inf, np.float32)
+        here, start = np.unique(lists, return_index=True)
+        for own, a, b in zip(here, start, [*start[1:], len(lists)]):
+            asks = probed[:, own % probed.shape[1]]
+            # parted tables are copied, which pays where few ask
+            some = slice(None) if 2 * asks.sum() > len(q) else np.flatnonzero(asks)
+            sums = np.tile(self.centres[own] @ q[some].T, (b - a, 1))
+            part = tables[:, :, some]
+            for m in range(self.parts):
+                sums += part[m][codes[a:b, m]]
+            made[a:b, some] = np.where(asks[some], sums, -np.inf)
+        return np.ascontiguousarray(made.T)
+
+    def best(self, q: np.ndarray, asked: np.ndarray, probed: np.ndarray, x: np.ndarray, ids: np.ndarray, lists: np.ndarray, codes: np.ndarray, off: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each query's nearest of its lists in a cell, as its place in ``q``, their ids and exact cosines."""
+        guess = self.estimates(q.astype(np.float32), lists, codes, probed)
+        guess[ids[None, :] == asked[:, None]] = -np.inf
+        some = min(RERANK, len(ids))
+        row = np.argpartition(guess, -some, axis=1)[:, -some:].ravel()
+        by = np.repeat(np.arange(len(q)), some)
+        seen = guess[by, row] > -np.inf
+        by, row = by[seen], row[seen]
+        found = _nearest(by, row, _cosines(q, by, x, row), ids, top)
+        # the score that others have to reach, if there are as many as asked for
+        last = np.full(len(q), np.inf)
+        np.minimum.at(last, found[0], found[2])
+        last[np.bincount(found[0], minlength=len(q)) < top] = -np.inf
+        guess[by, row] = -np.inf
+        by, row = np.nonzero((guess > -np.inf) & (guess + off >= (last - ROUNDED)[:, None]))
+        score = _cosines(q, by, x, row)
+        near = score >= last[by]
+        by, row, score = _nearest(*[np.concatenate(c) for c in zip(found, (by[near], row[near], score[near]))], ids, top)
+        return by, ids[row], score
+
+
+def _cosines(q: np.ndarray, by: np.ndarray, x: np.ndarray, row: np.ndarray) -> np.ndarray:
+    out, step = np.empty(len(row)), max(1, AT_HAND // x.shape[1])
+    for i in range(0, len(row), step):
+        out[i : i + step] = (x[row[i : i + step]] * q[by[i : i + step]]).sum(axis=1)
+    return out
+
+
+def _nearest(by: np.ndarray, row: np.ndarray, score: np.ndarray, ids: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``top`` ids with the highest scores for each of ``by``, each id by its best row."""
+    order = np.lexsort((ids[row], -score, by))
+    # an id that several rows have
+    pair = np.stack([by[order], ids[row[order]]], axis=1)
+    again = np.lexsort((np.arange(len(order)), pair[:, 1], pair[:, 0]))
+    same = (pair[again[1:]] == pair[again[:-1]]).all(axis=1)
+    order = np.delete(order, again[1:][same])
+    place = np.arange(len(order)) - np.searchsorted(by[order], by[order])
+    order = order[place < top]
+    return by[order], row[order], score[order]
 
 
 def valid(table: DataFrame) -> tuple[DataFrame, str, int]:
@@ -163,57 +233,50 @@ def _search(x: DataFrame, queries: DataFrame, sent, form: str, top: int, every:
         for b in batches:
             if b.num_rows:
                 raw = _raw(b, form)
-                own, codes = sent.value.encode(unit(raw).astype(np.float32))
-                yield pa.RecordBatch.from_arrays([column(b, "vec_id").cast(pa.int64()), pa.array(own.astype(np.int32)), _bytes(codes), _bytes(raw)], names=["vec_id", "list", "codes", "raw"])
+                own, codes, off = sent.value.encode(unit(raw).astype(np.float32))
+                own = own.astype(np.int32)
+                yield pa.RecordBatch.from_arrays([column(b, "vec_id").cast(pa.int64()), pa.array(own // sent.value.together), pa.array(own), _bytes(codes), pa.array(off), _bytes(raw)], names=["vec_id", "cell", "list", "codes", "off", "raw"])
 
     def probing(batches):
         for b in batches:
             if b.num_rows:
                 raw, ids = _raw(b, form), column(b, "vec_id").cast(pa.int64())
-                centres = sent.value.centres
+                centres, together = sent.value.centres, sent.value.together
                 n = len(centres) if every else sent.value.probes
                 for i in range(0, len(raw), 256):
                     part = raw[i : i + 256]
                     lists = np.argsort(-(unit(part).astype(np.float32) @ centres.T), axis=1, kind="stable")[:, :n]
-                    owner = np.repeat(np.arange(len(part)), n)
-                    yield pa.RecordBatch.from_arrays([ids.slice(i, 256).take(pa.array(owner)), pa.array(lists.ravel().astype(np.int32)), _bytes(part).take(pa.array(owner))], names=["query_id", "list", "query"])
+                    probed = np.zeros((len(part), -(-len(centres) // together) * together), np.uint8)
+                    np.put_along_axis(probed, lists, 1, axis=1)
+                    probed = probed.reshape(len(part), -1, together)
+                    owner, cell = np.nonzero(probed.any(axis=2))
+                    yield pa.RecordBatch.from_arrays([ids.slice(i, 256).take(pa.array(owner)), pa.array(cell.astype(np.int32)), _bytes(probed[owner, cell]), _bytes(part).take(pa.array(owner))], names=["query_id", "cell", "probed", "query"])
 
     def compared(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        left = left.sort_values("vec_id", kind="stable")
-        model, ids, codes = sent.value, left["vec_id"].to_numpy(), _matrix(left["codes"].tolist(), np.uint8)
+        left = left.sort_values("list", kind="stable")
+        ids, lists, codes, off = left["vec_id"].to_numpy(), left["list"].to_numpy(), _matrix(left["codes"].tolist(), np.uint8), left["off"].to_numpy()
         x, q = unit(_matrix(left["raw"].tolist(), form)), unit(_matrix(right["query"].tolist(), form))
-        asked = right["query_id"].to_numpy()
+        asked, probed = right["query_id"].to_numpy(), _matrix(right["probed"].tolist(), np.uint8) > 0
         out = []
-        for i in range(0, len(q), 64):
-            tables = model.tables(q[i : i + 64].astype(np.float32))
-            guess = np.zeros((len(tables), len(ids)), np.float32)
-            for m in range(model.parts):
-                guess += tables[:, m, codes[:, m]]
-            for j, row in enumerate(guess):
-                if len(row) > RERANK:
-                    kept = np.flatnonzero(row >= np.partition(row, len(row) - RERANK)[len(row) - RERANK])
-                else:
-                    kept = np.arange(len(row))
-                kept = kept[ids[kept] != asked[i + j]]
-                score = (x[kept] * q[i + j]).sum(axis=1)
-                best = np.argsort(-score, kind="stable")[:top]
-                out.append(pd.DataFrame({"query_id": asked[i + j], "vec_id": ids[kept[best]], "score": score[best]}))
+        for i in range(0, len(q), STEP):
+            by, near, score = sent.value.best(q[i : i + STEP], asked[i : i + STEP], probed[i : i + STEP], x, ids, lists, codes, off, top)
+            out.append(pd.DataFrame({"query_id": asked[i + by], "vec_id": near, "score": score}))
         return pd.concat(out)
 
-    index = cut(x.mapInArrow(indexed, "vec_id long, list int, codes binary, raw binary"))
-    probes = cut(queries.mapInArrow(probing, "query_id long, list int, query binary"))
-    mean = max(SHARD, 2 * -(-sent.value.total // len(sent.value.centres)))
-    rows = index.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / mean).cast("int").alias("shards"))
-    asked = probes.groupBy(F.col("list").alias("of")).agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("blocks"))
-    # a row a list, of which there are MOST_LISTS at most
-    sizes = cut(rows.join(asked, F.col("list") == F.col("of")).select("of", "shards", "blocks"))
+    index = cut(x.mapInArrow(indexed, "vec_id long, cell int, list int, codes binary, off float, raw binary"))
+    probes = cut(queries.mapInArrow(probing, "query_id long, cell int, probed binary, query binary"))
+    mean = max(SHARD, 2 * -(-sent.value.total * sent.value.together // len(sent.value.centres)))
+    rows = index.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / mean).cast("int").alias("shards"))
+    asked = probes.groupBy(F.col("cell").alias("of")).agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("blocks"))
+    # a row a cell, of which there are MOST_LISTS at most
+    sizes = cut(rows.join(asked, F.col("cell") == F.col("of")).select("of", "shards", "blocks"))
     here = lambda: F.broadcast(sizes.select(*[F.col(c).alias(c) for c in sizes.columns]))
     several = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = index.join(here(), F.col("list") == F.col("of")).withColumn("shard", F.pmod(F.xxhash64("vec_id", "raw"), "shards").cast("int")).withColumn("block", several("blocks"))
-    right = probes.join(here(), F.col("list") == F.col("of")).withColumn("block", F.pmod(F.xxhash64("query_id", "query"), "blocks").cast("int")).withColumn("shard", several("shards"))
-    keys = ["list", "shard", "block"]
+    left = index.join(here(), F.col("cell") == F.col("of")).withColumn("shard", F.pmod(F.xxhash64("vec_id", "raw"), "shards").cast("int")).withColumn("block", several("blocks"))
+    right = probes.join(here(), F.col("cell") == F.col("of")).withColumn("block", F.pmod(F.xxhash64("query_id", "query"), "blocks").cast("int")).withColumn("shard", several("shards"))
+    keys = ["cell", "shard", "block"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compared, "query_id long, vec_id long, score double")
 
 
@@ -243,6 +306,8 @@ def search(table: DataFrame, every: int = 50, top: int = 5) -> DataFrame:
     order = np.lexsort((*values.T[:2], rows.column("vec_id").to_numpy()))
     model = Index(values[order], lists, top)
     model.total = total
+    # lists that a cell has: all rows may be in fewer lists than there were to be
+    model.together = max(1, min(CELL, CELL_VALUES // dims) * len(model.centres) // total)
     sent = spark.sparkContext.broadcast(model)
     queries = x.filter(F.col("vec_id") % every == 0)
     found = cut(_best(_search(x, queries, sent, form, top, False), top))
