@@ -11,10 +11,12 @@ every four dimensions. A query probes the lists of its nearest centroids.
 Consecutive lists make a cell of about ``CELL`` rows, to which a query is sent
 once, with the lists that it probes there: it estimates the cosines of their
 vectors from its asymmetric table and computes the exact cosines, in double
-precision, of the ``RERANK`` with the highest and then of all that may reach
-the last of the nearest found so far. An estimate is off by no more than the
+precision, of all that may reach the last of the nearest found so far (where
+there are ``MANY``, of the ``RERANK`` with the highest first). An estimate is off by no more than the
 length that coding has left of the residual, which the index keeps; so no near
-vector of a probed list is lost. What is sent, tabulated and returned for a
+vector of a probed list is lost. A query brings a floor to all its cells: what
+the last of its nearest among ``FLOOR_BYTES`` of the sample, in the lists that
+it probes, has reached. What is sent, tabulated and returned for a
 query follows the rows that it probes and not the lists.
 
 The number of probed lists is the least that found ``TARGET`` of the true
@@ -41,7 +43,7 @@ from pyspark.sql import functions as F
 
 from .common import column, cut
 
-FIT, HELD, SAMPLE_BYTES, RERANK, TARGET = 40, 20, 128 << 20, 64, 0.985
+FIT, HELD, SAMPLE_BYTES, RERANK, MANY, TARGET = 40, 20, 128 << 20, 64, 1024, 0.985
 MOST_LISTS, SUB, CODES, CODED = 1 << 12, 4, 256, 1 << 13
 #: Centroids that are fitted at once; more are fitted in two levels.
 AT_ONCE = 256
@@ -49,8 +51,8 @@ AT_ONCE = 256
 SHARD, QUERIES, STEP = 128, 1024, 64
 #: Rows of a cell if lists are shorter, and numbers in them; numbers that are reranked at once.
 CELL, CELL_VALUES, AT_HAND = 1 << 12, 1 << 18, 1 << 20
-#: What single precision may take from an estimate.
-ROUNDED = 1e-5
+#: What single precision may take from an estimate. Bytes of the sample that give floors.
+ROUNDED, FLOOR_BYTES = 1e-5, 8 << 20
 
 
 def unit(raw: np.ndarray) -> np.ndarray:
@@ -140,6 +142,22 @@ class Index:
         """The queries' inner products with every code, by part: [part, code, query]."""
         return self.books @ np.ascontiguousarray(self._split(q).transpose(1, 2, 0))
 
+    def floors(self, q: np.ndarray, asked: np.ndarray, probed: np.ndarray, top: int) -> np.ndarray:
+        """What the nearest in the probed lists reach at least, by those of them that are in ``some``; -2 if too few are."""
+        if len(self.ids) < top:
+            return np.full(len(q), -2.0)
+        near = np.where(probed[:, self.lists] & (self.ids != asked[:, None]), q @ self.some.T, np.float32(-2))
+        least = np.partition(near, -top, axis=1)[:, -top].astype(np.float64)
+        return np.where(least > -2, least - ROUNDED, -2.0)
+
+    def keep(self, x: np.ndarray, ids: np.ndarray) -> None:
+        """Rows of the index, one an id, by which floors are told."""
+        ids, first = np.unique(ids, return_index=True)
+        n = FLOOR_BYTES // (4 * self.dims)
+        chosen = np.random.default_rng(7).permutation(len(ids))[:n]
+        self.ids, self.some = ids[chosen], unit(x[first[chosen]]).astype(np.float32)
+        self.lists = nearest(self.some, self.centres)
+
     def estimates(self, q: np.ndarray, lists: np.ndarray, codes: np.ndarray, probed: np.ndarray) -> np.ndarray:
         """Cosines [query, row] from the tables, minus infinity outside a query's lists.
 
@@ -158,26 +176,28 @@ class Index:
             made[a:b, some] = np.where(asks[some], sums, -np.inf)
         return np.ascontiguousarray(made.T)
 
-    def best(self, q: np.ndarray, asked: np.ndarray, probed: np.ndarray, x: np.ndarray, ids: np.ndarray, lists: np.ndarray, codes: np.ndarray, off: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Each query's nearest of its lists in a cell, as its place in ``q``, their ids and exact cosines."""
+    def best(self, q: np.ndarray, asked: np.ndarray, probed: np.ndarray, x: np.ndarray, ids: np.ndarray, lists: np.ndarray, codes: np.ndarray, off: np.ndarray, top: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each query's nearest of its lists in a cell that reach its floor, as its place in ``q``, their ids and exact cosines."""
         guess = self.estimates(q.astype(np.float32), lists, codes, probed)
-        guess[ids[None, :] == asked[:, None]] = -np.inf
-        some = min(RERANK, len(ids))
-        row = np.argpartition(guess, -some, axis=1)[:, -some:].ravel()
-        by = np.repeat(np.arange(len(q)), some)
-        seen = guess[by, row] > -np.inf
-        by, row = by[seen], row[seen]
+        guess[(guess + off < (floor - ROUNDED)[:, None]) | (ids == asked[:, None])] = -np.inf
+        # where many are left, those with the highest estimates tell what others have to reach
+        last, some = floor, min(RERANK, len(ids))
+        many = np.flatnonzero(np.count_nonzero(guess > -np.inf, axis=1) > MANY)
+        row = np.argpartition(guess[many], -some, axis=1)[:, -some:].ravel()
+        by = np.repeat(many, some)
         found = _nearest(by, row, _cosines(q, by, x, row), ids, top)
-        # the score that others have to reach, if there are as many as asked for
-        last = np.full(len(q), np.inf)
-        np.minimum.at(last, found[0], found[2])
-        last[np.bincount(found[0], minlength=len(q)) < top] = -np.inf
+        if len(many):
+            least = np.full(len(q), np.inf)
+            np.minimum.at(least, found[0], found[2])
+            least[np.bincount(found[0], minlength=len(q)) < top] = -np.inf
+            last = np.maximum(floor, least)
         guess[by, row] = -np.inf
         by, row = np.nonzero((guess > -np.inf) & (guess + off >= (last - ROUNDED)[:, None]))
         score = _cosines(q, by, x, row)
         near = score >= last[by]
         by, row, score = _nearest(*[np.concatenate(c) for c in zip(found, (by[near], row[near], score[near]))], ids, top)
-        return by, ids[row], score
+        near = score >= floor[by]
+        return by[near], ids[row[near]], score[near]
 
 
 def _cosines(q: np.ndarray, by: np.ndarray, x: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -243,14 +263,16 @@ def _search(x: DataFrame, queries: DataFrame, sent, form: str, top: int, every:
                 raw, ids = _raw(b, form), column(b, "vec_id").cast(pa.int64())
                 centres, together = sent.value.centres, sent.value.together
                 n = len(centres) if every else sent.value.probes
-                for i in range(0, len(raw), 256):
-                    part = raw[i : i + 256]
-                    lists = np.argsort(-(unit(part).astype(np.float32) @ centres.T), axis=1, kind="stable")[:, :n]
-                    probed = np.zeros((len(part), -(-len(centres) // together) * together), np.uint8)
-                    np.put_along_axis(probed, lists, 1, axis=1)
+                for i in range(0, len(raw), STEP):
+                    part = raw[i : i + STEP]
+                    q = unit(part).astype(np.float32)
+                    lists = np.argsort(-(q @ centres.T), axis=1, kind="stable")[:, :n]
+                    probed = np.zeros((len(part), -(-len(centres) // together) * together), bool)
+                    np.put_along_axis(probed, lists, True, axis=1)
+                    floor = sent.value.floors(q, ids.slice(i, STEP).to_numpy(), probed, top)
                     probed = probed.reshape(len(part), -1, together)
                     owner, cell = np.nonzero(probed.any(axis=2))
-                    yield pa.RecordBatch.from_arrays([ids.slice(i, 256).take(pa.array(owner)), pa.array(cell.astype(np.int32)), _bytes(probed[owner, cell]), _bytes(part).take(pa.array(owner))], names=["query_id", "cell", "probed", "query"])
+                    yield pa.RecordBatch.from_arrays([ids.slice(i, STEP).take(pa.array(owner)), pa.array(cell.astype(np.int32)), _bytes(probed[owner, cell]), pa.array(floor[owner]), _bytes(part).take(pa.array(owner))], names=["query_id", "cell", "probed", "floor", "query"])
 
     def compared(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -258,15 +280,16 @@ def _search(x: DataFrame, queries: DataFrame, sent, form: str, top: int, every:
         left = left.sort_values("list", kind="stable")
         ids, lists, codes, off = left["vec_id"].to_numpy(), left["list"].to_numpy(), _matrix(left["codes"].tolist(), np.uint8), left["off"].to_numpy()
         x, q = unit(_matrix(left["raw"].tolist(), form)), unit(_matrix(right["query"].tolist(), form))
-        asked, probed = right["query_id"].to_numpy(), _matrix(right["probed"].tolist(), np.uint8) > 0
+        asked, probed = right["query_id"].to_numpy(), _matrix(right["probed"].tolist(), np.bool_)
+        floor = right["floor"].to_numpy()
         out = []
         for i in range(0, len(q), STEP):
-            by, near, score = sent.value.best(q[i : i + STEP], asked[i : i + STEP], probed[i : i + STEP], x, ids, lists, codes, off, top)
+            by, near, score = sent.value.best(q[i : i + STEP], asked[i : i + STEP], probed[i : i + STEP], x, ids, lists, codes, off, top, floor[i : i + STEP])
             out.append(pd.DataFrame({"query_id": asked[i + by], "vec_id": near, "score": score}))
         return pd.concat(out)
 
     index = cut(x.mapInArrow(indexed, "vec_id long, cell int, list int, codes binary, off float, raw binary"))
-    probes = cut(queries.mapInArrow(probing, "query_id long, cell int, probed binary, query binary"))
+    probes = cut(queries.mapInArrow(probing, "query_id long, cell int, probed binary, floor double, query binary"))
     mean = max(SHARD, 2 * -(-sent.value.total * sent.value.together // len(sent.value.centres)))
     rows = index.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / mean).cast("int").alias("shards"))
     asked = probes.groupBy(F.col("cell").alias("of")).agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("blocks"))
@@ -305,6 +328,7 @@ def search(table: DataFrame, every: int = 50, top: int = 5) -> DataFrame:
     # an order that does not depend on how the rows came
     order = np.lexsort((*values.T[:2], rows.column("vec_id").to_numpy()))
     model = Index(values[order], lists, top)
+    model.keep(values, rows.column("vec_id").to_numpy())
     model.total = total
     # lists that a cell has: all rows may be in fewer lists than there were to be
     model.together = max(1, min(CELL, CELL_VALUES // dims) * len(model.centres) // total)

@@ -68,10 +68,14 @@ def test_cell_by_brute_force():
     order = np.argsort(lists, kind="stable")
     asked = np.arange(0, 3000, 60)
     probed = rng.random((len(asked), 20)) < np.linspace(0, 1, 20)
-    by, near, score = model.best(unit[asked], ids[asked], probed, unit[order], ids[order], lists[order], codes[order], off[order], 5)
-    for k, q in enumerate(asked):
-        s = (unit * unit[q]).sum(axis=1)
-        there = np.flatnonzero(probed[k][lists] & (ids != ids[q]))
-        want = there[np.lexsort((ids[there], -s[there]))][:5]
-        assert near[by == k].tolist() == ids[want].tolist()
-        assert score[by == k].tolist() == s[want].tolist()
+    model.keep(x[::7], ids[::7])
+    floors = model.floors(unit[asked].astype(np.float32), ids[asked], probed, 5)
+    assert (floors > -2).sum() > len(asked) / 2
+    for floor in (floors, np.full(len(asked), -2.0)):
+        by, near, score = model.best(unit[asked], ids[asked], probed, unit[order], ids[order], lists[order], codes[order], off[order], 5, floor)
+        for k, q in enumerate(asked):
+            s = (unit * unit[q]).sum(axis=1)
+            there = np.flatnonzero(probed[k][lists] & (ids != ids[q]))
+            want = there[np.lexsort((ids[there], -s[there]))][:5]
+            assert near[by == k].tolist() == ids[want].tolist()
+            assert score[by == k].tolist() == s[want].tolist()
