@@ -24,6 +24,7 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -32,6 +33,8 @@ from .common import as_documents, column, cut, mapped
 from .components import components
 
 BUCKET = 256
+#: Fingerprints that are compared in one step, of one bucket or more.
+TOGETHER = 8192
 SEED = 42
 
 
@@ -165,37 +168,28 @@ def linked(keys: np.ndarray, prints: np.ndarray, radius: int) -> np.ndarray:
 
 
 def _compared(rows: DataFrame, radius: int) -> DataFrame:
-    """Links (a, b) inside the buckets of (fp, mask, key)."""
+    """Links (a, b) inside the buckets of (fp, mask, key), each of at most 256 fingerprints.
 
-    def run(batches):
-        held: list[pa.RecordBatch] = []
-
-        def emit(table):
-            keys = np.stack([table.column("mask").to_numpy(), table.column("key").to_numpy()], axis=1)
-            code = np.cumsum(np.any(np.diff(keys, axis=0, prepend=keys[:1]) != 0, axis=1))
-            prints = table.column("fp").to_numpy().view(np.uint64)
-            pairs = linked(code, prints, radius)
-            made = prints.view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(made[pairs[:, 0]]), pa.array(made[pairs[:, 1]])], names=["a", "b"])
+    A bucket is gathered into one row, as repartition() does not hold it together:
+    after a join by the same key Spark leaves the dealing out, and reads the join's
+    input map by map if the other side turns out small enough to be broadcast.
+    """
 
+    def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            table = pa.Table.from_batches(held)
-            if len(table) < 8192:
-                continue
-            # the last bucket may go on in the next batch
-            mask, key = table.column("mask").to_numpy(), table.column("key").to_numpy()
-            edge = np.flatnonzero((mask != mask[-1]) | (key != key[-1]))
-            cut_at = int(edge[-1]) + 1 if len(edge) else 0
-            if cut_at:
-                yield emit(table.slice(0, cut_at))
-                held = table.slice(cut_at).to_batches()
-        if held:
-            yield emit(pa.Table.from_batches(held))
-
-    return rows.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp").select("fp", "mask", "key").mapInArrow(run, "a long, b long")
+            sizes = pc.list_value_length(column(batch, "fps")).to_numpy()
+            prints = column(batch, "fps").flatten().to_numpy()
+            ends = np.cumsum(sizes)
+            begin = 0
+            while begin < len(sizes):
+                before = int(ends[begin] - sizes[begin])
+                end = max(begin + 1, int(np.searchsorted(ends, before + TOGETHER, side="right")))
+                made = prints[before : ends[end - 1]]
+                pairs = linked(np.repeat(np.arange(end - begin), sizes[begin:end]), made.view(np.uint64), radius)
+                yield pa.RecordBatch.from_arrays([pa.array(made[pairs[:, 0]]), pa.array(made[pairs[:, 1]])], names=["a", "b"])
+                begin = end
+
+    return rows.groupBy("mask", "key").agg(F.sort_array(F.collect_list("fp")).alias("fps")).select("fps").mapInArrow(run, "a long, b long")
 
 
 def links(prints: DataFrame, radius: int = 2) -> DataFrame:

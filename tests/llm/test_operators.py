@@ -194,6 +194,29 @@ def test_large_buckets_are_split_and_lose_no_link(spark, monkeypatch):
     assert sorted(map(sorted, groups.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1)
 
 
+def test_no_plan_parts_a_bucket(spark):
+    """Fingerprints of many input partitions, whose buckets meet their counts in a join that becomes a broadcast join."""
+    rng = random.Random(8)
+    base = [rng.getrandbits(64) for _ in range(8)]
+    prints = sorted({b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(4))) for b in base for _ in range(400)} | {rng.getrandbits(64) for _ in range(400)})
+    rng.shuffle(prints)
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long").repartition(8)
+        got = {r["node"] % 2**64: r["root"] % 2**64 for r in components(simhash.links(df)).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    groups, want = {}, {}
+    for p, r in brute_components(prints).items():
+        groups.setdefault(got.get(p, p), set()).add(p)
+        want.setdefault(r, set()).add(p)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, i) for i in range(1001, 1200)] + [(5, 5)]
     made = components(spark.createDataFrame(edges, "a long, b long")).collect()
